@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat_format, exact_dedup, topk, warc
+from faultlens.llm import chat_format, exact_dedup, ngram_join, topk, warc
 from faultlens.llm.common import shared_path
 
 
@@ -30,6 +30,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archive")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -37,7 +41,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_exact_topk, op6_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_exact_topk, op6_exact_dedup, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -75,6 +79,21 @@ with n as (
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by body) as group_size,
   row_number() over w = 1 as kept, sha256(body) as text_sha256
 from n window w as (partition by body order by chars desc, doc_id)""",
+        "op9_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), g as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as gram from w
+), n as (
+  select w.doc_id, count(gram) as n from w left join g on w.doc_id = g.doc_id group by 1
+), links as (
+  select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as inter from g x join g y on x.gram = y.gram and x.doc_id <> y.doc_id group by 1, 2) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * p.inter >= 85 * (na.n + nb.n - p.inter)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select n.doc_id, n.n as n_shingles, r.component_id from n join (select a, min(b) as component_id from reach group by 1) r on n.doc_id = r.a""",
         "op10_warc": """
 with p as (
   select page_id, coalesce(html, '') as body from pages
