@@ -128,28 +128,49 @@ def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.nd
     return [(r["lang"], np.frombuffer(r["grams"], np.int32)) for r in sorted(rows, key=lambda r: (r["at"], r["lang"], r["grams"]))]
 
 
-def identify(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang).
+def predict(model: KernelModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    sets = [grams(t) for t in texts]
+    pred, score = [UNKNOWN] * len(sets), np.zeros(len(sets))
+    if model.languages and sets:
+        s = model.scores(sets)
+        best = s.argmax(1)
+        for k, g in enumerate(sets):
+            if len(g):
+                pred[k], score[k] = model.languages[best[k]], min(1.0, max(0.0, float(s[k, best[k]])))
+    return pred, score
+
+
+def learn(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1) -> KernelModel:
+    """Learns only from rows with a language whose id isn't held out: at most ``per_language`` texts of each, ``landmarks_per_language`` of them as landmarks."""
+    return fit(training_sample(docs, per_language), landmarks_per_language, ridge)
+
 
-    Learns only from rows with a language whose id isn't held out: at most ``per_language`` texts of
-    each, ``landmarks_per_language`` of them as landmarks. ``block`` texts are scored at a time.
-    """
-    model = fit(training_sample(docs, per_language), landmarks_per_language, ridge)
+def identify(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang); ``block`` texts are scored at a time."""
+    model = learn(docs, per_language, landmarks_per_language, ridge)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 part = batch.slice(i, block)
-                sets = [grams(t) for t in part.column(2).to_pylist()]
-                pred, score = [UNKNOWN] * len(sets), np.zeros(len(sets))
-                if model.languages:
-                    s = model.scores(sets)
-                    best = s.argmax(1)
-                    for k, g in enumerate(sets):
-                        if len(g):
-                            pred[k], score[k] = model.languages[best[k]], min(1.0, max(0.0, float(s[k, best[k]])))
+                pred, score = predict(model, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns; those without letters go."""
+    model = learn(docs, per_language, landmarks_per_language, ridge)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
+                yield part.filter(pa.array([p != UNKNOWN for p in predict(model, part.column(at).to_pylist())[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -59,10 +59,12 @@ class Stats:
 
     words: int
     repeated: float  # words that equal the one before
-    distinct: float  # distinct words, of the square-root of words at most
+    distinct: float  # distinct words, of as many as a text of that length can be expected to have
     upper: float  # upper-case among ASCII letters
     signs: float  # signs other than plain punctuation, a word
     bars: float  # words that are only signs
+    short: float  # runs of letters of at most three bytes
+    mean: float  # bytes of a run of letters
     ends: float  # sentence ends, a word
     longest: float  # longest stretch of words without a sentence end
 
@@ -73,32 +75,41 @@ def measure(text: bytes) -> tuple[Stats, np.ndarray]:
     w = word_hashes(text)
     n = len(w)
     if not n:
-        return Stats(0, 0, 0, 0, 0, 0, 0, 0), c
+        return Stats(0, 0, 0, 0, 0, 0, 0, 0, 0, 0), c
     signs = counts[4:].sum() - counts[_PLAIN].sum()
-    content = c > 0
-    edge = np.diff(np.concatenate([[0], content.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    letters = np.concatenate([[0], np.cumsum((c >= 1) & (c <= 3))])
-    bare = (letters[ends] == letters[starts]).mean() if len(starts) else 0.0
+    letter = (c >= 1) & (c <= 3)
+    starts, ends = _runs(c > 0)
+    a, z = _runs(letter)
+    lengths = z - a
+    before = np.concatenate([[0], np.cumsum(letter)])
+    bare = (before[ends] == before[starts]).mean() if len(starts) else 0.0
     stop = np.flatnonzero(np.isin(c[ends - 1], _ENDS))
     gaps = np.diff(np.concatenate([[-1], stop, [len(ends) - 1]])) if len(ends) else np.zeros(1)
     distinct = len(np.unique(w)) / min(n, 20 + 4 * n**0.5)
-    return Stats(n, float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0, min(1.0, distinct), counts[2] / max(1, counts[1] + counts[2]), signs / n, float(bare), len(stop) / n, float(gaps.max(initial=0))), c
+    short, mean = ((lengths <= 3).mean(), lengths.mean()) if len(lengths) else (0.0, 0.0)
+    return Stats(n, float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0, min(1.0, distinct), counts[2] / max(1, counts[1] + counts[2]), signs / n, float(bare), float(short), float(mean), len(stop) / n, float(gaps.max(initial=0))), c
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of True."""
+    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def votes(s: Stats) -> tuple[int, ...]:
-    """One vote of each labeller; thresholds are fixed values that leave doubtful texts without a vote."""
-    if not s.words:
-        return (BAD,) * 7
-    short = s.words < 4
+    """One vote of each labeller; between the fixed thresholds, and on texts too short to tell, there is none."""
+    few, some = s.words < 5, s.words < 20
     return (
-        BAD if s.repeated > 0.2 else GOOD if s.repeated < 0.05 else NONE,
-        NONE if short else BAD if s.distinct < 0.3 else GOOD if s.distinct > 0.45 else NONE,
-        BAD if s.upper > 0.5 else GOOD if s.upper < 0.15 else NONE,
-        BAD if s.signs > 0.5 else GOOD if s.signs < 0.15 else NONE,
-        BAD if s.bars > 0.2 else GOOD if s.bars < 0.05 else NONE,
-        NONE if short else BAD if s.ends < 0.005 and s.words > 60 else GOOD if s.ends > 0.02 else NONE,
-        BAD if s.longest > 150 else GOOD if s.longest < 60 else NONE,
+        NONE if few else BAD if s.repeated > 0.2 else GOOD if s.repeated < 0.08 else NONE,
+        NONE if few else BAD if s.distinct < 0.5 else GOOD if s.distinct > 0.7 else NONE,
+        NONE if few else BAD if s.upper > 0.5 else GOOD if s.upper < 0.15 else NONE,
+        NONE if few else BAD if s.signs > 0.25 else GOOD if s.signs < 0.1 else NONE,
+        NONE if few else BAD if s.signs > 0.7 else GOOD if s.signs < 0.2 else NONE,
+        NONE if few else BAD if s.bars > 0.2 else GOOD if s.bars < 0.05 else NONE,
+        NONE if some else BAD if s.short < 0.12 else GOOD if s.short > 0.2 else NONE,
+        NONE if some else BAD if s.mean > 6.4 else GOOD if s.mean < 6.0 else NONE,
+        NONE if some else BAD if s.ends > 0.5 or s.ends < 0.01 and s.words > 60 else GOOD if 0.02 < s.ends < 0.4 else NONE,
+        BAD if s.longest > 160 else GOOD if s.longest < 110 and not few else NONE,
     )
 
 
@@ -109,7 +120,7 @@ def features(s: Stats, c: np.ndarray, dims: int) -> np.ndarray:
         code = (c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:]
         counts = np.bincount((code * 2654435761 >> 7) % dims, minlength=dims)
         out += np.sqrt(counts / len(code)).astype(np.float32)
-    for k, v in enumerate((s.repeated, s.distinct, s.upper, min(s.signs, 4) / 4, s.bars, min(1.0, s.ends * 5), min(s.longest, 300) / 300, min(1.0, s.words / 50))):
+    for k, v in enumerate((s.repeated, s.distinct, s.upper, min(s.signs, 4) / 4, min(s.signs, 0.5) * 2, s.bars, s.short, min(s.mean, 12) / 12, min(1.0, s.ends * 2), min(s.longest, 300) / 300, min(1.0, s.words / 50))):
         for at in range(1 + int(v * 9.999)):  # a staircase: each step adds its weight
             out[((k * 16 + at + 1) * 40503) % dims] += 0.3
     return out
@@ -122,9 +133,8 @@ def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[t
     v = np.array([p for p, _ in patterns])
     n = np.array([k for _, k in patterns], float)
     share = (v == GOOD).sum(1) / np.maximum(1, (v != NONE).sum(1))
-    post = np.where((v != NONE).any(1), 0.1 + 0.8 * share, 0.5)
-    # a single bad vote is strong at the start: labellers are made to be precise in what they reject
-    post = np.where((v == BAD).any(1), 0.2, post)
+    # at the start a bad vote is strong: labellers are made to be precise in what they reject
+    post = np.where((v == BAD).any(1), 0.3 * share, 0.9)
     for _ in range(rounds):
         prior = np.clip((n * post).sum() / n.sum(), 0.02, 0.98)
         log = np.full(len(n), np.log(prior) - np.log(1 - prior))
@@ -154,12 +164,29 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1
     return w, b
 
 
-def classify(docs: DataFrame, dims: int = 2048, sample: int = 4000, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, kept, posterior, votes for each row of ``docs`` (doc_id, text).
+@dataclass
+class Scorer:
+    """What both models have learned."""
+
+    posterior: dict[str, float]
+    linear: tuple[np.ndarray, float] | None
+    dims: int
 
-    The label model sees all documents; the scorer is trained on ``sample`` of them, picked by a hash of
-    their ids. ``threshold`` is the score from which a text is kept.
-    """
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Scores, posteriors and votes."""
+        found = [measure(t) for t in texts]
+        v = ["".join(map(str, votes(s))) for s, _ in found]
+        post = np.array([self.posterior.get(x, 0.5) for x in v])
+        p = post.copy()
+        if self.linear and found:
+            x = np.array([features(s, c, self.dims) for s, c in found])
+            p = 1 / (1 + np.exp(-np.clip(x @ self.linear[0] + self.linear[1], -40, 40)))
+        p[[not s.words for s, _ in found]] = 0.0
+        return p, post, v
+
+
+def learn(docs: DataFrame, dims: int = 2048, sample: int = 4000) -> Scorer:
+    """The label model of all documents, and the scorer trained on ``sample`` of them, picked by a hash of their ids."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,31 +198,46 @@ def classify(docs: DataFrame, dims: int = 2048, sample: int = 4000, threshold: f
     counted = voted.groupBy("votes").count().collect()  # 3 to the number of labellers at most
     posterior = em(sorted((tuple(map(int, r["votes"])), r["count"]) for r in counted))
     of = {"".join(map(str, p)): x for p, x in posterior.items()}
-    picked = voted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = staged(voted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "picked")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [measure(t) for t in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([features(s, c, dims).tobytes() for s, c in found], pa.binary()), pa.array([of.get("".join(map(str, votes(s))), 0.5) for s, _ in found])], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(s, c, dims).tobytes() for s, c in found], pa.binary()), pa.array([of["".join(map(str, votes(s)))] for s, _ in found])], ["x", "y"])
 
-    train = rows.join(staged(picked, "picked"), "doc_id", "left_semi").select("text").mapInArrow(featured, "x binary, y double").collect()  # ``sample`` rows
+    train = rows.join(picked, "doc_id", "left_semi").select("text").mapInArrow(featured, "x binary, y double").collect()  # ``sample`` rows
     y = np.array([r["y"] for r in train])
-    model = None
+    linear = None
     if len(train) and (y > 0.5).any() and (y <= 0.5).any():
-        model = fit_scorer(np.array([np.frombuffer(r["x"], np.float32) for r in train], np.float64), y)
+        linear = fit_scorer(np.array([np.frombuffer(r["x"], np.float32) for r in train], np.float64), y)
+    return Scorer(of, linear, dims)
+
+
+def classify(docs: DataFrame, dims: int = 2048, sample: int = 4000, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score, kept, posterior, votes for each row of ``docs`` (doc_id, text); kept from a score of ``threshold`` on."""
+    scorer = learn(docs, dims, sample)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("kept", pa.bool_()), ("posterior", pa.float64()), ("votes", pa.string())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in utf8(batch.column(1))]
-            v = ["".join(map(str, votes(s))) for s, _ in found]
-            post = np.array([of.get(x, 0.5) for x in v])
-            if model:
-                x = np.array([features(s, c, dims) for s, c in found])
-                p = 1 / (1 + np.exp(-np.clip(x @ model[0] + model[1], -40, 40)))
-            else:
-                p = post.copy()
-            p[[not s.words for s, _ in found]] = 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold), pa.array(post), pa.array(v)], schema=schema)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                p, post, v = scorer.score(utf8(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(p >= threshold), pa.array(post), pa.array(v)], schema=schema)
 
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(score, "doc_id long, score double, kept boolean, posterior double, votes string")
+
+
+def keep_good(docs: DataFrame, dims: int = 2048, sample: int = 4000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
+    scorer = learn(docs, dims, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array(scorer.score(utf8(part.column(at)))[0] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
