@@ -2,16 +2,18 @@
 
 1. Every text becomes the set of its distinct word shingles, as 64-bit hashes. Equal sets are met first
    (one representative each), so that groups of copies cost one member.
-2. Global order: a fixed share of the hash universe comes first, by ascending document frequency
-   counted over all documents, then the rest by hash. Two sets that link share one of the first
-   ``n - ceil(t n) + 1`` shingles of either, which are mostly unique to their text; only shingles
-   that several texts have are looked at further.
-3. Of each shared shingle the smallest id is the hub. Members are verified against hubs by tries:
-   sets in order of frequency form a prefix tree, a traversal carries the overlap with the probe along
-   shared paths, and a subtree is pruned once the remaining lengths can't reach the overlap needed.
-4. Pairs that share a shingle but aren't joined through hubs are verified likewise, unless the triangle
-   inequality of the Jaccard distance rules them out through their hub. So no pairs are emitted within
-   groups that hang together, and no link between different components is lost.
+2. Two sets that link share one of the first ``n - ceil(t n) + 1`` shingles of either in a global order.
+   In ascending document frequency these are mostly unique to their text, which rules out most texts.
+   Frequencies are first counted in a fixed share of the hash universe, which comes before the rest; the
+   texts that stay are then ordered by the frequencies of all their shingles among themselves.
+3. Of each shared first shingle the text that has it earliest is the hub. Members are verified against
+   hubs by tries: sets in order of frequency form a prefix tree, a traversal carries the overlap with the
+   probe along shared paths, and a subtree is pruned once the remaining lengths can't reach the overlap
+   needed.
+4. Pairs that share a first shingle but aren't joined through hubs are verified likewise, unless their
+   remaining lengths behind it, or the triangle inequality of the Jaccard distance through their hub,
+   rule them out. So no pairs are emitted within groups that hang together, and no link between
+   different components is lost.
 5. Components of the verified links, by star rounds over staged edges.
 
 Hubs with many members are salted; frequencies and hubs are pre-aggregated before the shuffle.
@@ -57,6 +59,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a lower-cased text: differences of one running polynomial."""
+    return _words(text)[0]
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and where they start."""
     b = np.frombuffer(text.lower(), np.uint8)
     word = np.zeros(len(b) + 2, np.int8)
     word[1:-1] = ~_IS_WHITE[b]
@@ -65,19 +72,45 @@ def word_hashes(text: bytes) -> np.ndarray:
     power, inverse = _powers(len(b) + 1)
     run = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=run[1:])
-    return _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    w = word_hashes(text)
-    k = min(words, len(w))
-    if not k:
-        return w
-    total = np.full(len(w) - k + 1, k, np.uint64)
+def _grams(w: np.ndarray, k: int) -> np.ndarray:
+    total = np.full(max(0, len(w) - k + 1), k, np.uint64)
     for i in range(k):
         total = _mix(total * _BASE + w[i : len(w) - k + 1 + i])
-    return np.unique(total)
+    return total
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return shingle_sets([text], words)[0]
+
+
+def shingle_sets(texts: list[bytes], words: int, together: int = 1 << 20) -> list[np.ndarray]:
+    """``shingles`` of many texts, hashed about ``together`` bytes at a time."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < together):
+            size += len(texts[end]) + 1
+            end += 1
+        part = texts[at:end]
+        begins = np.cumsum([0, *(len(t) + 1 for t in part)])
+        w, starts = _words(b" ".join(part))
+        cuts = np.searchsorted(starts, begins).tolist()
+        every = _grams(w, words)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            s = every[a : b - words + 1].copy() if b - a >= words else _grams(w[a:b], b - a) if b > a else w[:0]
+            s.sort()
+            if len(s) > 1:
+                first = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=first[1:])
+                s = s[first]
+            out.append(s)
+        at = end
+    return out
 
 
 def needed(n: int, threshold: tuple[int, int]) -> int:
@@ -85,12 +118,17 @@ def needed(n: int, threshold: tuple[int, int]) -> int:
     return -(-threshold[0] * n // threshold[1])
 
 
+def _limit(share: float) -> int:
+    """The hash below which the counted share of the universe lies."""
+    return min(int(share * 2.0**64), 2**64 - 1)
+
+
 def _profile(words: int, threshold: tuple[int, int], share: float):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("counted", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in utf8(batch.column(1))]
+            sets = shingle_sets(utf8(batch.column(1)), words)
             counted = [_first_of_order(s, threshold, share)[0] for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary())], schema=schema)
 
@@ -99,36 +137,27 @@ def _profile(words: int, threshold: tuple[int, int], share: float):
 
 def _first_of_order(s: np.ndarray, threshold: tuple[int, int], share: float) -> tuple[int, int]:
     """(how many shingles of a sorted set are in the counted share, how many are to be emitted)."""
-    counted = int(np.searchsorted(s, np.uint64(int(share * (2**64 - 1)))))
+    counted = int(np.searchsorted(s, np.uint64(_limit(share))))
     return counted, max(counted, len(s) - needed(len(s), threshold) + 1)
 
 
 def _postings(words: int, threshold: tuple[int, int], share: float):
+    """(token, doc_id) of the counted share and, where that is shorter, of the first shingles of a set."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, docs, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingles(text, words)
-                if len(s) and doc_id is not None:
-                    tokens.append(s[: _first_of_order(s, threshold, share)[1]])
-                    docs.append((doc_id, len(tokens[-1])))
-                    held += len(tokens[-1])
-                if held > 500_000:
-                    yield _posting_batch(tokens, docs, schema)
-                    tokens, docs, held = [], [], 0
-            if tokens:
-                yield _posting_batch(tokens, docs, schema)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = shingle_sets(utf8(part.column(1)), words)
+                found = [(d, s[: _first_of_order(s, threshold, share)[1]]) for d, s in zip(part.column(0).to_pylist(), sets, strict=True) if d is not None and len(s)]
+                if found:
+                    ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(s) for _, s in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for _, s in found]).view(np.int64)), pa.array(ids)], schema=schema)
 
     return run
 
 
-def _posting_batch(tokens: list, docs: list, schema: pa.Schema) -> pa.RecordBatch:
-    ids = np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids)], schema=schema)
-
-
 class SetTrie:
     """A prefix tree of sets as sorted rows and the depth that each shares with the row before it.
 
@@ -203,14 +232,14 @@ def _verify(words: int, threshold: tuple[int, int], chunk: int):
             docs, sets = [], []
 
         for batch in batches:
-            for h, is_hub, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), utf8(batch.column(3)), strict=True):
+            for h, is_hub, doc_id, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(utf8(batch.column(3)), words), strict=True):
                 if is_hub:
                     if h != hub or docs:
                         flush()
-                    hub, probe = h, shingles(text, words)
+                    hub, probe = h, s
                     continue
                 docs.append(doc_id)
-                sets.append(shingles(text, words))
+                sets.append(s)
                 if len(docs) >= chunk:
                     flush()
             if len(rows) >= 5000:
@@ -243,68 +272,79 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = staged(source.mapInArrow(_profile(words, threshold, share), "doc_id long, n long, counted long, key binary"), "profile")
     classes = profile.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted"))
-    firsts = staged(_firsts(source, classes, words, threshold, share), "firsts")
+    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
+
+    candidates = staged(_candidates(source, reps, words, threshold, share), "candidates")
+    texts = staged(source.join(candidates.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    firsts = staged(_firsts(texts, candidates, words, threshold), "firsts")
 
-    hubs = firsts.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
-    at_hub = firsts.join(hubs, "token")
-    pairs = at_hub.filter("doc_id <> hub").select("doc_id", "hub").distinct()
-    nodes = at_hub.select(F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
-    texts = staged(source.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    earliest = firsts.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("h"), F.count("*").alias("docs")).filter("docs > 1")
+    at_hub = firsts.join(earliest.select("token", F.col("h.doc_id").alias("hub"), F.col("h.pos").alias("hub_pos"), F.col("h.n").alias("hub_n")), "token")
+    pairs = at_hub.filter("doc_id <> hub").filter(_may_link("n", "pos", "hub_n", "hub_pos", threshold)).select("doc_id", "hub").distinct()
     # a member less similar to its hub than this can't link with a member that links with the hub
     near = _verified(pairs, texts, words, (max(1, 2 * num - den), den), chunk, per_salt)
-    distance = 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
     linked = den * F.col("both") >= num * (F.col("n") + F.col("m") - F.col("both"))
     links = near.filter("both >= 0").filter(linked).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    first_components = staged(components(links), "first-components")
+    found = staged(components(links), "hub-components")
 
-    rest = _rest(at_hub, near.withColumn("linked", (F.col("both") >= 0) & linked).withColumn("distance", F.when(F.col("both") >= 0, distance)), first_components, threshold)
-    rest = staged(rest, "rest")
+    distance = F.when(F.col("both") >= 0, 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    known = near.select("doc_id", "hub", ((F.col("both") >= 0) & linked).alias("linked"), distance.alias("d"))
+    rest = staged(_rest(at_hub, known, found, threshold), "rest")
     if rest.take(1):
-        more = _verified(rest, texts, words, threshold, chunk, per_salt)
-        links = links.union(more.filter("both >= 0").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-        found = components(links)
-    else:
-        found = first_components
+        more = _verified(rest, texts, words, threshold, chunk, per_salt).filter("both >= 0").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+        if more.take(1):
+            found = components(links.union(more))
     of_class = classes.join(found, classes.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = profile.join(of_class, "key", "left")
-    # a blank text has no class that links, a null id no component
+    # a blank text links with nothing, a null id has no component
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _firsts(source: DataFrame, classes: DataFrame, words: int, threshold: tuple[int, int], share: float) -> DataFrame:
-    """(token, doc_id, n): the shingles among each representative's first ones that another text has too."""
+def _candidates(source: DataFrame, reps: DataFrame, words: int, threshold: tuple[int, int], share: float) -> DataFrame:
+    """(doc_id, n) of the representatives with a first shingle that another text has too."""
     num, den = threshold
     postings = source.mapInArrow(_postings(words, threshold, share), "token long, doc_id long")
     frequency = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    limit = int(share * (2**64 - 1))
+    limit = _limit(share)
     # a token is an unsigned hash in a signed column; those below the limit come first
     early = (F.col("token") >= 0) & (F.col("token") < limit) if limit < 2**63 else (F.col("token") >= 0) | (F.col("token") < limit - 2**64)
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "counted").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
-    shared = postings.join(frequency, "token").join(reps, "doc_id").withColumn("later", (~early).cast("int"))
-    own = Window.partitionBy("doc_id")
-    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("later", "df", "token"))).withColumn("common", F.sum(1 - F.col("later")).over(own))
+    shared = postings.join(frequency, "token").groupBy("doc_id").agg(F.count_if(early).alias("common"), F.count_if(~early).alias("later"))
     first = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     # what no other text has precedes everything that is shared
-    return ranked.filter((F.col("later") == 1) | (F.col("place") <= first - (F.col("counted") - F.col("common")))).select("token", "doc_id", "n")
+    return reps.join(shared, "doc_id").filter((F.col("later") > 0) | (first > F.col("counted") - F.col("common"))).select("doc_id", "n")
+
+
+def _firsts(texts: DataFrame, candidates: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(token, doc_id, n, pos): the shared ones of each candidate's first shingles, in order of frequency among candidates."""
+    num, den = threshold
+    postings = texts.mapInArrow(_postings(words, threshold, 1.0), "token long, doc_id long")
+    frequency = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("doc_id")
+    ranked = postings.join(frequency, "token").join(candidates, "doc_id").withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.count("*").over(own))
+    pos = (F.col("n") - F.col("common") + F.col("place") - 1).alias("pos")
+    return ranked.select("token", "doc_id", "n", pos).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den))
+
+
+def _may_link(n: str, pos: str, m: str, m_pos: str, threshold: tuple[int, int]):
+    """Whether sets of n and m elements can link if the first that they share is at these places."""
+    num, den = threshold
+    n, pos, m, m_pos = (F.col(c) for c in (n, pos, m, m_pos))
+    overlap = F.ceil((n + m) * num / (num + den))
+    return (n - pos >= overlap) & (m - m_pos >= overlap)
 
 
-def _rest(at_hub: DataFrame, near: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _rest(at_hub: DataFrame, known: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(doc_id, hub): pairs under one token, not joined yet, that may link for all that is known of their hub."""
     num, den = threshold
     label = found.select(F.col("id").alias("doc_id"), "component")
-    rows = at_hub.join(near.select("doc_id", "hub", "linked", "distance"), ["doc_id", "hub"], "left").join(label, "doc_id", "left")
     own = F.col("doc_id") == F.col("hub")
-    rows = rows.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"), (F.coalesce("linked", F.lit(False)) | own).alias("linked"), F.when(own, 0.0).otherwise(F.col("distance")).alias("d"))
-    mixed = rows.groupBy("token").agg(F.count_if(~F.col("linked")).alias("loose")).filter("loose > 0").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    loose = rows.filter(~F.col("linked")).select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "c", "d")))
-    fits = (F.col("c") != F.col("c_b")) & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
-    step = 1 - num / den + 1e-9
-    known = F.abs(F.coalesce(F.col("d"), F.lit(1.0)) - F.coalesce(F.col("d_b"), F.lit(1.0))) <= step
-    either = F.col("d").isNull() | F.col("d_b").isNull()
-    among = rows.filter(~F.col("linked")).join(loose, "token").filter(fits & (F.col("doc_id") < F.col("doc_id_b")) & (known | either))
-    ring = loose.filter("d_b is not null")
-    across = rows.filter("linked").join(ring, "token").filter(fits & known)
-    pairs = among.select("doc_id", "doc_id_b").union(across.select("doc_id", "doc_id_b"))
+    rows = at_hub.join(known, ["doc_id", "hub"], "left").join(label, "doc_id", "left")
+    rows = rows.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"), (F.coalesce("linked", F.lit(False)) | own).alias("linked"), F.when(own, 0.0).otherwise(F.col("d")).alias("d"))
+    mixed = rows.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
+    rows = staged(rows.join(mixed, "token", "left_semi"), "mixed")
+    loose = rows.filter(~F.col("linked")).select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "c", "d")))
+    apart = F.abs(F.coalesce(F.col("d") - F.col("d_b"), F.lit(0.0))) <= 1 - num / den + 1e-9
+    once = F.col("linked") | (F.col("doc_id") < F.col("doc_id_b"))
+    pairs = rows.join(loose, "token").filter((F.col("c") != F.col("c_b")) & once & apart & _may_link("n", "pos", "n_b", "pos_b", threshold))
     return pairs.select(F.greatest("doc_id", "doc_id_b").alias("doc_id"), F.least("doc_id", "doc_id_b").alias("hub")).distinct()
