@@ -237,10 +237,12 @@ def decode(encoded: DataFrame, model: str | Pieces = DEFAULT_MODEL) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch.column(0).offsets.to_numpy()
-            ids = batch.column(0).values.to_numpy(zero_copy_only=False).tolist()
-            texts = [pieces.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.binary()).cast(pa.string())], [*rest, "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                cuts = part.column(0).offsets.to_numpy()
+                ids = part.column(0).values.to_numpy(zero_copy_only=False)
+                texts = [pieces.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.binary()).cast(pa.string())], [*rest, "decoded"])
 
     schema = encoded.select(*rest).schema.add("decoded", "string")
     return encoded.select("ids", *rest).mapInArrow(run, schema)

@@ -9,7 +9,8 @@ from faultlens.functions.numbers import change, correlation_strength, pearson, p
 from faultlens.functions.severity import severity
 from faultlens.operators.windows import days, since
 
-CRITICAL = severity(F.col("error_type")) == "critical"
+def _critical() -> Column:
+    return severity(F.col("error_type")) == "critical"
 
 
 def _sorted(name: str) -> Column:
@@ -18,12 +19,12 @@ def _sorted(name: str) -> Column:
 
 def by_version(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     rows = since(logs, as_of, n).filter("app_version is not null")
-    return rows.groupBy("app_version").agg(F.count("*").alias("n"), F.count_distinct("error_type").alias("types"), F.count_if(CRITICAL).alias("critical"), _sorted("platform").alias("platforms"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
+    return rows.groupBy("app_version").agg(F.count("*").alias("n"), F.count_distinct("error_type").alias("types"), F.count_if(_critical()).alias("critical"), _sorted("platform").alias("platforms"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
 
 
 def by_sha(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     rows = since(logs, as_of, n).filter("git_sha is not null")
-    return rows.groupBy("git_sha").agg(F.count("*").alias("n"), F.count_distinct("error_type").alias("types"), F.count_if(CRITICAL).alias("critical"), _sorted("app_version").alias("versions"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
+    return rows.groupBy("git_sha").agg(F.count("*").alias("n"), F.count_distinct("error_type").alias("types"), F.count_if(_critical()).alias("critical"), _sorted("app_version").alias("versions"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
 
 
 def problematic_releases(logs: DataFrame, as_of: Column, n: int = 30, factor: float = 2.0) -> DataFrame:

@@ -30,12 +30,13 @@ def whole(x: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.coalesce(x, F.lit("")), r"^\s*(-?\d+)", 1).try_cast("bigint"), F.lit(0))
 
 
-SEEN = (F.count_distinct("id").alias("errors"), F.max("occurred_at").alias("last_seen"))
+def _seen() -> tuple[Column, Column]:
+    return F.count_distinct("id").alias("errors"), F.max("occurred_at").alias("last_seen")
 
 
 def deprecations(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     rows = crumbs(logs, as_of, n, "deprecation").filter("m is not null and trim(m) <> ''")
-    return rows.groupBy(F.col("m").alias("message"), blank_to(F.col("meta")["caller"], "Unknown").alias("source")).agg(F.count("*").alias("n"), *SEEN)
+    return rows.groupBy(F.col("m").alias("message"), blank_to(F.col("meta")["caller"], "Unknown").alias("source")).agg(F.count("*").alias("n"), *_seen())
 
 
 def repeated_queries(logs: DataFrame, as_of: Column, n: int = 30, threshold: int = 3) -> DataFrame:
@@ -64,21 +65,21 @@ def cable(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     kind = F.col("meta")["event_type"]
     is_ = lambda *names: F.count_if(kind.isin(*names))
     rows = crumbs(logs, as_of, n, "action_cable")
-    return rows.groupBy(blank_to(F.col("meta")["channel"], "Unknown").alias("channel")).agg(F.count("*").alias("n"), is_("perform_action").alias("actions"), is_("transmit").alias("transmissions"), is_("subscription_confirmation").alias("subscriptions"), is_("subscription_rejection").alias("rejections"), *SEEN)
+    return rows.groupBy(blank_to(F.col("meta")["channel"], "Unknown").alias("channel")).agg(F.count("*").alias("n"), is_("perform_action").alias("actions"), is_("transmit").alias("transmissions"), is_("subscription_confirmation").alias("subscriptions"), is_("subscription_rejection").alias("rejections"), *_seen())
 
 
 def storage(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     op = F.col("meta")["operation"]
     took = F.when(F.col("d") > 0, F.col("d"))
     rows = crumbs(logs, as_of, n, "active_storage")
-    return rows.groupBy(blank_to(F.col("meta")["service"], "Unknown").alias("service")).agg(F.count("*").alias("n"), F.count_if(op == "upload").alias("uploads"), F.count_if(op.isin("download", "streaming_download")).alias("downloads"), F.count_if(op.isin("delete", "delete_prefixed")).alias("deletes"), F.count_if(op == "exist").alias("exists"), round_half_up(F.avg(took), 2).alias("avg_ms"), F.max(took).alias("max_ms"), *SEEN)
+    return rows.groupBy(blank_to(F.col("meta")["service"], "Unknown").alias("service")).agg(F.count("*").alias("n"), F.count_if(op == "upload").alias("uploads"), F.count_if(op.isin("download", "streaming_download")).alias("downloads"), F.count_if(op.isin("delete", "delete_prefixed")).alias("deletes"), F.count_if(op == "exist").alias("exists"), round_half_up(F.avg(took), 2).alias("avg_ms"), F.max(took).alias("max_ms"), *_seen())
 
 
 def rate_limits(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     m = F.col("meta")
     first = F.min(F.struct("id", "pos", m["type"].alias("type"), m["path"].alias("path"))).alias("x")
     rows = crumbs(logs, as_of, n, "rack_attack")
-    return rows.groupBy(blank_to(m["rule"], "Unknown").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct(m["discriminator"]).alias("discriminators"), F.count_distinct(m["path"]).alias("paths"), first, *SEEN).select("rule", "n", "discriminators", "paths", F.col("x.type").alias("match_type"), F.col("x.path").alias("first_path"), "errors", "last_seen")
+    return rows.groupBy(blank_to(m["rule"], "Unknown").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct(m["discriminator"]).alias("discriminators"), F.count_distinct(m["path"]).alias("paths"), first, *_seen()).select("rule", "n", "discriminators", "paths", F.col("x.type").alias("match_type"), F.col("x.path").alias("first_path"), "errors", "last_seen")
 
 
 def _llm_rows(logs: DataFrame, as_of: Column, n: int) -> DataFrame:
@@ -88,15 +89,16 @@ def _llm_rows(logs: DataFrame, as_of: Column, n: int) -> DataFrame:
     return crumbs(logs, as_of, n, "llm", "llm_tool").select("id", "occurred_at", "pos", "c", blank_to(m["provider"], "unknown").alias("provider"), blank_to(m["model"], "unknown").alias("model"), m["status"].alias("status"), number("input_tokens").alias("tokens_in"), number("output_tokens").alias("tokens_out"), F.when(took > 0, took).alias("took"), number("cost_usd").alias("cost"), m["error_class"].alias("error_class"))
 
 
-FAILED = F.col("status").isin("error", "timeout")
+def _failed() -> Column:
+    return F.col("status").isin("error", "timeout")
 
 
 def llm_health(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     """By provider and model: calls, failures, tokens, time and cost."""
     rows = _llm_rows(logs, as_of, n)
     call = F.col("c") == "llm"
-    per = rows.groupBy("provider", "model").agg(F.count_if(call).alias("calls"), F.count_if(~call).alias("tool_calls"), F.count_if(FAILED).alias("failed"), F.count("*").alias("attempts"), round_half_up(F.avg("tokens_in"), 0).alias("avg_in"), round_half_up(F.avg("tokens_out"), 0).alias("avg_out"), round_half_up(F.avg("took"), 2).alias("avg_ms"), round_half_up(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost_usd"), *SEEN)
-    classes = rows.filter(FAILED & F.col("error_class").isNotNull()).groupBy("provider", "model", "error_class").agg(F.count("*").alias("k"))
+    per = rows.groupBy("provider", "model").agg(F.count_if(call).alias("calls"), F.count_if(~call).alias("tool_calls"), F.count_if(_failed()).alias("failed"), F.count("*").alias("attempts"), round_half_up(F.avg("tokens_in"), 0).alias("avg_in"), round_half_up(F.avg("tokens_out"), 0).alias("avg_out"), round_half_up(F.avg("took"), 2).alias("avg_ms"), round_half_up(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost_usd"), *_seen())
+    classes = rows.filter(_failed() & F.col("error_class").isNotNull()).groupBy("provider", "model", "error_class").agg(F.count("*").alias("k"))
     top = classes.groupBy("provider", "model").agg(F.min(F.struct((-F.col("k")).alias("k"), "error_class")).alias("x")).select("provider", "model", F.col("x.error_class").alias("top_error"), (-F.col("x.k")).alias("top_error_count"))
     rate = percent(F.col("failed"), F.col("attempts"), 2)
     return per.join(top, ["provider", "model"], "left").withColumn("error_rate", rate).withColumn("severity", F.when(F.col("error_rate") >= 10, "danger").when(F.col("error_rate") >= 5, "warning").otherwise("success"))
@@ -104,7 +106,7 @@ def llm_health(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
 
 def llm_totals(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     rows = _llm_rows(logs, as_of, n)
-    one = rows.agg(F.count("*").alias("attempts"), F.count_if(FAILED).alias("failed"), round_half_up(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost_usd"), F.count_distinct("id").alias("errors"), F.count_distinct("provider", "model").alias("models"))
+    one = rows.agg(F.count("*").alias("attempts"), F.count_if(_failed()).alias("failed"), round_half_up(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost_usd"), F.count_distinct("id").alias("errors"), F.count_distinct("provider", "model").alias("models"))
     return one.withColumn("error_rate", percent(F.col("failed"), F.col("attempts"), 2))
 
 

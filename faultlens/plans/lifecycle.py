@@ -10,8 +10,12 @@ from faultlens.functions.severity import severity
 from faultlens.functions.text import truncate
 from faultlens.operators.windows import days, since
 
-HOURS = seconds(F.col("occurred_at"), F.col("resolved_at")) / 3600
-URGENT = severity(F.col("error_type")).isin("critical", "high")
+def _hours() -> Column:
+    return seconds(F.col("occurred_at"), F.col("resolved_at")) / 3600
+
+
+def _urgent() -> Column:
+    return severity(F.col("error_type")).isin("critical", "high")
 
 
 def release_timeline(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
@@ -50,14 +54,14 @@ def release_comparison(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame
 def mttr(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     done = since(logs, as_of, n).filter("resolved and resolved_at is not null")
     minutes = seconds(F.col("occurred_at"), F.col("resolved_at")) / 60
-    return done.agg(F.count("*").alias("resolved"), F.coalesce(round_half_up(F.avg(round_half_up(HOURS, 2)), 2), F.lit(0.0)).alias("mttr_hours"), F.floor(F.min(minutes)).alias("fastest_minutes"), round_half_up(F.max(minutes) / 60, 1).alias("slowest_hours"))
+    return done.agg(F.count("*").alias("resolved"), F.coalesce(round_half_up(F.avg(round_half_up(_hours(), 2)), 2), F.lit(0.0)).alias("mttr_hours"), F.floor(F.min(minutes)).alias("fastest_minutes"), round_half_up(F.max(minutes) / 60, 1).alias("slowest_hours"))
 
 
 def mttr_by(logs: DataFrame, as_of: Column, key: str, n: int = 30) -> DataFrame:
     """By platform or severity; groups without resolved rows are absent."""
     done = since(logs, as_of, n).filter("resolved and resolved_at is not null")
     group = severity(F.col("error_type")) if key == "severity" else F.col(key)
-    return done.groupBy(group.alias(key)).agg(round_half_up(F.avg(HOURS), 2).alias("mttr_hours")).filter(F.col(key).isNotNull())
+    return done.groupBy(group.alias(key)).agg(round_half_up(F.avg(_hours()), 2).alias("mttr_hours")).filter(F.col(key).isNotNull())
 
 
 def mttr_by_week(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
@@ -65,7 +69,7 @@ def mttr_by_week(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     start = as_of - days(n)
     week = F.floor(seconds(start, F.col("occurred_at")) / 604800)
     done = since(logs, as_of, n).filter("resolved and resolved_at is not null")
-    return done.groupBy(week.alias("week")).agg(F.count("*").alias("n"), round_half_up(F.avg(HOURS), 2).alias("mttr_hours"))
+    return done.groupBy(week.alias("week")).agg(F.count("*").alias("n"), round_half_up(F.avg(_hours()), 2).alias("mttr_hours"))
 
 
 def high_frequency(logs: DataFrame, as_of: Column, n: int = 30, k: int = 10) -> DataFrame:
@@ -105,7 +109,7 @@ def digest(logs: DataFrame, as_of: Column, n: int = 1) -> DataFrame:
     now = at >= as_of - days(n)
     before = (at >= as_of - days(2 * n)) & ~now
     done = F.col("resolved")
-    one = logs.filter(at >= as_of - days(2 * n)).agg(F.count_if(now & (F.col("occurrence_count") <= 1)).alias("new_errors"), F.count_if(now).alias("total"), F.coalesce(F.sum(F.when(now, F.col("occurrence_count"))), F.lit(0)).alias("occurrences"), F.count_if(now & done).alias("resolved"), F.count_if(now & ~done).alias("unresolved"), F.count_if(now & URGENT).alias("urgent"), F.count_if(before).alias("previous"))
+    one = logs.filter(at >= as_of - days(2 * n)).agg(F.count_if(now & (F.col("occurrence_count") <= 1)).alias("new_errors"), F.count_if(now).alias("total"), F.coalesce(F.sum(F.when(now, F.col("occurrence_count"))), F.lit(0)).alias("occurrences"), F.count_if(now & done).alias("resolved"), F.count_if(now & ~done).alias("unresolved"), F.count_if(now & _urgent()).alias("urgent"), F.count_if(before).alias("previous"))
     return one.select("*", percent(F.col("resolved"), F.col("total")).alias("resolution_rate"), F.when(F.col("previous") > 0, change(F.col("total"), F.col("previous"))).alias("change_percentage"))
 
 
@@ -115,7 +119,7 @@ def digest_top(logs: DataFrame, as_of: Column, n: int = 1, k: int = 5) -> DataFr
 
 
 def digest_urgent(logs: DataFrame, as_of: Column, n: int = 1, k: int = 5) -> DataFrame:
-    return since(logs, as_of, n).filter(~F.col("resolved") & URGENT).orderBy(F.col("occurred_at").desc(), "id").limit(k).select("id", "error_type", "occurred_at")
+    return since(logs, as_of, n).filter(~F.col("resolved") & _urgent()).orderBy(F.col("occurred_at").desc(), "id").limit(k).select("id", "error_type", "occurred_at")
 
 
 def filter_options(logs: DataFrame) -> DataFrame:

@@ -11,8 +11,12 @@ from faultlens.functions.text import truncate
 from faultlens.operators.windows import day_spine, days, since
 from faultlens.plans.dashboard import health_status
 
-HOURS = seconds(F.col("occurred_at"), F.col("resolved_at")) / 3600
-DONE = F.col("resolved") & F.col("resolved_at").isNotNull()
+def _hours() -> Column:
+    return seconds(F.col("occurred_at"), F.col("resolved_at")) / 3600
+
+
+def _done() -> Column:
+    return F.col("resolved") & F.col("resolved_at").isNotNull()
 
 
 def severity_distribution(logs: DataFrame, as_of: Column, n: int = 7) -> DataFrame:
@@ -22,7 +26,7 @@ def severity_distribution(logs: DataFrame, as_of: Column, n: int = 7) -> DataFra
 def resolution_times(logs: DataFrame, as_of: Column, n: int = 7) -> DataFrame:
     """Mean of each row's hours to two digits; platforms of all time, null where nothing was resolved."""
     every = logs.filter("platform is not null").select("platform").distinct()
-    found = since(logs, as_of, n).filter(DONE).groupBy("platform").agg(round_half_up(F.avg(round_half_up(HOURS, 2)), 2).alias("hours"))
+    found = since(logs, as_of, n).filter(_done()).groupBy("platform").agg(round_half_up(F.avg(round_half_up(_hours(), 2)), 2).alias("hours"))
     return every.join(found, "platform", "left").select("platform", "hours")
 
 
@@ -34,7 +38,7 @@ def top_errors(logs: DataFrame, as_of: Column, n: int = 7, k: int = 10) -> DataF
 
 def stability(logs: DataFrame, as_of: Column, n: int = 7) -> DataFrame:
     """Few errors and quick resolutions, against the worst platform. The rows without a platform count among the worst."""
-    per = since(logs, as_of, n).groupBy("platform").agg(F.count("*").alias("n"), round_half_up(F.avg(F.when(DONE, round_half_up(HOURS, 2))), 2).alias("h"))
+    per = since(logs, as_of, n).groupBy("platform").agg(F.count("*").alias("n"), round_half_up(F.avg(F.when(_done(), round_half_up(_hours(), 2))), 2).alias("h"))
     worst = per.agg(F.max("n").alias("most"), F.max(F.when(F.col("platform").isNotNull(), F.col("h"))).alias("slowest"))
     few = 1 - F.col("n") / F.greatest("most", F.lit(1))
     slow = F.coalesce("slowest", F.lit(0.0))

@@ -22,9 +22,10 @@ def reports(spark: SparkSession, path: str, streaming: bool = False) -> DataFram
 
 def crash_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Whole-file JSON crash reports under a glob: (good ones, paths of bad ones)."""
-    rows = spark.read.schema(REPORT + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad).select("file").distinct()
+    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = files.withColumn("r", F.from_json("value", REPORT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    return parsed.filter(~bad).select("r.*", "file").drop("_corrupt_record"), parsed.filter(bad).select("file")
 
 
 def prepared(rows: DataFrame, ignore: list[str] = (), ignore_patterns: list[str] = (), rate: float = 1.0, custom_fingerprint: Column | None = None, custom_severity: dict[str, str] | None = None) -> DataFrame:
