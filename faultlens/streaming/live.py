@@ -27,11 +27,13 @@ def bursts(events: DataFrame, late: str = "10 minutes", gap: str = "60 seconds",
     return per.filter(F.col("n") >= least).select("error_type", "start", "end", "n")
 
 
-def grouped(events: DataFrame, window: timedelta = timedelta(hours=24)) -> DataFrame:
+def grouped(events: DataFrame, window: timedelta = timedelta(hours=24), late: str = "24 hours") -> DataFrame:
     """(application_id, error_hash, at) -> a change of a group for each batch that touches it: first_seen_at, last_seen_at, occurrence_count.
 
-    The state of a key is three values. A key that rests for the window is forgotten.
+    The state of a key is three values. A key that rests for the window, in event time, is forgotten;
+    rows later than ``late`` are dropped.
     """
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -49,11 +51,11 @@ def grouped(events: DataFrame, window: timedelta = timedelta(hours=24)) -> DataF
                     first, last, count = us, us, 1
         rows.append((*key, first, last, count))
         state.update((first, last, count))
-        state.setTimeoutDuration(int(window.total_seconds() * 1000))
+        state.setTimeoutTimestamp(max(last // 1000 + int(window.total_seconds() * 1000), state.getCurrentWatermarkMs()) + 1)
         out = pd.DataFrame(rows, columns=["application_id", "error_hash", "first_us", "last_us", "occurrence_count"])
         yield out
 
-    return events.groupBy("application_id", "error_hash").applyInPandasWithState(step, "application_id long, error_hash string, first_us long, last_us long, occurrence_count long", "first long, last long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", late).groupBy("application_id", "error_hash").applyInPandasWithState(step, "application_id long, error_hash string, first_us long, last_us long, occurrence_count long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(alerts: DataFrame, keys: str = "error_hash", minutes: float = 5) -> DataFrame:

@@ -19,7 +19,7 @@ def drive(spark, tmp_path):
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
             stream = spark.readStream.schema(schema).parquet(str(src))
             q = build(stream).writeStream.outputMode(mode).format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-            q.awaitTermination(120)
+            assert q.awaitTermination(120), "the stream doesn't end"
             n[0] += 1
         return spark.read.parquet(str(tmp_path / "out"))
 
