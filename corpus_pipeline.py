@@ -1,13 +1,12 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again.
 
-Every stage but the last returns the columns of documents. Rows without a doc_id pass the stages that
-tell rows apart by it: exact dedup keeps one of equal texts among them, near dedup all.
+Every stage but the last returns the columns of documents. Rows without a doc_id pass near dedup, which
+tells rows apart by it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultlens.llm import exact_dedup, language_id, ngram_join, packing, quality
 from faultlens.llm.common import staged
@@ -25,11 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of the documents with equal texts stays."""
-    found = exact_dedup.exact_dedup(docs).filter("kept")
-    with_id = docs.join(found.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    without = docs.filter("doc_id is null").withColumn("_digest", digest).join(found.filter("doc_id is null").select(F.col("text_sha256").alias("_digest")), "_digest", "left_semi").dropDuplicates(["_digest"])
-    return with_id.select(docs.columns).union(without.select(docs.columns))
+    return exact_dedup.keep_one(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

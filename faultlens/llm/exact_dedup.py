@@ -110,7 +110,7 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, capacity: int = 200_000) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, n_chars, text_sha256.
 
     ``capacity`` bounds a memtable; ``digest_bytes`` is how much of the SHA-256 the index compares (a
     short key makes collisions, which verification then resolves).
@@ -122,7 +122,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, capacity: int = 200_000
     where = shared_path(spark, "collided")
     index.collided(docs).write.parquet(where)
     collided = spark.read.schema("key binary").parquet(where)
-    columns = ["doc_id", F.bitwise_not("best.inv").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept")]
+    columns = ["doc_id", F.bitwise_not("best.inv").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "n_chars"]
     joined = index.runs().join(level, "key")
     digest = F.lower(F.hex("digest")).alias("text_sha256")
     if not collided.take(1):
@@ -133,3 +133,13 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, capacity: int = 200_000
     best = rows.groupBy("body").agg(F.count("*").alias("size"), F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("inv"), "row")).alias("best"))
     apart = rows.join(best, "body").select(*columns, F.sha2("body", 256).alias("text_sha256"))
     return joined.join(collided, "key", "left_anti").select(*columns, digest).unionByName(apart)
+
+
+def keep_one(docs: DataFrame, digest_bytes: int = 32, capacity: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    of_row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256).alias("text_sha256"))
+    kept = exact_dedup(docs, digest_bytes, capacity).filter("kept").select(F.xxhash64("doc_id", "text_sha256").alias("_at"), F.struct("doc_id", "n_chars", "text_sha256").alias("_kept"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), of_row.alias("of")).withColumn("at", F.xxhash64("of.doc_id", "of.text_sha256"))
+    found = rows.join(kept, (F.col("at") == F.col("_at")) & F.col("of").eqNullSafe(F.col("_kept")), "left_semi")
+    return found.dropDuplicates(["of"]).select("row.*")
