@@ -59,9 +59,14 @@ def _memtable(capacity: int):
     return run
 
 
-def _texts(digest_bytes: int):
+def _texts(digest_bytes: int, once: bool):
+    """Rows of ``TEXT``; with ``once``, one of equal bodies within a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if once:
+                first = {normalise(x): i for i, x in reversed(list(enumerate(utf8(batch.column(1)))))}
+                batch = batch.take(pa.array(sorted(first.values()), pa.int64()))
             chars = pa.compute.utf8_length(batch.column(1)).fill_null(0).cast(pa.int64())
             body = [normalise(x) for x in utf8(batch.column(1))]
             key = pa.array([hashlib.sha256(x).digest()[:digest_bytes] for x in body], pa.binary())
@@ -101,12 +106,12 @@ class DigestIndex:
     def collided(self, docs: DataFrame) -> DataFrame:
         """Byte verification of the hits: the keys that stand for more than one text."""
         hits = self.level().filter("size > 1").select("key")
-        texts = self.bodies(docs).join(hits, "key", "left_semi").groupBy("key", "body").agg(F.count("*").alias("n"))
+        texts = self.bodies(docs, once=True).join(hits, "key", "left_semi").groupBy("key", "body").agg(F.count("*").alias("n"))
         return texts.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select("key")
 
-    def bodies(self, docs: DataFrame) -> DataFrame:
-        """Key, entry columns and normalised text of each document."""
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_texts(self.digest_bytes), TEXT_DDL)
+    def bodies(self, docs: DataFrame, once: bool = False) -> DataFrame:
+        """Key, entry columns and normalised text of each document; with ``once``, of equal ones one from each batch."""
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_texts(self.digest_bytes, once), TEXT_DDL)
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, capacity: int = 200_000) -> DataFrame:
