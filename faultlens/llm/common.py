@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: the class [\x20\x09-\x0D].
@@ -53,6 +53,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def place(column: str) -> Column:
+    """A hash of a column as a number from 0 to below 1: rows below ``k / n`` are about k of n."""
+    return F.pmod(F.xxhash64(column), F.lit(2**53)) / float(2**53)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b: long), as (id, component): the smallest id reachable.
 

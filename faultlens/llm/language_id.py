@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import staged
+from faultlens.llm.common import place, staged
 
 UNKNOWN = "und"
 FOLD = 1022
@@ -114,9 +114,15 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray]]:
     """Gram sets of at most ``per_language`` texts of each language, picked by a hash of their ids."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).filter("lang is not null").filter(~held_out(F.col("doc_id")))
-    picked = staged(known.distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language), "picked").select("doc_id", "lang", "at")
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language, as the model has
+    if not rows:
+        return []
+    # enough of each language by far, so that what is ranked doesn't grow with the table
+    share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, 8.0 * per_language / n)))[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
+    ranked = known.filter(place("doc_id") < share).distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
+    picked = staged(ranked, "picked").select("doc_id", "lang", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

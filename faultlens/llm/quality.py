@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import staged, utf8
+from faultlens.llm.common import place, staged, utf8
 from faultlens.llm.ngram_join import word_hashes
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -196,9 +196,12 @@ def learn(docs: DataFrame, dims: int = 2048, sample: int = 4000) -> Scorer:
 
     voted = staged(rows.mapInArrow(vote, "doc_id long, votes string"), "votes")
     counted = voted.groupBy("votes").count().collect()  # 3 to the number of labellers at most
-    posterior = em(sorted((tuple(map(int, r["votes"])), r["count"]) for r in counted))
+    patterns = sorted((tuple(map(int, r["votes"])), r["count"]) for r in counted)
+    posterior = em(patterns)
     of = {"".join(map(str, p)): x for p, x in posterior.items()}
-    picked = staged(voted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "picked")
+    # enough by far, so that what is ranked doesn't grow with the table
+    few = voted.select("doc_id").filter(place("doc_id") < 8.0 * sample / max(1, sum(n for _, n in patterns)))
+    picked = staged(few.distinct().orderBy(place("doc_id"), "doc_id").limit(sample), "picked")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
