@@ -46,3 +46,12 @@ def test_runs_are_sorted(spark):
     for r in index.runs().collect():
         by[r.row.run].append((r.row.task, bytes(r.digest)))
     assert len(by) > 20 and all(len(x) <= 10 and x == sorted(x) for x in by.values())
+
+
+def test_keep_one_keeps_columns_and_the_longest_text(spark):
+    schema = "doc_id long, text string, kept string, `a.b` string"
+    rows = [(1, "x y", "p", "q"), (1, "x  y", "r", "s"), (2, "xy", "p", "q"), (3, None, None, None), (None, "", "p", "q"), (None, "z", "p", "q"), (None, "z", "p", "q")]
+    out = d.keep_one(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "kept", "a.b"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "x  y", "r", "s"), (3, None, None, None), (None, "z", "p", "q")]))
+    assert d.keep_one(spark.createDataFrame([], schema)).count() == 0
