@@ -6,9 +6,10 @@ committed as any Spark output is, on any file system that Spark can write.
 
 Reader: Spark's text source splits files into byte ranges and cuts them at the gzip magic; a task owns
 what starts inside its range. The magic also occurs inside compressed data, so that each piece is only
-a candidate: it is a member if its header and the WARC header inside decode. Pieces that aren't are
-joined to the member before them; if that one is in another range, the few loose ends are shuffled by
-file and joined there. Archives need a name without ``.gz``, which Spark would unpack as one stream.
+a candidate: it is a member if it and the pieces behind it inflate to a whole WARC record, and stays
+open until that is known, even where the magic occurs before the first byte comes out. If the end is
+in another range, the few loose ends are shuffled by file and joined there. Archives need a name
+without ``.gz``, which Spark would unpack as one stream.
 
 Defined results: a null payload is an empty payload; rows that repeat the smallest id are each a
 response; a null id is written as empty and read as null; truncated or foreign members are dropped
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing (RFC 1952), the separator between records.
 EMPTY_MEMBER = MAGIC + bytes(6) + b"\x03" + b"\x03" + bytes(9)
+#: What a record starts with.
+START = b"WARC/1."
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("loose", pa.binary())])
 RECORD_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, block long, seq long, loose binary"
 
@@ -57,7 +61,7 @@ def build_record(page_id, url, payload: bytes, refers_to, level: int) -> bytes:
 
 def parse_record(data: bytes) -> tuple | None:
     head, sep, body = data.partition(b"\r\n\r\n")
-    if not data.startswith(b"WARC/1.") or not sep:
+    if not data.startswith(START) or not sep:
         return None
     fields = {}
     for line in head.split(b"\r\n")[1:]:
@@ -89,86 +93,82 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, level: int = 6
     members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def _try(data: bytes) -> tuple[object, bytes | None]:
-    """(unpacker, whole content) of a candidate member; the content is None while it isn't at its end. Raises zlib.error if it is none."""
-    z = zlib.decompressobj(31)
-    out = z.decompress(data)
-    return z, out if z.eof else None
-
-
-def _starts(data: bytes) -> bool:
-    """Whether a member with a WARC record starts here; it may go on behind ``data``."""
-    try:
-        return zlib.decompressobj(31).decompress(data).startswith(b"WARC/1.")
-    except zlib.error:
-        return False
-
-
-def _stitch(pieces: list[bytes]) -> tuple | None:
-    try:
-        _, out = _try(b"".join(MAGIC + p for p in pieces))
-    except zlib.error:
-        return None
-    return parse_record(out) if out is not None else None
+class _Members:
+    """Finds the members in pieces that follow each other, each without the magic before it.
+
+    A piece is an open candidate as long as it and what follows inflate without an error and what came
+    out is a prefix of a WARC record: the magic may occur before a member gives its first byte. If
+    that fails, only the first piece is given up and those behind it are tried anew.
+    """
+
+    def __init__(self) -> None:
+        self.open: list[bytes] = []
+        self.z, self.out = None, bytearray()
+
+    def add(self, *pieces: bytes) -> Iterator[tuple[bytes | None, bytes | None]]:
+        """(piece, None) for each that starts no member, (None, content) for each whole member."""
+        todo = deque(pieces)
+        while todo:
+            if not self.open:
+                self.z, self.out = zlib.decompressobj(31), bytearray()
+            self.open.append(todo.popleft())
+            try:
+                self.out += self.z.decompress(MAGIC + self.open[-1])
+                good = self.out.startswith(START) or START.startswith(self.out)
+            except zlib.error:
+                good = False
+            if not good:
+                first, *rest = self.open
+                todo.extendleft(reversed(rest))
+                self.open = []
+                yield first, None
+            elif self.z.eof:
+                self.open = []
+                yield None, bytes(self.out)
+
+    def end(self) -> Iterator[tuple[bytes | None, bytes | None]]:
+        """The same where nothing follows: what is open is cut off."""
+        while self.open:
+            first, *rest = self.open
+            self.open = []
+            yield first, None
+            yield from self.add(*rest)
 
 
 def _decode(with_payload: bool, loose_only: bool):
-    none6, none4 = (None,) * 7, (None,) * 4
+    none7, none4 = (None,) * 7, (None,) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        head, open_, seq = True, [], 0
+        head, seq = True, 0
+        members = _Members()
         rows: list[tuple] = []
 
         def loose(pieces: list[bytes]) -> None:
             nonlocal seq
             for p in pieces:
-                rows.append((*none6, at[0], at[1], seq, p))
+                rows.append((*none7, at[0], at[1], seq, p))
                 seq += 1
 
-        def record(found: tuple | None) -> None:
-            if found and not loose_only:
-                rows.append((*(found if with_payload else (*found[:6], None)), *none4))
-
         for batch in batches:
             for file, block, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if (file, block) != at:
-                    if at and open_:
-                        loose(open_)
-                    at, head, open_, seq = (file, block), block > 0, [], 0
-                if not piece:
-                    continue
-                if open_:  # a magic inside the member before
-                    found = _stitch([*open_, piece])
-                    if found:
-                        record(found)
-                        open_ = []
-                        continue
-                    if not _starts(MAGIC + piece):
-                        open_.append(piece)
-                        continue
-                    open_ = []  # that one was cut off
-                try:
-                    _, out = _try(MAGIC + piece)
-                except zlib.error:
-                    if head:
-                        loose([piece])
-                    continue
-                if out == b"":
-                    head = False
-                elif out is None:
-                    if _starts(MAGIC + piece):
-                        head, open_ = False, [piece]
-                    elif head:
-                        loose([piece])
-                else:
-                    head = False
-                    record(parse_record(out))
+                    loose(members.open)
+                    at, head, seq, members = (file, block), block > 0, 0, _Members()
+                    if not block:
+                        continue  # what is before the first magic
+                for other, content in members.add(piece):
+                    if other is None:
+                        head = False
+                        found = parse_record(content)
+                        if found and not loose_only:
+                            rows.append((*(found if with_payload else (*found[:6], None)), *none4))
+                    elif head:  # may go on a member of the range before
+                        loose([other])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(RECORD, zip(*rows, strict=True), strict=True)], schema=RECORD)
                 rows = []
-        if at and open_:
-            loose(open_)
+        loose(members.open)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(RECORD, zip(*rows, strict=True), strict=True)], schema=RECORD)
 
@@ -179,15 +179,20 @@ def _join_loose(with_payload: bool):
     """Over the loose ends sorted by file, block and place: joins each member's start to what follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, open_, rows = None, [], []
+        file, members, rows = None, _Members(), []
+
+        def records(events: Iterator[tuple[bytes | None, bytes | None]]) -> None:
+            for _, content in events:
+                if content is not None and (found := parse_record(content)):
+                    rows.append((*(found if with_payload else (*found[:6], None)), *(None,) * 4))
+
         for batch in batches:
             for f, piece in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if f != file:
-                    file, open_ = f, []
-                open_ = [piece] if _starts(MAGIC + piece) else [*open_, piece] if open_ else []
-                if open_ and (found := _stitch(open_)):
-                    rows.append((*(found if with_payload else (*found[:6], None)), None, None, None, None))
-                    open_ = []
+                    records(members.end())
+                    file = f
+                records(members.add(piece))
+        records(members.end())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for t, c in zip(RECORD, zip(*rows, strict=True), strict=True)], schema=RECORD)
 

@@ -71,6 +71,31 @@ def test_magic_inside_members(spark, tmp_path):
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+#: A record as zlib compressed it, with the magic at byte 27, before the first byte comes out.
+EARLY = base64.b64decode(
+    "H4sIAAAAAAAAA12PzWqDQBzE74Lv8H8BoxuNH4sIJkKwKUHEYprbJm7VNtnd7q5t7dPHFHtoYQ7D8JuBqdNyY6MFMo16clY1CopBUiU4U3QOS3rmsrHyDEM8SIYFaSmOfJT8lohsqbaeyhxDp7XAtk0WJ9sL3WgmMqKn"
+    "WRQFjuWgSZXj4B8dZ6Ag44WTxsr6liqNQXUEYXe7zIPtOtvtV+uHQ33wntN96h6XVbVbFXXh/+s+UtbqDoPvmcaGM02Z/pOZRiwS3VF4H/rzG5wk/2Twwr8gDEJ4Ha5CAf+gEu7IhXyP0PAWppug+ytVsS2S+8YNU9TeBzEBAAA="
+)
+
+
+def test_magic_before_the_first_byte(spark, tmp_path):
+    assert EARLY.find(warc.MAGIC, 3) == 27
+    plain = [warc.build_record(i, "u", b"payload %d" % i, None, 6) for i in range(3)]
+    fields = [b"\x08" + bytes(4) + b"\0\x03" + name + b"\0" for name in (warc.MAGIC, warc.MAGIC * 3, b"a" + warc.MAGIC * 2 + b"b")]  # the header's file name
+    named = [warc.MAGIC + f + m[10:] for f, m in zip(fields, plain, strict=True)]
+    made = [EARLY, warc.EMPTY_MEMBER, named[0], warc.EMPTY_MEMBER, EARLY[:40], named[1], EARLY[:-9], named[2], warc.EMPTY_MEMBER, EARLY]
+    path = tmp_path / "archive.warc"
+    path.write_bytes(b"".join(made))
+    assert gzip.decompress(named[2]) == gzip.decompress(plain[2])
+    for size in (41, 97, 300, 10_000_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = warc.read_warc(spark, str(path)).collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in got) == [(0, 9), (1, 9), (2, 9), (961, 64), (961, 64)], size
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_least_payload_and_empty(spark, tmp_path):
     data = [(1, "u", "same", "x", 1), (2, "u", "same", "x", 1), (2, "u", "same", "x", 1)]
     warc.write_warc(spark.createDataFrame(data, SCHEMA), str(tmp_path / "a"), min_payload=5)
