@@ -7,6 +7,9 @@ the page, weaker the further apart they are in the DOM, and between blocks that
 the same container make cuts through what belongs together costly. The minimum cut, found by maximum flow, labels all
 blocks at once.
 
+Words of html, body and elements that wrap the page, and what follows has-, with-, no- or without- in a
+name, aren't held against their text; so a page whose only running text has such a name keeps it.
+
 Scripts, styles, the head and comments of the markup are no text. Inline tags don't end a block, a
 <br> is white space in it. Character references are decoded, white space inside a block becomes one
 space, blocks are joined by one newline.
@@ -33,6 +36,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "object", "math")}
 _NAMED = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
+#: A class that tells what is elsewhere: what follows is no word of the element itself.
+_LACKS = re.compile(r"(?:^|[^a-z])(?:has|with|no|without)[^a-z].*")
 
 #: HTML's void and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -43,6 +48,18 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 TAG_COST = {"nav": 6, "footer": 6, "aside": 6, "form": 6, "button": 6, "select": 6, "textarea": 6, "dialog": 6, "menu": 6, "header": 5, "label": 3, "head": 40, "title": 40, "article": -4, "main": -3, "p": -0.5, "blockquote": -0.5}
 WORD_COST = dict.fromkeys("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar sidebar sidenav aside rail footer masthead topbar comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup signin login popup modal overlay breadcrumb breadcrumbs pagination pager copyright legal disclaimer widget toolbar search complementary contentinfo hidden".split(), 6) | {"header": 4, "main": -2, "article": -3, "content": -2, "post": -2, "entry": -2, "story": -2, "body": -1}
 SMOOTH, SAME_CONTAINER = 1.2, 0.6
+#: Words of running text outside an element that show that it isn't the whole page's wrapper.
+PROSE = 15
+
+
+class Named:
+    """An element whose class, id or role speaks against content."""
+
+    __slots__ = ("cost", "leads")
+
+    def __init__(self, cost: float) -> None:
+        self.cost = cost  # by which its words raise the sum
+        self.leads = False  # it holds a <main> or <h1>
 
 
 @dataclass
@@ -54,23 +71,29 @@ class Block:
     depth: int
     gap: int  # depth of the lowest common ancestor with the block before
     parent: int
+    named: tuple[Named, ...]  # ancestors whose words are in the prior
 
 
-def _named_cost(attrs: str) -> float:
-    cost = 0.0
+def _named_cost(attrs: str) -> tuple[float, float]:
+    """(cost, the part of it that is due to words against content)."""
+    cost, against = 0.0, 0.0
     for m in _NAMED.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
-            for w in set(_PART.findall(value)):
-                cost += WORD_COST.get(w, 0)
+            for w in {w for name in value.split() for w in _PART.findall(_LACKS.sub("", name))}:
+                found = WORD_COST.get(w, 0)
+                if found > 0:
+                    against += found
+                else:
+                    cost += found
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             cost += 20
-    return min(cost, 20.0)
+    return (min(cost + against, 20.0), min(cost + against, 20.0) - min(cost, 20.0))
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, summed cost, number of the element
+    stack: list[tuple[str, float, int, tuple[Named, ...]]] = [("", 0.0, 0, ())]  # tag, summed cost, number of the element, named ancestors
     open_: dict[str, int] = {}
     text: list[str] = []
     linked, anchors, number, least, heading = 0, 0, 0, 0, False
@@ -82,7 +105,7 @@ def blocks(page: str) -> list[Block]:
             depth = len(stack) - 1
             at = next((s for s in reversed(stack) if s[0] in BLOCK or not s[0]), stack[0])
             above = stack[max(0, stack.index(at) - 1)]
-            out.append(Block(joined, at[1], min(linked, len(joined)), heading, depth, min(least, depth), above[2]))
+            out.append(Block(joined, at[1], min(linked, len(joined)), heading, depth, min(least, depth), above[2], at[3]))
             least = depth
         text.clear()
         linked = 0
@@ -145,7 +168,18 @@ def blocks(page: str) -> list[Block]:
             k = next(i for i, s in enumerate(stack) if s[0] == "head")
             pop(k)
         number += 1
-        stack.append((tag, stack[-1][1] + cost + (_named_cost(m[3]) if m[3] else 0.0), number))
+        _, sum_, _, named = stack[-1]
+        if tag == "main" or tag == "h1":
+            for x in named:
+                x.leads = True
+        if m[3]:
+            own, against = _named_cost(m[3])
+            if tag == "html" or tag == "body":  # their words are about the page, not about a part of it
+                own -= against
+            elif against:
+                named = (*named, Named(against))
+            cost += own
+        stack.append((tag, sum_ + cost, number, named))
         open_[tag] = open_.get(tag, 0) + 1
         anchors += tag == "a"
     end_block()
@@ -163,6 +197,24 @@ def costs(b: Block) -> tuple[float, float]:
     return (max(0.0, evidence), max(0.0, -evidence))
 
 
+def spare_wrappers(found: list[Block]) -> None:
+    """Takes the words of the page's wrappers out of the priors.
+
+    A wrapper holds most of the page's text, and also its <main> or <h1> or all of its running text: a
+    list of comments longer than the article is none. From the outermost element on.
+    """
+    size = sum(len(b.text) for b in found)
+    held: dict[Named, int] = {}
+    for b in found:
+        for x in b.named:
+            held[x] = held.get(x, 0) + len(b.text)
+    for x in [x for x, n in held.items() if 2 * n > size]:  # they lie in each other, the outer ones first
+        if x.leads or sum(b.text.count(" ") + 1 for b in found if x not in b.named and not b.heading and costs(b)[0] > 0) < PROSE:
+            for b in found:
+                if x in b.named:
+                    b.prior -= x.cost
+
+
 def min_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least total cost: True keeps. Edges cost their weight if cut. By Dinic's maximum flow."""
     n = len(keep)
@@ -233,6 +285,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
+    spare_wrappers(found)
     both = [costs(b) for b in found]
     edges = []
     last: dict[int, int] = {}

@@ -34,6 +34,27 @@ def test_div_soup():
     assert text.count("\n") == 3 and "One" not in text and "imprint" not in text
 
 
+SAYS = [" ".join(f"word{i}" for i in range(40)) + f" of paragraph {k}." for k in range(3)]
+NAV, FOOT = "<nav><a href=x>Home</a></nav>", "<footer>Imprint of the makers of this page.</footer>"
+
+
+def test_layout_words_of_wrappers():
+    text = "".join(f"<p>{x}</p>" for x in SAYS)
+    for name in ("has-sidebar", "sidebar-right", "nav-fixed", "comments-open", "notice", "social", "share", "banner", "page-with-banner widget"):
+        assert h.main_text(f'<html><body class="{name}">{NAV}<div>{text}</div>{FOOT}</body></html>') == "\n".join(SAYS), name
+        assert h.main_text(f'<html class="{name}"><body>{NAV}<div id="page" class="{name}"><div class="{name}">{text}</div></div>{FOOT}</body></html>') == "\n".join(SAYS), name
+    aside = "<p>Long plain text at the side that is part of no article, with a number of words that ends here.</p>"
+    assert "\n".join(SAYS) in h.main_text(f'<body>{aside}<div class="sidebar-page"><h1>Title</h1>{text}</div></body>')
+    assert "\n".join(SAYS) in h.main_text(f'<body>{aside}<div class="no-sidebar">{text}</div></body>')
+
+
+def test_long_parts_that_are_no_wrappers():
+    for name in ("comments", "sidebar", "related", "page-sidebar"):
+        part = f'<div class="{name}">' + "".join(f"<p>{x}</p>" for x in SAYS[1:]) + "</div>"
+        assert h.main_text(f"<body>{NAV}<div><p>{SAYS[0]}</p></div>{part}{FOOT}</body>") == SAYS[0], name
+        assert h.main_text(f'<body><div class="social-layout">{NAV}<div><p>{SAYS[0]}</p></div>{part}</div>{FOOT}</body>') == SAYS[0], name
+
+
 def test_min_cut_is_least():
     rng = random.Random(3)
     for _ in range(150):
