@@ -12,31 +12,43 @@ Defined results: a vector that is null or holds a null or non-finite component t
 vectors are padded with zeros, an empty one has score 0 with all; ties go to the smaller vec_id; a
 repeated query id is asked once, with its smallest row; rows that repeat a candidate are each a
 candidate, but none with the query's own id; extra columns are ignored; an empty table gives no rows.
-Components must fit into 20 bits after scaling for exact sums; larger ones are clipped there.
+Components are 64-bit integers after scaling. Scores are exact at any size: where the product of the lengths
+is beyond 64 bits, a pair is scored in Python's integers. As with the SQL's casts, a component or a
+result's score that doesn't fit into 64 bits is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import staged
 
-SCORE = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-SCORE_DDL = "query_id long, vec_id long, score long"
-LIMIT = 2.0**20
+#: A score is high * 2^62 + rest, with 0 <= rest < 2^62.
+SCORE = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.int64()), ("rest", pa.int64())])
+SCORE_DDL = "query_id long, vec_id long, high long, rest long"
+BITS = 62
+#: Up to this product of lengths, sums in 64 bits are exact.
+SAFE = 2.0**BITS
 
 
 def quantised(vectors: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, q: array<long>, norm2: long) of the vectors that take part."""
+    """(vec_id, q: array<long>, norm2: double) of the vectors that take part."""
     x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x")).filter("vec_id is not null and x is not null")
     ok = x.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    cut = F.transform("x", lambda v: F.floor(F.greatest(F.least(v * scale, F.lit(LIMIT)), F.lit(-LIMIT))))
-    return ok.select("vec_id", cut.alias("q")).withColumn("norm2", F.aggregate("q", F.lit(0).cast("long"), lambda a, v: a + v * v))
+    beyond = F.raise_error(F.lit("a component doesn't fit into 64 bits after scaling")).cast("long")
+    cut = F.transform("x", lambda v: F.when((v * scale < 2.0**63) & (v * scale >= -(2.0**63)), F.floor(v * scale)).otherwise(beyond))
+    return ok.select("vec_id", cut.alias("q")).withColumn("norm2", F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+
+
+def _score() -> Column:
+    """The score as a long; null beyond 64 bits."""
+    return F.when(F.col("high").between(-2, 1), F.col("high") * F.lit(2**BITS) + F.col("rest"))
 
 
 def _gram(dim: int):
@@ -61,17 +73,27 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _bytes(m: np.ndarray) -> bytes:
+    """A matrix in 32 bits a number where they do, else in 64."""
+    fits = m.size == 0 or (m.min() >= -(2**31) and m.max() < 2**31)
+    return m.astype(np.int32 if fits else np.int64).tobytes()
+
+
+def _load(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * rows * dim else np.int64).reshape(rows, dim)
+
+
 def _pack(dim: int, size: int):
     """Blocks of at most ``size`` vectors of a sorted partition: (ids, matrix)."""
     schema = pa.schema([("ids", pa.binary()), ("m", pa.binary()), ("longest", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim).astype(np.int32)
+            ids, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim)
             for i in range(0, len(ids), size):
                 part = m[i : i + size]
                 longest = float(np.sqrt((part.astype(np.float64) ** 2).sum(1).max(initial=0.0)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + size].astype(np.int64).tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary()), pa.array([longest])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + size].astype(np.int64).tobytes()], pa.binary()), pa.array([_bytes(part)], pa.binary()), pa.array([longest])], schema=schema)
 
     return run
 
@@ -83,7 +105,8 @@ def _search(dim: int, k: int, rotation: np.ndarray, lead: int, bounded: bool):
         for batch in batches:
             for qi, qm, floors, xi, xm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 qi, xi = np.frombuffer(qi, np.int64), np.frombuffer(xi, np.int64)
-                q, x = (np.frombuffer(b, np.int32).reshape(-1, dim).astype(np.float64) for b in (qm, xm))
+                qz, xz = _load(qm, len(qi), dim), _load(xm, len(xi), dim)
+                q, x = qz.astype(np.float64), xz.astype(np.float64)
                 floor = np.frombuffer(floors, np.float64) if bounded else np.full(len(qi), -np.inf)
                 qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
                 live = np.flatnonzero(qn * xn.max(initial=0.0) * (1 + 1e-9) + 1e-6 >= floor)
@@ -103,12 +126,16 @@ def _search(dim: int, k: int, rotation: np.ndarray, lead: int, bounded: bool):
                 exact = np.empty(len(rows), np.int64)
                 for i in range(0, len(rows), 200_000):
                     r, c = rows[i : i + 200_000], cols[i : i + 200_000]
-                    exact[i : i + 200_000] = np.einsum("ij,ij->i", q[live][r].astype(np.int64), x[c].astype(np.int64))
-                order = np.lexsort((xi[cols], -exact, rows))
-                rows, cols, exact = rows[order], cols[order], exact[order]
+                    exact[i : i + 200_000] = np.einsum("ij,ij->i", qz[live[r]].astype(np.int64), xz[c].astype(np.int64))
+                high, low_ = exact >> BITS, exact & (2**BITS - 1)
+                for i in np.flatnonzero(qn[live][rows] * xn[cols] >= SAFE):
+                    score = sum(map(mul, qz[live[rows[i]]].tolist(), xz[cols[i]].tolist()))
+                    high[i], low_[i] = max(-(2**BITS), min(2**BITS, score >> BITS)), score & (2**BITS - 1)
+                order = np.lexsort((xi[cols], -low_, -high, rows))
+                rows, cols, high, low_ = rows[order], cols[order], high[order], low_[order]
                 starts = np.searchsorted(rows, rows, "left")
                 best = np.arange(len(rows)) - starts < k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[live][rows[best]]), pa.array(xi[cols[best]]), pa.array(exact[best])], schema=SCORE)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[live][rows[best]]), pa.array(xi[cols[best]]), pa.array(high[best]), pa.array(low_[best])], schema=SCORE)
 
     return run
 
@@ -147,16 +174,17 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
     pass1 = queries.select(F.lit(0).alias("to"), F.col("ids").alias("qi"), F.col("m").alias("qm")).join(head, "to").select("qi", "qm", none.alias("floor"), "ids", "m")
     seed = staged(pass1.mapInArrow(_search(dim, k, rotation, lead, False), SCORE_DDL), "seed")
 
-    floors = seed.groupBy("query_id").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).alias("low"))
+    floors = seed.groupBy("query_id").agg(F.min(F.struct("high", "rest")).alias("least"), F.count("*").alias("n")).select("query_id", "least.*", "n").withColumn("low", F.coalesce(_score().cast("double"), F.col("high") * F.lit(2.0**BITS))).select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).alias("low"))
     asked = asked.join(floors, asked.vec_id == floors.query_id, "left").select("vec_id", "q", F.coalesce("low", F.lit(float("-inf"))).alias("low"))
     bounded = staged(asked.mapInArrow(_pack_floor(dim, query_block), "ids binary, m binary, floor binary"), "bounded-queries")
     others = packed.filter(F.col("block") != first).select("block", "ids", "m")
     pairs = bounded.select(F.col("ids").alias("qi"), F.col("m").alias("qm"), "floor", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("to"))
     at = others.select(F.pmod(F.xxhash64("block"), F.lit(blocks)).cast("int").alias("to"), "ids", "m")
     pass2 = pairs.join(at, "to").select("qi", "qm", "floor", "ids", "m").mapInArrow(_search(dim, k, rotation, lead, True), SCORE_DDL)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("rest").desc(), "vec_id")
     ranked = seed.union(pass2).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    beyond = F.raise_error(F.lit("a score doesn't fit into 64 bits")).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", F.coalesce(_score(), beyond).alias("score"))
 
 
 def _pack_floor(dim: int, size: int):
@@ -164,10 +192,10 @@ def _pack_floor(dim: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), dim).astype(np.int32)
+            ids, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), dim)
             low = batch.column(2).to_numpy(zero_copy_only=False)
             for i in range(0, len(ids), size):
-                parts = (x[i : i + size].tobytes() for x in (ids, m, low))
+                parts = (ids[i : i + size].tobytes(), _bytes(m[i : i + size]), low[i : i + size].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], schema=schema)
 
     return run

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from faultlens.llm import topk
 
 SCHEMA = "vec_id long, embedding array<float>, score long, block int, rank int"
@@ -35,3 +37,26 @@ def test_small_and_empty(spark):
     assert sorted(tuple(r) for r in topk.exact_topk(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
     assert topk.exact_topk(spark.createDataFrame([], SCHEMA)).count() == 0
     assert topk.exact_topk(spark.createDataFrame([(0, [], 1, 1, 1), (1, [], 1, 1, 1)], SCHEMA)).count() == 1
+
+
+def test_large_components(spark):
+    rows = [(0, [5000.0], 1, 1, 1), (1, [5000.0], 1, 1, 1), (2, [9000.0], 1, 1, 1), (3, [-4097.0], 1, 1, 1)]
+    assert sorted(tuple(r) for r in topk.exact_topk(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
+    rng = random.Random(8)
+    rows = [(i, [f32(rng.gauss(0, 1) * 10 ** rng.choice([0, 0, 3, 5])) for _ in range(6)], 1, 1, 1) for i in range(1, 400)]
+    assert sorted(tuple(r) for r in topk.exact_topk(spark.createDataFrame(rows, SCHEMA), block=64, query_block=8).collect()) == brute(rows)
+
+
+def test_pairs_beyond_64_bits(spark):
+    rng = random.Random(9)
+    big = f32(2.0**36 + 3 * 2**13)
+    rows = [(0, [big, -big, 1.5], 1, 1, 1), (100, [1.0, 2.0, 3.0], 1, 1, 1)]
+    rows += [(201 + i, [big, big, -10.0 - i], 1, 1, 1) for i in range(4)]  # terms beyond 64 bits cancel
+    rows += [(301 + i, [-(2.0**44), 0.0, 0.0], 1, 1, 1) for i in range(9)]  # beyond 64 bits, a multiple of 2^64
+    rows += [(501 + i, [0.0, 0.0, -5.0 - rng.random() * 100], 1, 1, 1) for i in range(90)]
+    for size in (16, 2048):
+        got = topk.exact_topk(spark.createDataFrame(rows, SCHEMA), every=100, block=size)
+        assert sorted(tuple(r) for r in got.collect()) == brute(rows, every=100)
+    for value in (2.0**40, 2.0**60):  # a result, a component
+        with pytest.raises(Exception, match="64 bits"):
+            topk.exact_topk(spark.createDataFrame([(0, [value], 1, 1, 1), (1, [value], 1, 1, 1)], SCHEMA)).collect()
