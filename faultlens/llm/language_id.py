@@ -169,14 +169,19 @@ def identify(docs: DataFrame, per_language: int = 200, landmarks_per_language: i
 
 
 def keep_known(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns; those without letters go."""
+    """The rows of ``docs`` whose text has a language, with all their columns; those without letters go. Where no language could be learned, all with letters stay."""
     model = learn(docs, per_language, landmarks_per_language, ridge)
     at = docs.columns.index("text")
 
+    def stay(texts: list[str | None]) -> list[bool]:
+        if not model.languages:
+            return [len(grams(t)) > 0 for t in texts]
+        return [p != UNKNOWN for p in predict(model, texts)[0]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 part = batch.slice(i, block)
-                yield part.filter(pa.array([p != UNKNOWN for p in predict(model, part.column(at).to_pylist())[0]], pa.bool_()))
+                yield part.filter(pa.array(stay(part.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

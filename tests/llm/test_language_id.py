@@ -46,6 +46,13 @@ def test_defined_cases(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score", "held_out"] and kept.count() == len(data) - 3
 
 
+def test_nothing_learned_keeps_what_has_letters(spark):
+    data = [(i, t, None, s, h) for i, t, _, s, h in rows(20)] + [(1000, None, None, 1.0, "x"), (1001, "12 !?", None, 1.0, "x")]
+    held = [(i, t, "aa" if zlib.crc32(str(i).encode()) % 3 == 1 else None, s, h) for i, t, _, s, h in data]
+    for table in (data, held):
+        assert sorted(r.doc_id for r in lid.keep_known(spark.createDataFrame(table, SCHEMA)).collect()) == list(range(20))
+
+
 def test_kernel_counts_shared_grams():
     a, b = lid.grams("abc"), lid.grams("xabc!!")
     assert set(a) <= set(b) and len(lid.grams("abab")) == 2 + 2 + 2
