@@ -7,8 +7,13 @@ the page, weaker the further apart they are in the DOM, and between blocks that
 the same container make cuts through what belongs together costly. The minimum cut, found by maximum flow, labels all
 blocks at once.
 
-Words of html, body and elements that wrap the page, and what follows has-, with-, no- or without- in a
-name, aren't held against their text; so a page whose only running text has such a name keeps it.
+What is in an element that is no article by its tag or by a word of its class, id or role (a menu, a
+sidebar, a form, reader comments) has an infinite capacity to boilerplate, whatever is around that
+element, and no edges: it says nothing of what comes next. Of a header within an article only the
+headings stay. Words of html, body and elements that wrap the page, and what follows has-, with-, no-,
+without-, category- or tag- in a name, aren't held against their text; nor is a form that wraps the page.
+If a cut leaves nothing, the page may be short: what isn't excluded is labelled again without the cost
+of being short.
 
 Scripts, styles, the head and comments of the markup are no text. Inline tags don't end a block, a
 <br> is white space in it. Character references are decoded, white space inside a block becomes one
@@ -16,7 +21,8 @@ space, blocks are joined by one newline.
 
 Defined results: a null, empty or textless page has an empty text; broken and cut-off markup is read as
 far as it goes; rows that repeat give repeated results; a null page_id or url is passed on; extra
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. A block whose labels cost the same is
+boilerplate. A very long page is one task's work, linear in its length but for the flow.
 """
 
 from __future__ import annotations
@@ -37,63 +43,87 @@ _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscrip
 _NAMED = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: A class that tells what is elsewhere: what follows is no word of the element itself.
-_LACKS = re.compile(r"(?:^|[^a-z])(?:has|with|no|without)[^a-z].*")
+_LACKS = re.compile(r"(?:^|[^a-z])(?:has|with|no|without|category|cat|tag|topic)[^a-z].*")
 
 #: HTML's void and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+INLINE = frozenset("a abbr b em i small span strong sub sup u".split())
 #: Elements that end an open element of the given names.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Evidence against content (positive) or for it (negative) of an ancestor's tag, and of words in its class, id or role.
-TAG_COST = {"nav": 6, "footer": 6, "aside": 6, "form": 6, "button": 6, "select": 6, "textarea": 6, "dialog": 6, "menu": 6, "header": 5, "label": 3, "head": 40, "title": 40, "article": -4, "main": -3, "p": -0.5, "blockquote": -0.5}
-WORD_COST = dict.fromkeys("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar sidebar sidenav aside rail footer masthead topbar comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup signin login popup modal overlay breadcrumb breadcrumbs pagination pager copyright legal disclaimer widget toolbar search complementary contentinfo hidden".split(), 6) | {"header": 4, "main": -2, "article": -3, "content": -2, "post": -2, "entry": -2, "story": -2, "body": -1}
+#: Elements, and words of a class, id or role, that are no part of an article.
+OUTSIDE = frozenset("nav footer aside form button select textarea dialog menu label head title".split())
+WORDS_OUTSIDE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar sidebar sidenav aside rail footer masthead topbar comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup signin login popup modal overlay breadcrumb breadcrumbs pagination pager copyright legal disclaimer widget toolbar search complementary contentinfo hidden".split())
+#: Evidence for content.
+TAG_FOR = {"article": 4, "main": 3, "p": 0.5, "blockquote": 0.5}
+WORD_FOR = {"main": 2, "article": 3, "content": 2, "post": 2, "entry": 2, "story": 2, "body": 1}
+MOST_FOR = 8.0
+#: Evidence of the ancestors that shows an article.
+IN_ARTICLE = 2.0
 SMOOTH, SAME_CONTAINER = 1.2, 0.6
 #: Words of running text outside an element that show that it isn't the whole page's wrapper.
 PROSE = 15
 
 
-class Named:
-    """An element whose class, id or role speaks against content."""
+class Outside:
+    """An element that speaks against its text, unless it turns out to wrap the page."""
 
-    __slots__ = ("cost", "leads")
+    __slots__ = ("leads", "spared", "tag")
 
-    def __init__(self, cost: float) -> None:
-        self.cost = cost  # by which its words raise the sum
+    def __init__(self, tag: str) -> None:
+        self.tag = tag
         self.leads = False  # it holds a <main> or <h1>
+        self.spared = False
 
 
 @dataclass
 class Block:
     text: str
-    prior: float
+    prior: float  # evidence of the ancestors for content
     linked: int
     heading: bool
     depth: int
     gap: int  # depth of the lowest common ancestor with the block before
     parent: int
-    named: tuple[Named, ...]  # ancestors whose words are in the prior
+    outside: tuple[Outside, ...]
+    never: bool  # it can be no content
 
+    @property
+    def excluded(self) -> bool:
+        return self.never or any(not x.spared for x in self.outside)
 
-def _named_cost(attrs: str) -> tuple[float, float]:
-    """(cost, the part of it that is due to words against content)."""
-    cost, against = 0.0, 0.0
+
+@dataclass(frozen=True)
+class Within:
+    """What is known of an open element and its ancestors."""
+
+    tag: str = ""
+    prior: float = 0.0
+    number: int = 0
+    outside: tuple[Outside, ...] = ()
+    never: bool = False
+    header: bool = False  # of an article: only headings stay
+    mute: bool = False  # an inline element that is no part of the block around it
+
+
+def _words(attrs: str) -> tuple[float, bool, bool, bool]:
+    """(evidence for content, a word against it, a word for a header, hidden) of an element's attributes."""
+    good, against, header, hidden = 0.0, False, False, False
     for m in _NAMED.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
-            for w in {w for name in value.split() for w in _PART.findall(_LACKS.sub("", name))}:
-                found = WORD_COST.get(w, 0)
-                if found > 0:
-                    against += found
-                else:
-                    cost += found
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            cost += 20
-    return (min(cost + against, 20.0), min(cost + against, 20.0) - min(cost, 20.0))
+            words = {w for name in value.split() for w in _PART.findall(_LACKS.sub("", name))}
+            against |= not words.isdisjoint(WORDS_OUTSIDE)
+            header |= "header" in words
+            good += sum(WORD_FOR.get(w, 0) for w in words)
+        else:
+            hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+    return good, against, header, hidden
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, float, int, tuple[Named, ...]]] = [("", 0.0, 0, ())]  # tag, summed cost, number of the element, named ancestors
+    stack = [Within()]
     open_: dict[str, int] = {}
     text: list[str] = []
     linked, anchors, number, least, heading = 0, 0, 0, 0, False
@@ -103,9 +133,9 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             depth = len(stack) - 1
-            at = next((s for s in reversed(stack) if s[0] in BLOCK or not s[0]), stack[0])
-            above = stack[max(0, stack.index(at) - 1)]
-            out.append(Block(joined, at[1], min(linked, len(joined)), heading, depth, min(least, depth), above[2], at[3]))
+            k = next(k for k in range(depth, -1, -1) if stack[k].tag in BLOCK or not k)
+            at, inner = stack[k], stack[-1]
+            out.append(Block(joined, at.prior, min(linked, len(joined)), heading, depth, min(least, depth), stack[max(0, k - 1)].number, inner.outside, inner.never or inner.header and not heading))
             least = depth
         text.clear()
         linked = 0
@@ -113,7 +143,7 @@ def blocks(page: str) -> list[Block]:
     def pop(to: int) -> None:
         nonlocal anchors, least
         while len(stack) > to:
-            tag = stack.pop()[0]
+            tag = stack.pop().tag
             open_[tag] -= 1
             anchors -= tag == "a"
         least = min(least, len(stack) - 1)
@@ -125,7 +155,7 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             t = m[0]
-            if t[0] != "<" or t == "<":
+            if (t[0] != "<" or t == "<") and not stack[-1].mute:
                 t = html.unescape(t) if "&" in t else t
                 text.append(t)
                 if anchors:
@@ -138,7 +168,7 @@ def blocks(page: str) -> list[Block]:
                 heading = False
             if open_.get(tag):
                 k = len(stack) - 1
-                while stack[k][0] != tag:
+                while stack[k].tag != tag:
                     k -= 1
                 pop(k)
             continue
@@ -152,45 +182,45 @@ def blocks(page: str) -> list[Block]:
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             closes = CLOSES.get(tag, ()) if tag in CLOSES else ("p",)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
+                if stack[k].tag in closes:
                     pop(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k].tag in BLOCK:
                     break
         elif tag == "br" or tag == "hr":
             text.append(" ")
         if tag in VOID or m[3].endswith("/"):
             continue
-        cost = TAG_COST.get(tag, 0.0)
-        if tag == "header" and (open_.get("article") or open_.get("main")):
-            cost = 0.0
         if tag == "body" and open_.get("head"):  # a head that was never closed
-            k = next(i for i, s in enumerate(stack) if s[0] == "head")
+            k = next(i for i, s in enumerate(stack) if s.tag == "head")
             pop(k)
         number += 1
-        _, sum_, _, named = stack[-1]
+        above = stack[-1]
+        good, against, of_header, hidden = _words(m[3]) if m[3] else (0.0, False, False, False)
         if tag == "main" or tag == "h1":
-            for x in named:
+            for x in above.outside:
                 x.leads = True
-        if m[3]:
-            own, against = _named_cost(m[3])
-            if tag == "html" or tag == "body":  # their words are about the page, not about a part of it
-                own -= against
-            elif against:
-                named = (*named, Named(against))
-            cost += own
-        stack.append((tag, sum_ + cost, number, named))
+        inside = bool(open_.get("article") or open_.get("main"))
+        header = above.header or (tag == "header" or of_header) and (inside or good > 0)
+        never = above.never or hidden or tag in OUTSIDE and tag != "form" or tag == "header" and not header
+        # words of html and body are about the page, not about a part of it
+        named = tag == "form" or tag not in ("html", "body") and (against or of_header and not header)
+        mute = above.mute or tag in INLINE and (named or hidden)
+        outside = (*above.outside, Outside(tag)) if named else above.outside
+        stack.append(Within(tag, min(MOST_FOR, above.prior + TAG_FOR.get(tag, 0.0) + good), number, outside, never, header, mute))
         open_[tag] = open_.get(tag, 0) + 1
         anchors += tag == "a"
     end_block()
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """(cost of labelling it boilerplate, cost of labelling it content)."""
+def costs(b: Block, short: float = 1.0) -> tuple[float, float]:
+    """(cost of labelling it boilerplate, cost of labelling it content); ``short`` is the cost of having no words."""
+    if b.excluded:
+        return (0.0, math.inf)
     words = b.text.count(" ") + 1
-    evidence = -b.prior
-    evidence += min(2.5, math.log2(1 + words / 8)) - 1.0
+    evidence = b.prior
+    evidence += min(2.5, math.log2(1 + words / 8)) - short
     evidence += 0.5 if b.text[-1] in ".!?…\"”" and words > 3 else 0.0
     evidence -= 3.0 * b.linked / len(b.text)
     evidence += 1.0 if b.heading else 0.0
@@ -198,21 +228,25 @@ def costs(b: Block) -> tuple[float, float]:
 
 
 def spare_wrappers(found: list[Block]) -> None:
-    """Takes the words of the page's wrappers out of the priors.
+    """Spares elements that wrap the page.
 
-    A wrapper holds most of the page's text, and also its <main> or <h1> or all of its running text: a
-    list of comments longer than the article is none. From the outermost element on.
+    A wrapper holds most of the page's text, and also its <main> or <h1>, or all of its running text with no
+    article beside it: a list of comments longer than the article is none. An <article> with an <h1>
+    needs no such share, a form without <main> or <h1> is none. From the outermost element on.
     """
-    size = sum(len(b.text) for b in found)
-    held: dict[Named, int] = {}
-    for b in found:
-        for x in b.named:
+    known = [b for b in found if not b.never]
+    size = sum(len(b.text) for b in known)
+    held: dict[Outside, int] = {}
+    for b in known:
+        for x in b.outside:
             held[x] = held.get(x, 0) + len(b.text)
-    for x in [x for x, n in held.items() if 2 * n > size]:  # they lie in each other, the outer ones first
-        if x.leads or sum(b.text.count(" ") + 1 for b in found if x not in b.named and not b.heading and costs(b)[0] > 0) < PROSE:
-            for b in found:
-                if x in b.named:
-                    b.prior -= x.cost
+    for x, n in held.items():  # they lie in each other, the outer ones first
+        if x.leads and (2 * n > size or x.tag in ("article", "main")):
+            x.spared = True
+        elif 2 * n > size and x.tag != "form":
+            others = [b for b in known if x not in b.outside]
+            prose = sum(b.text.count(" ") + 1 for b in others if not b.heading and costs(b)[0] > 0)
+            x.spared = prose < PROSE and not any(b.prior >= IN_ARTICLE for b in others)
 
 
 def min_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -286,17 +320,23 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     spare_wrappers(found)
-    both = [costs(b) for b in found]
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
-        if i:
+        if b.excluded:
+            continue
+        if i and not found[i - 1].excluded:
             apart = (found[i - 1].depth - b.gap) + (b.depth - b.gap)
             edges.append((i - 1, i, SMOOTH / (1 + max(0, apart))))
         if b.parent in last:
             edges.append((last[b.parent], i, SAME_CONTAINER))
         last[b.parent] = i
-    kept = min_cut([c[0] for c in both], [c[1] for c in both], edges)
+    kept: list[bool] = []
+    for short in (1.0, 0.0):
+        both = [costs(b, short) for b in found]
+        kept = min_cut([c[0] for c in both], [c[1] for c in both], edges)
+        if any(kept):
+            break
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

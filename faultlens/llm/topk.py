@@ -44,7 +44,7 @@ BITS = 62
 SAFE = 2.0**BITS
 #: Blocks of the first round; each round has this many times the blocks of the one before.
 ROUND = 32
-#: Partitions of a round at most; a task then has several slabs after each other.
+#: Tasks of a round at most, each with one group of queries and one slab.
 MOST_TASKS = 20_000
 
 
@@ -272,11 +272,11 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
     together = max(query_block, group_bytes // (8 * dim))
     start, span = 0, max(1, ROUND * block * len(lengths) // shape.n)
     while shape.asked and start < len(lengths):
-        stop = min(len(lengths), start + span)
         by_need = _floors(asked.drop("floor"), best, k).repartitionByRange(-(-shape.asked // together), "need", "vec_id").sortWithinPartitions("need", "vec_id")
         packing = by_need.select("vec_id", "q", "floor").mapInArrow(_pack(dim, query_block, True), BLOCK_DDL)
         queries = staged(packing.withColumn("part", F.spark_partition_id()), "groups")
         groups, group_of = _merged(queries, together, F.min("length"))
+        stop = min(len(lengths), start + span, start + max(1, MOST_TASKS // len(groups)))
         reach = [sum(x * (1 + 1e-8) + 1e-6 >= need for x in lengths[start:stop]) for need in groups]
         if not any(reach):
             break
@@ -312,5 +312,5 @@ def _round(queries: DataFrame, vectors: DataFrame, group_of: list[int], slab_of:
     there = vectors.withColumn("slab", slab).filter(F.col("slab").between(0, span - 1))
     there = there.select("slab", F.explode(needs).alias("group"), F.lit(False).alias("asked"), "part", "at", "ids", "m", "floors")
     both = asked.union(there).withColumn("task", F.col("group") * span + F.col("slab"))
-    dealt = both.repartitionById(min(MOST_TASKS, len(reach) * span), "task")
+    dealt = both.repartitionById(len(reach) * span, "task")
     return dealt.sortWithinPartitions("task", F.col("asked").desc(), "part", "at").select("task", "asked", "ids", "m", "floors")

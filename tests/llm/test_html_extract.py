@@ -1,5 +1,6 @@
 import itertools
 import random
+from html.parser import HTMLParser
 
 from faultlens.llm import html_extract as h
 
@@ -55,6 +56,51 @@ def test_long_parts_that_are_no_wrappers():
         assert h.main_text(f'<body><div class="social-layout">{NAV}<div><p>{SAYS[0]}</p></div>{part}</div>{FOOT}</body>') == SAYS[0], name
 
 
+OUTSIDE = {
+    "aside": "<aside><p>{}</p></aside>",
+    "form": "<form><p>{}</p><label>Name</label></form>",
+    "nav": "<nav><p>{}</p></nav>",
+    "footer": "<footer><p>{}</p></footer>",
+    "header": "<header><p>{}</p></header>",
+    "comments": '<div class=comments><div class="comment-body post-content"><p>{}</p></div></div>',
+    "newsletter": '<div class="newsletter"><p>{}</p></div>',
+    "notice": '<section role="alert"><p>{}</p></section>',
+    "hidden": '<div style="display: none"><p>{}</p></div>',
+    "list": '<ul class="share-links"><li>{}</li></ul>',
+    "inline": '<p>A sentence<span class="share"> {}</span> that goes on.</p>',
+}
+
+
+def test_nothing_from_outside_within_articles():
+    say = " ".join(f"other{i}" for i in range(45)) + "."
+    for name, part in OUTSIDE.items():
+        for around in ("<main><article class='post-content entry'>{}</article></main>", "<article>{}</article>", "<div class='content'>{}</div>", "{}"):
+            text = h.main_text("<body>" + around.format(f"<p>{SAYS[0]}</p>{part.format(say)}<p>{SAYS[1]}</p>") + "</body>")
+            assert text == (f"{SAYS[0]}\nA sentence that goes on.\n{SAYS[1]}" if name == "inline" else f"{SAYS[0]}\n{SAYS[1]}"), (name, around)
+
+
+def test_headings_of_an_articles_header():
+    page = f"<body><header><h1>Site</h1><p>{SAYS[2]}</p></header><article><header><h1>Title</h1><p>By somebody on some day.</p></header><p>{SAYS[0]}</p></article></body>"
+    assert h.main_text(page) == f"Title\n{SAYS[0]}"
+
+
+def test_short_pages():
+    assert h.main_text("<p>Hello</p>") == "Hello" and h.main_text("Hello world") == "Hello world"
+    assert h.main_text(f"<body>{NAV}<div><p>Hello there</p></div>{FOOT}</body>") == "Hello there"
+    assert h.main_text(f"<body>{NAV}<form><label>Name</label></form>{FOOT}</body>") == ""
+    assert h.main_text(f"<nav><p>{SAYS[0]}</p></nav>") == h.main_text(f"<aside><p>{SAYS[0]}</p></aside>") == ""
+
+
+def test_wrapping_forms_and_topics():
+    text = "".join(f"<p>{x}</p>" for x in SAYS)
+    assert h.main_text(f"<body><form id=f>{NAV}<h1>Title</h1>{text}{FOOT}</form></body>") == "\n".join(["Title", *SAYS])
+    assert h.main_text(f'<body class="single category-legal"><article class="post tag-social sponsored"><h1>Title</h1>{text}</article></body>') == "\n".join(["Title", *SAYS])
+
+
+def test_ties_are_boilerplate():
+    assert h.min_cut([0.0, 1.0], [0.0, 1.0], []) == [False, False]
+
+
 def test_min_cut_is_least():
     rng = random.Random(3)
     for _ in range(150):
@@ -76,3 +122,44 @@ def test_table(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.n_chars > 0 for r in got} == {1: True, None: False, 3: True}
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+class Reading(HTMLParser):
+    """The paragraphs and headings inside <article>, read plainly."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("article", "p", "h1", "h2", "h3", "li", "ul", "div", "td", "tr", "table", "blockquote", "pre"):
+            self.parts.append("")
+        elif tag == "br":
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1] += data
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(p.split()) for p in self.parts) if x)
+
+
+def test_query_against_a_plain_reading(spark):
+    from faultlens.llm.queries import op1_html_extraction
+
+    got = {r.page_id: r.text for r in op1_html_extraction(spark, "/root/testdata/sf0.001").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert len(got) == len(pages) > 0
+    for page in pages:
+        if page.html and "<article" in page.html:
+            reading = Reading()
+            reading.feed(page.html)
+            reading.close()
+            assert got[page.page_id] == reading.text(), page.page_id
