@@ -43,7 +43,7 @@ def test_runs_are_sorted(spark):
     index = d.DigestIndex(spark, capacity=10)
     index.flush(spark.createDataFrame(rows(), SCHEMA).coalesce(1))
     by = defaultdict(list)
-    for r in index.runs().collect():
+    for r in index.entries().collect():
         by[r.row.run].append((r.row.task, bytes(r.digest)))
     assert len(by) > 20 and all(len(x) <= 10 and x == sorted(x) for x in by.values())
 
@@ -55,3 +55,35 @@ def test_keep_one_keeps_columns_and_the_longest_text(spark):
     assert out.columns == ["doc_id", "text", "kept", "a.b"]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "x  y", "r", "s"), (3, None, None, None), (None, "z", "p", "q")]))
     assert d.keep_one(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_index_used_again(spark):
+    data = rows()
+    index = d.DigestIndex(spark, capacity=20, fanout=2)
+    seen = []
+    for k in range(5):
+        seen += data[k::5]
+        index.flush(spark.createDataFrame(data[k::5], SCHEMA).repartition(2))
+        if k in (0, 1, 3, 4):
+            got = index.compact()
+            want = {(i, n, sha) for i, keep, n, sha in brute(seen) if i == keep}
+            assert {(~r.best.inv if r.best.inv is not None else None, r.size, bytes(r.key).hex()) for r in got.collect()} >= {x for x in want if x[0] is not None}
+            assert got.count() == got.select("key").distinct().count() == len({sha for *_, sha in brute(seen)})
+            assert all(level for level, _ in index.parts)
+    assert [level for level, _ in index.parts] == [3] and index.flushed == 5
+    ids = index.entries().select("row.*")
+    assert ids.count() == ids.distinct().count() == len(data)
+    again = d.DigestIndex(spark, index.path, fanout=2)
+    assert (again.version, again.parts, again.flushed) == (index.version, index.parts, index.flushed)
+    assert again.level().count() == got.count()
+
+
+def test_filter_keeps_all_hits_and_little_else(spark):
+    keys = [hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(4000)]
+    held = d.HitFilter(spark.createDataFrame([(k,) for k in keys[:1000]], "key binary"), 1 << 20)
+    may = held.may_hold(keys)
+    assert may[:1000].all() and may[1000:].mean() < 0.02
+    full = d.HitFilter(spark.createDataFrame([(k,) for k in keys], "key binary"), 8)
+    assert full.words == 1 and full.may_hold(keys).all()
+    none = d.HitFilter(spark.createDataFrame([], "key binary"), 8)
+    assert not none.may_hold(keys).any()
