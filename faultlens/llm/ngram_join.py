@@ -6,22 +6,28 @@
    In ascending document frequency these are mostly unique to their text, which rules out most texts.
    Frequencies are first counted in a fixed share of the hash universe, which comes before the rest; the
    texts that stay are then ordered by the frequencies of all their shingles among themselves.
-3. Of each shared first shingle the text that has it earliest is the hub. Members are verified against
-   hubs by tries: sets in order of frequency form a prefix tree, a traversal carries the overlap with the
-   probe along shared paths, and a subtree is pruned once the remaining lengths can't reach the overlap
-   needed.
-4. Pairs that share a first shingle but aren't joined through hubs are verified likewise, unless their
-   remaining lengths behind it, or the triangle inequality of the Jaccard distance through their hub,
-   rule them out. So no pairs are emitted within groups that hang together, and no link between
-   different components is lost.
+3. Of each shared first shingle the text that has it earliest is the hub. A hub is looked up in tries of
+   its members: sets in one global order, the shingles that most texts have first, form a prefix tree; a
+   traversal carries the overlaps of many probes along shared paths, and a subtree is pruned once the
+   remaining lengths can't reach the overlap needed.
+4. Members that don't link with their hub are loose. Pairs of a loose text and any other under the same
+   first shingle, of another component, are found by tries of the loose ones, in blocks: by shingle and
+   band of sizes, as sizes of linked texts differ by the threshold at most. Texts that can link with
+   none in their bands, for what remains behind the shingle, are left out, and so are those that are far
+   from the hub against those that link with it (triangle inequality of the Jaccard distance). So no
+   pairs are emitted within groups that hang together, and no link between different components is lost.
 5. Components of the verified links, by star rounds over staged edges.
 
-Hubs with many members are salted; frequencies and hubs are pre-aggregated before the shuffle.
+Hubs with many members, and blocks with many probes, are salted; frequencies and hubs are pre-aggregated
+before the shuffle. Where very many texts under one shingle are alike but for less than the threshold, and
+none links with its hub, the tries of step 4 test each block against each block, spread over all tasks.
 
 Defined results: a text is lower-cased in A-Z and split at ASCII white space; one with fewer words than
 a shingle has its whole sequence as one; a null, empty or blank text has no shingles, links with
 nothing and is its own component; rows that repeat an id count as one document; a null id links with
 nothing and has a null component; extra columns are ignored; an empty table gives no rows.
+A text is read as a whole, however long; its set is one row. Words and shingles are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -31,24 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import WHITE, components, staged, utf8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _IS_WHITE = np.isin(np.arange(256), list(WHITE))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(2 * n, base)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a lower-cased text: differences of one running polynomial."""
+    """A 64-bit hash of each word of a lower-cased text: the sum of random numbers for each byte at its place in the word."""
     return _words(text)[0]
 
 
@@ -69,10 +64,30 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     word[1:-1] = ~_IS_WHITE[b]
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(b) + 1)
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=run[1:])
-    return _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    signs = b[word[1:-1].view(bool)].astype(np.uint64)
+    place = np.arange(len(signs), dtype=np.uint64) - np.repeat(first.astype(np.uint64), lengths)
+    return _mix(np.add.reduceat(_at_place(signs, place), first) + lengths.astype(np.uint64) * _BASE), starts
+
+
+#: Random numbers for each byte at the first places of a word.
+_SHORT = 32
+_RANDOM: list[np.ndarray] = []
+
+
+def _at_place(signs: np.ndarray, place: np.ndarray) -> np.ndarray:
+    if not _RANDOM:
+        _RANDOM.append(_mix((np.arange(256 * _SHORT, dtype=np.uint64) + np.uint64(1)) * _BASE))
+    key = place * np.uint64(256) + signs
+    far = place >= _SHORT
+    if not far.any():
+        return _RANDOM[0][key.astype(np.int64)]
+    out = _RANDOM[0][np.where(far, 0, key).astype(np.int64)]
+    out[far] = _mix((key[far] + np.uint64(1)) * _BASE)
+    return out
 
 
 def _grams(w: np.ndarray, k: int) -> np.ndarray:
@@ -159,113 +174,140 @@ def _postings(words: int, threshold: tuple[int, int], share: float):
 
 
 class SetTrie:
-    """A prefix tree of sets as sorted rows and the depth that each shares with the row before it.
-
-    Elements are ordered by descending frequency in the tree, so that similar sets share long paths.
-    """
+    """A prefix tree of sets, given in one global order, as sorted rows and the depth that each shares with the row before it."""
 
     def __init__(self, sets: list[np.ndarray]):
-        everything = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.values, at, counts = np.unique(everything, return_inverse=True, return_counts=True)
-        rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-        self.rank = rank
-        ranks = rank[at]
-        cuts = np.cumsum([0, *(len(s) for s in sets)])
-        rows = [np.sort(ranks[a:b]).astype(">u4") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())
-        self.rows = [rows[i].astype(np.int64) for i in self.order]
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
+        self.values, at = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True)
+        cuts = np.cumsum([0, *(len(sets[i]) for i in self.order)]).tolist()
+        self.rows = [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.shared = [0]
         for a, b in zip(self.rows[:-1], self.rows[1:], strict=True):
             m = min(len(a), len(b))
             other = np.flatnonzero(a[:m] != b[:m])
             self.shared.append(int(other[0]) if len(other) else m)
-        self.longest = max((len(r) for r in self.rows), default=0)
-
-    def overlaps(self, probe: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-        """Overlap of the probe with each set, in the order given; -1 where the Jaccard similarity can't reach the threshold."""
-        num, den = threshold
-        inside = np.zeros(len(self.values), np.int64)
-        inside[self.rank] = np.isin(self.values, probe, assume_unique=True)
-        # J >= t needs an overlap of t / (1 + t) of both sizes: so many elements of a path may be outside the probe
-        spare = self.longest - -(-num * (len(probe) + self.longest) // (num + den))
-        out = np.full(len(self.rows), -1, np.int64)
-        path = np.zeros(self.longest + 1, np.int64)  # overlap of the first d elements of the current path
+        self.longest = max(map(len, self.rows))
+
+    def overlaps(self, probes: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+        """Overlap of each set (row) with each probe (column); -1 where it was seen to be below ``least``, of the same shape."""
+        inside = np.zeros((len(self.values), len(probes)), np.int8)
+        for k, p in enumerate(probes):
+            at = np.minimum(np.searchsorted(self.values, p), len(self.values) - 1)
+            inside[at[self.values[at] == p], k] = 1
+        # so many elements of a path may be outside a probe: what its longest set has more than the least overlap
+        spare = self.longest - least.min(axis=0)
+        out = np.full(least.shape, -1, np.int32)
+        path = np.zeros((self.longest + 1, len(probes)), np.int32)  # overlaps of the first d elements of the current path
         depth, dead = 0, None
-        for i, (row, shared) in enumerate(zip(self.rows, self.shared, strict=True)):
+        for i, row, shared in zip(self.order, self.rows, self.shared, strict=True):
             if dead is not None:
                 if shared >= dead:  # still in the pruned subtree
                     continue
                 dead = None
             shared = min(shared, depth)
-            np.cumsum(inside[row[shared:]], out=path[shared + 1 : len(row) + 1])
-            path[shared + 1 : len(row) + 1] += path[shared]
+            part = path[shared + 1 : len(row) + 1]
+            np.cumsum(inside[row[shared:]], axis=0, out=part)
+            part += path[shared]
             depth = len(row)
-            outside = np.arange(shared + 1, depth + 1) - path[shared + 1 : depth + 1]
-            cut = int(np.searchsorted(outside, spare, "right"))
-            if cut < len(outside):
-                dead = shared + 1 + cut
-                depth = min(depth, dead)
+            outside = np.arange(shared + 1, depth + 1)[:, None] - part
+            hopeless = (outside > spare).all(axis=1)
+            if hopeless.any():
+                depth = dead = shared + 1 + int(hopeless.argmax())
                 continue
-            both = int(path[len(row)])
-            if den * both >= num * (len(row) + len(probe) - both):
-                out[self.order[i]] = both
+            out[i] = path[len(row)]
+        out[out < least] = -1
         return out
 
 
-def _verify(words: int, threshold: tuple[int, int], chunk: int):
-    """Rows (hub, salt, is_hub, doc_id, text) sorted so that a hub comes before its members -> (doc_id, hub, both, n, m)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hub", pa.int64()), ("both", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+def least_overlap(n: np.ndarray, m: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The overlap from which on sets of n and m elements link."""
+    return -(-threshold[0] * (n + m) // sum(threshold))
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("hub", pa.int64()), ("both", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+FOUND_DDL = "doc_id long, hub long, both long, n long, m long"
+
+
+def _verify(threshold: tuple[int, int], chunk: int, elements: int = 1 << 20, together: int = 16):
+    """Rows (group, probe, doc_id, c, n, tokens), sorted so that a group's sets come before its probes -> ``FOUND``.
+
+    A pair of the same c isn't looked for. Tries hold at most ``chunk`` sets and, but for a single one, ``elements`` elements.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: int | None = None
-        probe = np.zeros(0, np.uint64)
-        docs: list[int] = []
-        sets: list[np.ndarray] = []
-        rows: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal docs, sets
-            if docs:
-                for d, s, both in zip(docs, sets, SetTrie(sets).overlaps(probe, threshold).tolist(), strict=True):
-                    rows.append((d, hub, both, len(s), len(probe)))
-            docs, sets = [], []
+        group = None
+        tries: list[tuple[SetTrie, np.ndarray, np.ndarray, np.ndarray]] = []
+        sets: list[tuple] = []
+        probes: list[tuple] = []
+        size = 0
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def columns(rows: list[tuple]) -> list[np.ndarray]:
+            return [np.array(x, np.int64) for x in zip(*(r[:3] for r in rows), strict=True)]
+
+        def build() -> None:
+            nonlocal sets, size
+            if sets:
+                tries.append((SetTrie([r[3] for r in sets]), *columns(sets)))
+            sets, size = [], 0
+
+        def look_up() -> None:
+            nonlocal probes
+            if probes:
+                ids, cs, ms = columns(probes)
+                for trie, of, of_c, of_n in tries:
+                    least = least_overlap(of_n[:, None], ms[None, :], threshold)
+                    both = trie.overlaps([r[3] for r in probes], least)
+                    i, k = np.nonzero((both >= 0) & (of_c[:, None] != cs[None, :]))
+                    found.append((of[i], ids[k], both[i, k].astype(np.int64), of_n[i], ms[k]))
+            probes = []
 
         for batch in batches:
-            for h, is_hub, doc_id, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(utf8(batch.column(3)), words), strict=True):
-                if is_hub:
-                    if h != hub or docs:
-                        flush()
-                    hub, probe = h, s
+            flat, cuts = batch.column(5).flatten().to_numpy(zero_copy_only=False), batch.column(5).offsets.to_numpy() - batch.column(5).offsets[0].as_py()
+            for k, (g, probe, doc_id, c, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
+                if g != group:
+                    look_up()
+                    tries.clear()
+                    group, sets, size = g, [], 0
+                row = (doc_id, c, n, flat[cuts[k] : cuts[k + 1]].copy())
+                if probe:
+                    build()
+                    probes.append(row)
+                    if len(probes) == together:
+                        look_up()
                     continue
-                docs.append(doc_id)
-                sets.append(s)
-                if len(docs) >= chunk:
-                    flush()
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
-                rows = []
-        flush()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
+                if sets and (len(sets) == chunk or size + len(row[3]) > elements):
+                    build()
+                sets.append(row)
+                size += len(row[3])
+            if sum(len(x[0]) for x in found) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=FOUND)
+                found = []
+        look_up()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=FOUND)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int], chunk: int, per_salt: int) -> DataFrame:
-    """Exact overlaps of ``pairs`` (doc_id, hub), staged; -1 below the threshold. Hubs of more than ``per_salt`` members are spread."""
+def _looked_up(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int], chunk: int) -> DataFrame:
+    """Verified pairs of ``rows`` (group, probe, doc_id, c), each group with the sets of its tries and its probes, staged."""
+    whole = rows.join(sets, "doc_id").repartition("group").sortWithinPartitions("group", "probe")
+    return staged(whole.select("group", "probe", "doc_id", "c", "n", "tokens").mapInArrow(_verify(threshold, chunk), FOUND_DDL), "verified")
+
+
+def _at_hubs(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], chunk: int, per_salt: int) -> DataFrame:
+    """Verified pairs among ``pairs`` (doc_id, hub). Hubs of more than ``per_salt`` members are spread."""
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / per_salt).cast("int"))
-    members = pairs.join(sizes, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.lit(False).alias("is_hub"))
-    heads = sizes.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    rows = members.union(heads).join(texts, "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("is_hub").desc())
-    out = rows.select("hub", "is_hub", "doc_id", "text").mapInArrow(_verify(words, threshold, chunk), "doc_id long, hub long, both long, n long, m long")
-    return staged(out, "verified")
+    members = pairs.join(sizes, "hub").select(F.struct("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt")).alias("group"), F.lit(False).alias("probe"), "doc_id", F.lit(0).cast("long").alias("c"))
+    heads = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.struct("hub", "salt").alias("group"), F.lit(True).alias("probe"), F.col("hub").alias("doc_id"), F.lit(1).cast("long").alias("c"))
+    return _looked_up(members.union(heads), sets, threshold, chunk)
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int] = (85, 100), chunk: int = 256, per_salt: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int] = (85, 100), chunk: int = 256, per_salt: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); links where intersection / union >= threshold.
 
-    ``chunk`` bounds a trie, ``per_salt`` the members of a hub in one group.
+    ``chunk`` bounds a trie, ``per_salt`` the members of a hub in one group and, times 16, the probes of a block.
     """
     num, den = threshold
     share = min(1.0, 1.6 * (1 - num / den))
@@ -275,25 +317,26 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
 
     candidates = staged(_candidates(source, reps, words, threshold, share), "candidates")
-    texts = staged(source.join(candidates.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    firsts = staged(_firsts(texts, candidates, words, threshold), "firsts")
+    texts = source.join(candidates.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = staged(_ordered(staged(texts, "texts"), candidates, words, threshold), "sets")
+    firsts = staged(_firsts(sets, threshold), "firsts")
+    sets = sets.select("doc_id", "n", F.reverse("tokens").alias("tokens"))  # in a trie what most texts have comes first
 
     earliest = firsts.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("h"), F.count("*").alias("docs")).filter("docs > 1")
     at_hub = firsts.join(earliest.select("token", F.col("h.doc_id").alias("hub"), F.col("h.pos").alias("hub_pos"), F.col("h.n").alias("hub_n")), "token")
     pairs = at_hub.filter("doc_id <> hub").filter(_may_link("n", "pos", "hub_n", "hub_pos", threshold)).select("doc_id", "hub").distinct()
+    pairs = staged(pairs, "pairs")
     # a member less similar to its hub than this can't link with a member that links with the hub
-    near = _verified(pairs, texts, words, (max(1, 2 * num - den), den), chunk, per_salt)
+    near = _at_hubs(pairs, sets, (max(1, 2 * num - den), den), chunk, per_salt)
     linked = den * F.col("both") >= num * (F.col("n") + F.col("m") - F.col("both"))
-    links = near.filter("both >= 0").filter(linked).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    links = near.filter(linked).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     found = staged(components(links), "hub-components")
 
-    distance = F.when(F.col("both") >= 0, 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
-    known = near.select("doc_id", "hub", ((F.col("both") >= 0) & linked).alias("linked"), distance.alias("d"))
-    rest = staged(_rest(at_hub, known, found, threshold), "rest")
-    if rest.take(1):
-        more = _verified(rest, texts, words, threshold, chunk, per_salt).filter("both >= 0").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-        if more.take(1):
-            found = components(links.union(more))
+    seen = near.select("doc_id", "hub", F.when(linked, LINKED).otherwise(NEAR).alias("kind"))
+    known = pairs.join(seen, ["doc_id", "hub"], "left").select("doc_id", "hub", F.coalesce("kind", F.lit(FAR)).alias("kind"))
+    more = _looked_up(_rest(at_hub, known, found, threshold, chunk, 16 * per_salt), sets, threshold, chunk)
+    if more.take(1):
+        found = components(links.union(more.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
     of_class = classes.join(found, classes.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = profile.join(of_class, "key", "left")
     # a blank text links with nothing, a null id has no component
@@ -315,15 +358,20 @@ def _candidates(source: DataFrame, reps: DataFrame, words: int, threshold: tuple
     return reps.join(shared, "doc_id").filter((F.col("later") > 0) | (first > F.col("counted") - F.col("common"))).select("doc_id", "n")
 
 
-def _firsts(texts: DataFrame, candidates: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """(token, doc_id, n, pos): the shared ones of each candidate's first shingles, in order of frequency among candidates."""
-    num, den = threshold
+def _ordered(texts: DataFrame, candidates: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(doc_id, n, tokens): the shingles of each candidate that another has too, in ascending order of frequency among candidates."""
     postings = texts.mapInArrow(_postings(words, threshold, 1.0), "token long, doc_id long")
     frequency = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("doc_id")
-    ranked = postings.join(frequency, "token").join(candidates, "doc_id").withColumn("place", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.count("*").over(own))
-    pos = (F.col("n") - F.col("common") + F.col("place") - 1).alias("pos")
-    return ranked.select("token", "doc_id", "n", pos).filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den))
+    ordered = postings.join(frequency, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    return ordered.join(candidates, "doc_id").select("doc_id", "n", F.col("x.token").alias("tokens"))
+
+
+def _firsts(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(token, doc_id, n, pos): of each set the shared ones of its first shingles, and their places among all."""
+    num, den = threshold
+    own = F.col("n") - F.size("tokens")  # these are of one text only and come before
+    many = F.greatest(F.lit(0), F.floor(F.col("n") - F.ceil(F.col("n") * num / den) + 1 - own)).cast("int")
+    return sets.select("doc_id", "n", own.alias("own"), F.posexplode(F.slice("tokens", F.lit(1), many)).alias("place", "token")).select("token", "doc_id", "n", (F.col("own") + F.col("place")).alias("pos"))
 
 
 def _may_link(n: str, pos: str, m: str, m_pos: str, threshold: tuple[int, int]):
@@ -334,17 +382,40 @@ def _may_link(n: str, pos: str, m: str, m_pos: str, threshold: tuple[int, int]):
     return (n - pos >= overlap) & (m - m_pos >= overlap)
 
 
-def _rest(at_hub: DataFrame, known: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, hub): pairs under one token, not joined yet, that may link for all that is known of their hub."""
+#: What is known of a text under a shingle: it links with the hub, it is near enough to link with such, or it is neither.
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+def _rest(at_hub: DataFrame, known: DataFrame, found: DataFrame, threshold: tuple[int, int], chunk: int, most: int) -> DataFrame:
+    """(group, probe, doc_id, c): tries of loose texts, and the probes under the same shingle that may link with one of another component."""
     num, den = threshold
     label = found.select(F.col("id").alias("doc_id"), "component")
-    own = F.col("doc_id") == F.col("hub")
     rows = at_hub.join(known, ["doc_id", "hub"], "left").join(label, "doc_id", "left")
-    rows = rows.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"), (F.coalesce("linked", F.lit(False)) | own).alias("linked"), F.when(own, 0.0).otherwise(F.col("d")).alias("d"))
-    mixed = rows.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
-    rows = staged(rows.join(mixed, "token", "left_semi"), "mixed")
-    loose = rows.filter(~F.col("linked")).select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "c", "d")))
-    apart = F.abs(F.coalesce(F.col("d") - F.col("d_b"), F.lit(0.0))) <= 1 - num / den + 1e-9
-    once = F.col("linked") | (F.col("doc_id") < F.col("doc_id_b"))
-    pairs = rows.join(loose, "token").filter((F.col("c") != F.col("c_b")) & once & apart & _may_link("n", "pos", "n_b", "pos_b", threshold))
-    return pairs.select(F.greatest("doc_id", "doc_id_b").alias("doc_id"), F.least("doc_id", "doc_id_b").alias("hub")).distinct()
+    kind = F.when(F.col("doc_id") == F.col("hub"), LINKED).otherwise(F.coalesce("kind", F.lit(NEAR)))  # a pair that wasn't looked up may be near
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9) if num < den else F.col("n")
+    rows = rows.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"), kind.alias("kind"), band.cast("long").alias("band"))
+    mixed = rows.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("docs"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(2**31))).alias("who")).filter("least <> most")
+    # of the shingles that the same texts have among their first one is enough
+    once = mixed.groupBy("who", "docs", "least", "most").agg(F.min("token").alias("token")).select("token")
+    rows = staged(rows.join(once, "token", "left_semi"), "mixed")
+
+    # the smallest set that one of a band can link with: in its own band or the next ones
+    bands = rows.groupBy("token", "band").agg(F.min("n").alias("least_n"))
+    around = bands.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "least_n").groupBy("token", "band").agg(F.min("least_n").alias("least_n"))
+    other = F.greatest("least_n", F.ceil(F.col("n") * num / den))
+    live = rows.join(around, ["token", "band"]).filter(F.col("n") - F.col("pos") >= F.ceil((F.col("n") + other) * num / (num + den))).drop("least_n")
+
+    loose = live.filter(F.col("kind") != LINKED)
+    tries = loose.groupBy("token", "band", "kind").agg(F.count("*").alias("sets")).withColumn("blocks", F.ceil(F.col("sets") / chunk).cast("int")).drop("sets")
+    tries = tries.withColumnRenamed("kind", "of").withColumnRenamed("band", "of_band")
+    # all kinds are looked up among the near ones, but only far ones among the far
+    probes = live.select("*", F.explode(F.when(F.col("kind") == FAR, F.array(F.lit(NEAR), F.lit(FAR))).otherwise(F.array(F.lit(NEAR)))).alias("of"))
+    own = F.col("kind") == F.col("of")  # then one order of bands is enough
+    probes = probes.withColumn("of_band", F.explode(F.when(own, F.array(F.col("band") - 1, F.col("band"))).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
+    at = ["token", "of_band", "of"]
+    spread = probes.groupBy(*at).agg(F.count("*").alias("probes")).join(tries, at).withColumn("salts", F.ceil(F.col("probes") / most).cast("int")).select(*at, "blocks", "salts")
+    block, salt = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").cast("int")
+    sets = loose.withColumnRenamed("kind", "of").withColumnRenamed("band", "of_band").join(spread, at).withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    asked = probes.join(spread, at).withColumn("salt", salt).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.struct(*at, "block", "salt").alias("group")
+    return sets.select(group, F.lit(False).alias("probe"), "doc_id", "c").union(asked.select(group, F.lit(True).alias("probe"), "doc_id", "c"))

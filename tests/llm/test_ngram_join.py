@@ -72,14 +72,43 @@ def test_empty(spark):
 def test_trie_gives_overlaps_or_proves_too_little():
     rng = np.random.default_rng(1)
     for _ in range(40):
-        pool = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
-        sets = [np.sort(rng.choice(pool, rng.integers(1, 50), replace=False)) for _ in range(20)]
-        probe = np.sort(rng.choice(pool, rng.integers(1, 50), replace=False))
+        order = rng.permutation(np.unique(rng.integers(-(2**63), 2**63 - 1, 60)))
+        some = lambda n: [order[np.sort(rng.choice(len(order), rng.integers(1, 50), replace=False))] for _ in range(n)]  # noqa: B023, E731
+        sets, probes = some(20), some(5)
+        trie = g.SetTrie(sets)
         for num in (50, 80, 95):
-            for s, both in zip(sets, g.SetTrie(sets).overlaps(probe, (num, 100))):
-                true = len(np.intersect1d(s, probe))
-                links = 100 * true >= num * (len(s) + len(probe) - true)
-                assert both == (true if links else -1)
+            least = g.least_overlap(np.array([[len(s)] for s in sets]), np.array([[len(p) for p in probes]]), (num, 100))
+            both = trie.overlaps(probes, least)
+            for i, s in enumerate(sets):
+                for k, p in enumerate(probes):
+                    true = len(np.intersect1d(s, p))
+                    links = 100 * true >= num * (len(s) + len(p) - true)
+                    assert links == (true >= least[i, k]) and both[i, k] == (true if links else -1)
+
+
+def test_words_without_structural_collisions():
+    a, b = b"a", b"b"
+    for _ in range(12):  # Thue-Morse words collide under polynomials modulo 2^64
+        a, b = a + b, b + a
+    for x, y in ((a, b), (a[:2048], b[:2048])):
+        assert x != y and g.word_hashes(x)[0] != g.word_hashes(y)[0]
+    words = [bytes([97 + i // 676, 97 + i // 26 % 26, 97 + i % 26]) * k for i in range(2000) for k in (1, 2, 15)]
+    assert len(set(g.word_hashes(b" ".join(words)).tolist())) == len(set(words))
+
+
+def test_a_shingle_of_many_components(spark):
+    """Groups around one rare passage that no hub joins, and groups that hang together through loose texts only."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(12):
+        base = [f"p{i}" for i in range(22)] + [f"g{group}_{i}" for i in range(rng.randint(4, 10))]
+        for _ in range(14):
+            w = list(base)
+            w[rng.randrange(22, len(w))] = f"e{rng.randint(0, 3)}"
+            rows.append((len(rows), " ".join(w), 1, 1, 1, "x"))
+    for chunk, per_salt in ((5, 3), (256, 64)):
+        got = g.jaccard_components(spark.createDataFrame(rows, SCHEMA), words=3, threshold=(80, 100), chunk=chunk, per_salt=per_salt)
+        assert {tuple(r) for r in got.collect()} == brute(rows, 3, 80, 100)
 
 
 def test_shingles_match_sets():
