@@ -396,26 +396,34 @@ def _rest(at_hub: DataFrame, known: DataFrame, found: DataFrame, threshold: tupl
     rows = rows.select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"), kind.alias("kind"), band.cast("long").alias("band"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("docs"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(2**31))).alias("who")).filter("least <> most")
     # of the shingles that the same texts have among their first one is enough
-    once = mixed.groupBy("who", "docs", "least", "most").agg(F.min("token").alias("token")).select("token")
-    rows = staged(rows.join(once, "token", "left_semi"), "mixed")
+    once = mixed.groupBy("who", "docs", "least", "most").agg(F.min("token").alias("token"))
+    once = once.select("token", F.ceil(F.col("docs") / most).cast("int").alias("cells"))
+    rows = staged(rows.join(once, "token").withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(2)), "cells").cast("int")), "mixed")
+
+    def each_cell(few: DataFrame) -> DataFrame:
+        """Rows of a shingle lie in cells; what is known of the shingle is told to each."""
+        return few.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+
+    most_cells = F.max("cells").alias("cells")
 
     # the smallest set that one of a band can link with: in its own band or the next ones
-    bands = rows.groupBy("token", "band").agg(F.min("n").alias("least_n"))
-    around = bands.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "least_n").groupBy("token", "band").agg(F.min("least_n").alias("least_n"))
+    bands = rows.groupBy("token", "band").agg(F.min("n").alias("least_n"), most_cells)
+    around = bands.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "least_n", "cells").groupBy("token", "band").agg(F.min("least_n").alias("least_n"), most_cells)
     other = F.greatest("least_n", F.ceil(F.col("n") * num / den))
-    live = rows.join(around, ["token", "band"]).filter(F.col("n") - F.col("pos") >= F.ceil((F.col("n") + other) * num / (num + den))).drop("least_n")
+    live = rows.join(each_cell(around), ["token", "band", "cell"]).filter(F.col("n") - F.col("pos") >= F.ceil((F.col("n") + other) * num / (num + den))).drop("least_n")
 
     loose = live.filter(F.col("kind") != LINKED)
-    tries = loose.groupBy("token", "band", "kind").agg(F.count("*").alias("sets")).withColumn("blocks", F.ceil(F.col("sets") / chunk).cast("int")).drop("sets")
+    tries = loose.groupBy("token", "band", "kind").agg(F.count("*").alias("sets"), most_cells).withColumn("blocks", F.ceil(F.col("sets") / chunk).cast("int")).drop("sets")
     tries = tries.withColumnRenamed("kind", "of").withColumnRenamed("band", "of_band")
     # all kinds are looked up among the near ones, but only far ones among the far
     probes = live.select("*", F.explode(F.when(F.col("kind") == FAR, F.array(F.lit(NEAR), F.lit(FAR))).otherwise(F.array(F.lit(NEAR)))).alias("of"))
     own = F.col("kind") == F.col("of")  # then one order of bands is enough
     probes = probes.withColumn("of_band", F.explode(F.when(own, F.array(F.col("band") - 1, F.col("band"))).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
     at = ["token", "of_band", "of"]
-    spread = probes.groupBy(*at).agg(F.count("*").alias("probes")).join(tries, at).withColumn("salts", F.ceil(F.col("probes") / most).cast("int")).select(*at, "blocks", "salts")
+    spread = probes.groupBy(*at).agg(F.count("*").alias("probes")).join(tries, at).withColumn("salts", F.ceil(F.col("probes") / most).cast("int")).select(*at, "blocks", "salts", "cells")
+    spread, by_cell = each_cell(spread), [*at, "cell"]
     block, salt = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").cast("int")
-    sets = loose.withColumnRenamed("kind", "of").withColumnRenamed("band", "of_band").join(spread, at).withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    asked = probes.join(spread, at).withColumn("salt", salt).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = loose.withColumnRenamed("kind", "of").withColumnRenamed("band", "of_band").join(spread, by_cell).withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    asked = probes.join(spread, by_cell).withColumn("salt", salt).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.struct(*at, "block", "salt").alias("group")
     return sets.select(group, F.lit(False).alias("probe"), "doc_id", "c").union(asked.select(group, F.lit(True).alias("probe"), "doc_id", "c"))
