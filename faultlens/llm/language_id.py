@@ -114,12 +114,12 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray]]:
     """Gram sets of at most ``per_language`` texts of each language, picked by a hash of their ids."""
-    known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).filter("lang is not null").filter(~held_out(F.col("doc_id")))
-    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language, as the model has
-    if not rows:
+    known = docs.filter("text is not null and lang is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).filter(~held_out(F.col("doc_id")))
+    ids = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # one row a language, as the model has
+    if not ids:
         return []
     # enough of each language by far, so that what is ranked doesn't grow with the table
-    share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, 8.0 * per_language / n)))[F.col("lang")]
+    share = F.create_map(*(F.lit(x) for lang, n in ids.items() for x in (lang, 8.0 * per_language / max(1, n))))[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
     ranked = known.filter(place("doc_id") < share).distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
     picked = staged(ranked, "picked").select("doc_id", "lang", "at")
@@ -130,7 +130,8 @@ def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.nd
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["lang", "at", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).filter("text is not null")
-    rows = texts.join(picked, ["doc_id", "lang"]).select("lang", "at", "text").mapInArrow(run, "lang string, at int, grams binary").collect()  # per_language rows of each language
+    one = texts.join(picked, ["doc_id", "lang"]).groupBy("lang", "at").agg(F.min("text").alias("text"))  # of rows that share an id
+    rows = one.mapInArrow(run, "lang string, at int, grams binary").collect()  # per_language rows of each language
     return [(r["lang"], np.frombuffer(r["grams"], np.int32)) for r in sorted(rows, key=lambda r: (r["at"], r["lang"], r["grams"]))]
 
 
@@ -168,15 +169,21 @@ def identify(docs: DataFrame, per_language: int = 200, landmarks_per_language: i
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns; those without letters go. Where no language could be learned, all with letters stay."""
+def keep_known(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128, least_score: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the languages that were learned, with all their columns.
+
+    Those without letters go, and those whose predicted language has a score below ``least_score``, as
+    they share next to nothing with any (of single words of the learned languages the lowest seen is
+    0.15, of texts in other scripts the highest 0.04). Where no language could be learned, all with letters
+    stay.
+    """
     model = learn(docs, per_language, landmarks_per_language, ridge)
     at = docs.columns.index("text")
 
     def stay(texts: list[str | None]) -> list[bool]:
         if not model.languages:
             return [len(grams(t)) > 0 for t in texts]
-        return [p != UNKNOWN for p in predict(model, texts)[0]]
+        return [p != UNKNOWN and s >= least_score for p, s in zip(*predict(model, texts), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

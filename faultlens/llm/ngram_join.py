@@ -66,14 +66,17 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    signs = b[word[1:-1].view(bool)].astype(np.uint64)
+    return word_sums(b[word[1:-1].view(bool)], np.cumsum(ends - starts) - (ends - starts)), starts
+
+
+def word_sums(signs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hashes of words whose bytes or code points follow each other, each from ``first`` on."""
+    lengths = np.diff(np.append(first, len(signs)))
     place = np.arange(len(signs), dtype=np.uint64) - np.repeat(first.astype(np.uint64), lengths)
-    return _mix(np.add.reduceat(_at_place(signs, place), first) + lengths.astype(np.uint64) * _BASE), starts
+    return _mix(np.add.reduceat(_at_place(signs.astype(np.uint64), place), first) + lengths.astype(np.uint64) * _BASE)
 
 
-#: Random numbers for each byte at the first places of a word.
+#: Random numbers for each byte at the first places of a word; others are made as they are needed.
 _SHORT = 32
 _RANDOM: list[np.ndarray] = []
 
@@ -81,12 +84,12 @@ _RANDOM: list[np.ndarray] = []
 def _at_place(signs: np.ndarray, place: np.ndarray) -> np.ndarray:
     if not _RANDOM:
         _RANDOM.append(_mix((np.arange(256 * _SHORT, dtype=np.uint64) + np.uint64(1)) * _BASE))
+    far = (place >= _SHORT) | (signs >= 256)
     key = place * np.uint64(256) + signs
-    far = place >= _SHORT
     if not far.any():
         return _RANDOM[0][key.astype(np.int64)]
     out = _RANDOM[0][np.where(far, 0, key).astype(np.int64)]
-    out[far] = _mix((key[far] + np.uint64(1)) * _BASE)
+    out[far] = _mix((place[far] * np.uint64(0x110000) + signs[far] + np.uint64(1)) * _BASE + np.uint64(1))
     return out
 
 

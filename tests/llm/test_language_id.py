@@ -53,6 +53,25 @@ def test_nothing_learned_keeps_what_has_letters(spark):
         assert sorted(r.doc_id for r in lid.keep_known(spark.createDataFrame(table, SCHEMA)).collect()) == list(range(20))
 
 
+def test_keeps_the_languages_it_learned(spark):
+    data = rows(120) + [(2000 + i, "Сегодня утром в городе открылась библиотека.", None, 1.0, "x") for i in range(3)]
+    assert sorted(r.doc_id for r in lid.keep_known(spark.createDataFrame(data, SCHEMA)).collect()) == list(range(120))
+    known = [*data, *((3000 + i, "Сегодня утром в городе открылась новая библиотека, и жители ждали её.", "ru", 1.0, "x") for i in range(20))]
+    assert lid.keep_known(spark.createDataFrame(known, SCHEMA)).count() == len(known)
+
+
+def test_a_language_whose_rows_share_an_id(spark):
+    shared = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    data = rows(60) + [(shared, f"dzień dobry {i}", "pl", 1.0, "x") for i in range(3000)]
+    got = lid.identify(spark.createDataFrame(data, SCHEMA), per_language=20).filter(f"doc_id = {shared}").select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in got] == ["pl"]
+
+
+def test_ties_go_to_the_language_that_sorts_first():
+    examples = [(lang, lid.grams("one and the same text")) for lang in ("zz", "aa")]
+    assert lid.predict(lid.fit(examples, 4, 0.1), ["one and the same text"])[0] == ["aa"]
+
+
 def test_kernel_counts_shared_grams():
     a, b = lid.grams("abc"), lid.grams("xabc!!")
     assert set(a) <= set(b) and len(lid.grams("abab")) == 2 + 2 + 2
