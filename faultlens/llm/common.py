@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,13 +17,19 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+#: What ``shared_path`` names.
+_OURS = re.compile(r"/faultlens/[\w-]+-[0-9a-f]{32}/[^/]+$")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Set here only where the session has none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultlens-"))
+        own = tempfile.mkdtemp(prefix="faultlens-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
@@ -36,6 +45,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what ``staged`` wrote, once nothing reads it any more."""
+    jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
+    if files and _OURS.search(files[0]):
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def per_batch(make: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Schema):
     """A mapInArrow function from a function of one batch to columns in ``schema``'s order."""
 
@@ -77,6 +94,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # settled: every node hangs on exactly one smaller node, which hangs on none
         sums = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         old = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        discard(cur)
         cur = nxt
         if (sums.n, sums.h) == (old.n, old.h):
             break

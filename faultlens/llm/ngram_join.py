@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import WHITE, components, staged, utf8
+from faultlens.llm.common import WHITE, components, discard, staged, utf8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_WHITE = np.isin(np.arange(256), list(WHITE))
@@ -321,7 +321,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
 
     candidates = staged(_candidates(source, reps, words, threshold, share), "candidates")
     texts = source.join(candidates.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = staged(_ordered(staged(texts, "texts"), candidates, words, threshold), "sets")
+    texts = staged(texts, "texts")
+    sets = staged(_ordered(texts, candidates, words, threshold), "sets")
+    discard(texts)
     firsts = staged(_firsts(sets, threshold), "firsts")
     sets = sets.select("doc_id", "n", F.reverse("tokens").alias("tokens"))  # in a trie what most texts have comes first
 
@@ -338,6 +340,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     seen = near.select("doc_id", "hub", F.when(linked, LINKED).otherwise(NEAR).alias("kind"))
     known = pairs.join(seen, ["doc_id", "hub"], "left").select("doc_id", "hub", F.coalesce("kind", F.lit(FAR)).alias("kind"))
     more = _looked_up(_rest(at_hub, known, found, threshold, chunk, 16 * per_salt), sets, threshold, chunk)
+    for passed in (candidates, firsts, pairs):
+        discard(passed)
     if more.take(1):
         found = components(links.union(more.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
     of_class = classes.join(found, classes.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"))

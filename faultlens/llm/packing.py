@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences, with conflicts.
 
 No two documents of one source, nor of one duplicate cluster, share a bin. Documents are dealt to shards
-by a hash of their ids, so that hot sources spread evenly; each shard is packed by itself, in descending
+by a hash of the row, so that hot sources spread evenly and bins don't depend on how the table is split; each shard is packed by itself, in descending
 order of length. Its bins are ordered by what is left in them and carry a bitmap of their sources and
 clusters; the search starts at the successor of the length and goes on until the tightest bin that
 conflicts with nothing is found, else a bin is opened. There is no bound on bins or on the search.
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Copies of a row that go to one shard.
+LOT = 64
 PACKED = "doc_id long, piece int, start long, length long, bin_id long"
 
 
@@ -53,7 +55,7 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], na_position="last", kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["length", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], na_position="last", kind="stable")
         plain = lambda c: [None if pd.isna(x) else x for x in pdf[c]]
         bins = best_fit(list(zip(pdf["length"].tolist(), plain("source"), plain("cluster"), strict=True)), capacity)
         return pdf[["doc_id", "piece", "start", "length"]].assign(bin_id=pdf["shard"].to_numpy() * 2**32 + bins)
@@ -68,11 +70,14 @@ def pack(docs: DataFrame, capacity: int = 8192, shard_items: int = 4096) -> Data
     """
     items = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("whole"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
     shards = max(1, -(-docs.count() // shard_items))
+    rows = items.groupBy("doc_id", "whole", "source", "cluster").agg(F.count("*").alias("n"))
+    # copies of a row are dealt in lots, which are rows of their own only within a shard
+    lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT)))).withColumn("copies", F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT))
     last = F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)).cast("int")
-    pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * capacity)
+    pieces = lots.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("length", F.least(F.col("whole") - F.col("start"), F.lit(capacity).cast("long")))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster", F.monotonically_increasing_id() % 64), F.lit(shards)).cast("long"))
-    return dealt.drop("whole").groupBy("shard").applyInPandas(_pack(capacity), PACKED)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "whole", "source", "cluster", "lot"), F.lit(shards)).cast("long"))
+    return dealt.drop("whole", "n", "lot").groupBy("shard").applyInPandas(_pack(capacity), PACKED)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 8192, shard_items: int = 4096) -> DataFrame:

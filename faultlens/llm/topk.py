@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import staged
+from faultlens.llm.common import discard, staged
 
 #: A score is high * 2^62 + rest, with 0 <= rest < 2^62.
 SCORE = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.int64()), ("rest", pa.int64())])
@@ -280,8 +280,12 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
         reach = [sum(x * (1 + 1e-8) + 1e-6 >= need for x in lengths[start:stop]) for need in groups]
         if not any(reach):
             break
-        best = staged(_k_best(best.union(_round(queries, others, group_of, slab_of, reach, start, stop - start).mapInArrow(_search(dim, k, rotation, lead), SCORE_DDL)), k).drop("rank"), "best")
-        start, span = stop, span * ROUND
+        better = staged(_k_best(best.union(_round(queries, others, group_of, slab_of, reach, start, stop - start).mapInArrow(_search(dim, k, rotation, lead), SCORE_DDL)), k).drop("rank"), "best")
+        discard(best)
+        discard(queries)
+        best, start, span = better, stop, span * ROUND
+    for passed in (rows, packed, asked):
+        discard(passed)
     beyond = F.raise_error(F.lit("a score doesn't fit into 64 bits")).cast("long")
     return _k_best(best, k).select("query_id", "rank", "vec_id", F.coalesce(_score(), beyond).alias("score"))
 

@@ -58,3 +58,14 @@ def test_long_texts_and_empty(spark):
     got = {(r.doc_id, r.piece): (r.start, r.length) for r in p.pack_documents(docs, capacity=400).collect()}
     assert got == {(1, 0): (0, 400), (1, 1): (400, 400), (1, 2): (800, 200), (2, 0): (0, 0), (3, 0): (0, 0)}
     assert p.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_bins_do_not_depend_on_the_tables_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 3, 40, 100, 250, 1000]), f"s{rng.randint(0, 6)}", f"c{rng.randint(0, 150)}", "x", "x") for i in range(500)]
+    rows += [rows[5]] * 300
+    table = spark.createDataFrame(rows, SCHEMA)
+    one, other = (sorted(map(tuple, p.pack(t, capacity=256, shard_items=100).collect()), key=str) for t in (table.coalesce(1), table.orderBy(p.F.rand(1)).repartition(7)))
+    assert one == other
+    bins = [b for i, *_, b in one if i == rows[5][0]]
+    assert len(bins) == 301 * max(1, -(-rows[5][1] // 256)) and len(bins) == len(set(bins)) and len({b >> 32 for b in bins}) >= 3
