@@ -9,6 +9,14 @@ later word, so words are segmented by themselves, each once as long as the cache
 many words are segmented together, position by position, in arrays. If a vocabulary does have such
 pieces, whole texts are segmented instead.
 
+Scores are log probabilities. A Unigram model has them; a BPE model has the ranks of its merges instead,
+which are by frequency, so that a piece of rank r counts as likely as Zipf's law has it: in proportion
+to 1 / (r + 1), over all pieces 1. No score is learned from texts. Ids of a BPE model are therefore those of the likeliest segmentation, not those
+of its merges.
+
+Words longer than ``LONG`` bytes are segmented one by one: pieces are matched at many positions together,
+and the best totals go on from position to position, so that time grows with length alone.
+
 Defined results: a null or empty text has no pieces and decodes to an empty text; every text decodes to
 itself; rows that repeat give repeated results; a null doc_id is encoded like any other; extra columns
 are ignored; an empty table gives no rows.
@@ -32,6 +40,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: What a character without a piece costs below the lowest score.
 PENALTY = 10.0
+#: Bytes from which on a word is segmented by itself, and positions that are matched together.
+LONG, WINDOW = 2048, 1 << 16
 _WORD = re.compile(rb" +[^ ]*|[^ ]+")
 
 
@@ -85,6 +95,16 @@ class DoubleArray:
         return cls(base[:used], check[:used], value[:used])
 
 
+def log_probabilities(scores: np.ndarray, proper: np.ndarray) -> np.ndarray:
+    """Scores as they are, or, where those of ``proper`` pieces are ranks (whole numbers, as in BPE models), log probabilities by Zipf's law."""
+    ranks = -scores[proper]
+    if not len(ranks) or (ranks != np.round(ranks)).any() or (ranks < 0).any() or ranks.max() < len(ranks) - 1:
+        return scores
+    out = scores.copy()
+    out[proper] = -np.log(ranks + 1) - np.log((1 / (ranks + 1)).sum())
+    return out
+
+
 @dataclass
 class Pieces:
     trie: DoubleArray
@@ -103,6 +123,7 @@ class Pieces:
         texts = [sp.id_to_piece(i) for i in range(n)]
         scores = np.array([sp.get_score(i) for i in range(n)])
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
+        scores = log_probabilities(scores, np.array([not x for x in special]))
         return cls.of([(t, s, None if not x else "byte" if sp.is_byte(i) else "control") for i, (t, s, x) in enumerate(zip(texts, scores, special, strict=True))])
 
     @classmethod
@@ -122,6 +143,9 @@ class Pieces:
         lowest = min((scores[i] for i in keys.values()), default=0.0)
         return cls(DoubleArray.build(keys), scores, spelling, byte_ids, lowest - PENALTY, not any(b" " in k.lstrip(b" ") for k in keys))
 
+    def longest(self) -> int:
+        return max(map(len, self.spelling))
+
     def segment(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. Words of like length are segmented together."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
@@ -129,7 +153,11 @@ class Pieces:
         at = 0
         while at < len(order):
             longest, end = len(words[order[at]]), at
-            while end < len(order) and len(words[order[end]]) <= longest + 4 + longest // 4 and (end - at) * longest < 400_000:
+            if longest > LONG:
+                out[order[at]] = self._viterbi_long(words[order[at]])
+                at += 1
+                continue
+            while end < len(order) and len(words[order[end]]) <= min(LONG, longest + 4 + longest // 4) and (end - at) * longest < 400_000:
                 end += 1
             part = order[at:end]
             for i, ids in zip(part, self._viterbi([words[i] for i in part]), strict=True):
@@ -190,6 +218,59 @@ class Pieces:
             out.append(np.array(ids[::-1], np.int32))
         return out
 
+    def _matches(self, text: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces that start in text[at:end], by start; a character that no piece is has piece -1."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        here = np.arange(at, end)
+        lead = text[here]
+        char = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        begins = (lead < 0x80) | (lead >= 0xC0)
+        here = here[begins]
+        alone = np.zeros(end - at, bool)
+        state, k, found = np.zeros(len(here), np.int64), 0, []
+        while len(here):
+            inside = here + k < len(text)
+            here, state = here[inside], state[inside]
+            nxt = base[state] + text[here + k]
+            ok = (check[nxt] == state) & (nxt > 0)
+            here, state = here[ok], nxt[ok]
+            k += 1
+            hit = value[state] >= 0
+            if hit.any():
+                found.append((here[hit], np.full(hit.sum(), k), value[state[hit]]))
+                alone[here[hit][char[here[hit] - at] == k] - at] = True
+        spelt = np.flatnonzero(begins & ~alone)
+        found.append((spelt + at, np.minimum(char[spelt], len(text) - at - spelt), np.full(len(spelt), -1)))
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], length[order], piece[order]
+
+    def _viterbi_long(self, word: bytes) -> np.ndarray:
+        text = np.frombuffer(word, np.uint8).astype(np.int64)
+        n = len(text)
+        best, first, last = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+        best[0] = 0
+        reach = max(4, self.longest())
+        for at in range(0, n, WINDOW):
+            end = min(n, at + WINDOW)
+            start, length, piece = self._matches(text, at, end)
+            score = np.where(piece >= 0, self.scores[piece], self.unknown)
+            total, a, p = (x[at : end + reach].tolist() for x in (best, first, last))
+            for i, k, v, x in zip((start - at).tolist(), length.tolist(), piece.tolist(), score.tolist(), strict=True):
+                t = total[i] + x
+                if t > total[i + k]:
+                    total[i + k], a[i + k], p[i + k] = t, i + at, v
+            best[at : end + reach], first[at : end + reach], last[at : end + reach] = total, a, p
+        ids: list[int] = []
+        while n:
+            a = int(first[n])
+            if last[n] >= 0:
+                ids.append(int(last[n]))
+            else:
+                ids.extend(self.byte_ids[list(word[a:n])][::-1].tolist())
+            n = a
+        return np.array(ids[::-1], np.int32)
+
     def words(self, text: bytes) -> list[bytes]:
         return ([b" " + text] if not self.by_word else _WORD.findall(b" " + text)) if text else []
 

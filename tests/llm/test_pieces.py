@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -84,3 +85,31 @@ def test_table(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.decoded) for r in out) == sorted((i is None, i, t or "") for i, t, *_ in rows)
     assert {r.doc_id: r.n_pieces for r in out}[2] == 0 and {r.doc_id: r.n_byte_pieces for r in out}[None] == 7
     assert p.decode(p.encode(spark.createDataFrame([], schema), model), model).count() == 0
+
+
+def test_long_words_as_short_ones(monkeypatch):
+    rng = random.Random(12)
+    pieces = p.Pieces.of([(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(p.MARKER, -2.0, None)] + [(x, -rng.random() * 9, None) for x in sorted({"".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(40)})])
+    words = ["".join(rng.choice("abécd世😀") for _ in range(rng.randint(1, 90))).encode() for _ in range(60)]
+    want = pieces.segment(words)
+    for window in (1, 7, 1 << 16):
+        monkeypatch.setattr(p, "LONG", 0)
+        monkeypatch.setattr(p, "WINDOW", window)
+        assert all(a.tolist() == b.tolist() for a, b in zip(want, pieces.segment(words), strict=True))
+
+
+def test_megabyte_without_a_space():
+    pieces = p.Pieces.of([(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(x, -1.0 - len(x) / 9, None) for x in ("a", "b", "ab", "abba", "b" * 20)])
+    rng = random.Random(1)
+    word = " ".encode() + "".join(rng.choice("abc") for _ in range(1_000_000)).encode()
+    began = time.perf_counter()
+    ids = pieces.segment([word])[0]
+    assert pieces.decode(ids.tolist()) == word[1:] and time.perf_counter() - began < 60
+
+
+def test_ranks_become_log_probabilities():
+    scores = p.log_probabilities(np.array([0.0, 0.0, -1.0, -2.0, -3.0]), np.array([False, True, True, True, True]))
+    assert abs(np.exp(scores[1:]).sum() - 1) < 1e-12 and (np.diff(scores[1:]) < 0).all() and scores[0] == 0
+    assert abs(scores[1] - scores[2] - np.log(2)) < 1e-12
+    own = np.array([-1.5, -2.25, -0.5])
+    assert (p.log_probabilities(own, np.ones(3, bool)) == own).all()
