@@ -13,7 +13,8 @@ without ``.gz``, which Spark would unpack as one stream.
 
 Defined results: a null payload is an empty payload; rows that repeat the smallest id are each a
 response; a null id is written as empty and read as null; truncated or foreign members are dropped
-by the reader, as they aren't records; an empty table gives an archive without records.
+by the reader, as they aren't records, and so are responses whose payload hasn't their digest; an empty table gives an archive without records; extra
+columns are ignored; a payload is one record, inflated as a whole by one task, however long.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens.llm.common import staged
+
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing (RFC 1952), the separator between records.
 EMPTY_MEMBER = MAGIC + bytes(6) + b"\x03" + b"\x03" + bytes(9)
@@ -72,6 +75,8 @@ def parse_record(data: bytes) -> tuple | None:
         of = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").rstrip(">")) else None
         kind = fields[b"warc-type"]
         digest = fields.get(b"warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(body)
+        if kind == "response" and digest != base32_sha1(body):
+            return None
         return (of(b"warc-record-id"), fields.get(b"warc-target-uri"), kind, of(b"warc-refers-to"), int(fields.get(b"warc-payload-length", len(body))), digest, body)
     except (KeyError, ValueError):
         return None
@@ -135,7 +140,7 @@ class _Members:
             yield from self.add(*rest)
 
 
-def _decode(with_payload: bool, loose_only: bool):
+def _decode(with_payload: bool):
     none7, none4 = (None,) * 7, (None,) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,7 @@ def _decode(with_payload: bool, loose_only: bool):
                     if other is None:
                         head = False
                         found = parse_record(content)
-                        if found and not loose_only:
+                        if found:
                             rows.append((*(found if with_payload else (*found[:6], None)), *none4))
                     elif head:  # may go on a member of the range before
                         loose([other])
@@ -200,11 +205,12 @@ def _join_loose(with_payload: bool):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records under ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if asked for, payload."""
+    """Decodes the archives under ``path`` and stages their records: page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if asked for, payload."""
     text = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = text.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("piece"))
-    whole = pieces.mapInArrow(_decode(payload, False), RECORD_DDL).filter("loose is null")
-    ends = pieces.mapInArrow(_decode(False, True), RECORD_DDL).filter("loose is not null").select("file", "block", "seq", "loose")
+    decoded = staged(pieces.mapInArrow(_decode(payload), RECORD_DDL), "records")  # so that archives are inflated once
+    whole = decoded.filter("loose is null")
+    ends = decoded.filter("loose is not null").select("file", "block", "seq", "loose")
     stitched = ends.repartition("file").sortWithinPartitions("file", "block", "seq").select("file", "loose").mapInArrow(_join_loose(payload), RECORD_DDL)
     out = whole.union(stitched).drop("file", "block", "seq", "loose")
     return out if payload else out.drop("payload")

@@ -102,3 +102,26 @@ def test_least_payload_and_empty(spark, tmp_path):
     assert [r.record_type for r in warc.read_warc(spark, str(tmp_path / "a")).collect()] == ["response"] * 3
     warc.write_warc(spark.createDataFrame([], SCHEMA), str(tmp_path / "b"))
     assert warc.read_warc(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_damaged_and_wrong_records_are_dropped(spark, tmp_path):
+    good = [warc.build_record(i, "u", b"payload %d" % i * 40, None, 6) for i in range(9)]
+    bent = bytearray(good[4])
+    bent[len(bent) // 2] ^= 0xFF  # in the middle of the archive, and of most ranges
+    wrong = gzip.compress(gzip.decompress(good[6]).replace(b"payload 6", b"payload 7"))
+    path = tmp_path / "archive.warc"
+    path.write_bytes(b"".join([*good[:4], bytes(bent), good[5], wrong, *good[7:]]))
+    for size in (61, 10_000_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(r.page_id for r in warc.read_warc(spark, str(path)).collect()) == [0, 1, 2, 3, 5, 7, 8], size
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_extra_columns_that_clash(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "x", "a", 7, "b"), (2, "u", "x", "c", 8, "d")], "page_id long, url string, html string, payload string, first int, size string")
+    warc.write_warc(table, str(tmp_path / "a"))
+    got = warc.read_warc(spark, str(tmp_path / "a"), payload=False)
+    assert got.columns == ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    assert sorted((r.page_id, r.refers_to) for r in got.collect()) == [(1, None), (2, 1)]
