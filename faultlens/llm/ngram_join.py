@@ -310,7 +310,7 @@ def _at_hubs(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], chun
 def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int] = (85, 100), chunk: int = 256, per_salt: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); links where intersection / union >= threshold.
 
-    ``chunk`` bounds a trie, ``per_salt`` the members of a hub in one group and, times 16, the probes of a block.
+    ``chunk`` bounds a trie, ``per_salt`` the members of a hub in one group and, times 4, the probes of a block.
     """
     num, den = threshold
     share = min(1.0, 1.6 * (1 - num / den))
@@ -339,7 +339,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
 
     seen = near.select("doc_id", "hub", F.when(linked, LINKED).otherwise(NEAR).alias("kind"))
     known = pairs.join(seen, ["doc_id", "hub"], "left").select("doc_id", "hub", F.coalesce("kind", F.lit(FAR)).alias("kind"))
-    more = _looked_up(_rest(at_hub, known, found, threshold, chunk, 16 * per_salt), sets, threshold, chunk)
+    more = _looked_up(_rest(at_hub, known, found, threshold, chunk, 4 * per_salt), sets, threshold, chunk)
     for passed in (candidates, firsts, pairs):
         discard(passed)
     if more.take(1):
