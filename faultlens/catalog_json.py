@@ -123,7 +123,43 @@ select id, error_type, {rnd('x', 3)} as similarity from s where {rnd('x', 3)} >=
 ENTRIES["h9_similar_errors"] = (lambda spark, d: similar.similar_errors(_traced(spark, d), 17), _similar())
 SIGNATURE = "substr(sha256(array_to_string(list_sort([" + ", ".join(f"'m{i}_' || (k % {m}) || '.rb'" for i, m in ((1, 3), (2, 4), (3, 5))) + "]), '|')), 1, 16)"
 ENTRIES["f17_signatures"] = (lambda spark, d: _traced(spark, d).groupBy("backtrace_signature").agg(F.count("*").alias("n")), f"with e0 as (select cast(json_extract_string(props, '$.k') as integer) as k from events) select {SIGNATURE} as backtrace_signature, count(*) as n from e0 group by 1")
+#: Paths of every category, with the short paths that the frame parser gives them.
+PATHS = [
+    ("/srv/app/models/user.rb", "app", "app/models/user.rb"),
+    ("/srv/app/x/app/models/order.rb", "app", "app/models/order.rb"),
+    ("/srv/lib/tasks/sync.rb", "app", "lib/tasks/sync.rb"),
+    ("/home/u/.gem/gems/rack-test-3.1/lib/rack.rb", "gem", "rack/lib/rack.rb"),
+    ("/bundle/gems/puma-6.0.2/lib/puma/server.rb", "gem", "puma/lib/puma/server.rb"),
+    ("/opt/vendor/bundle/cache/thing.rb", "gem", "thing.rb"),
+    ("/opt/ruby/activerecord-7.1/base.rb", "framework", "base.rb"),
+    ("/usr/lib/ruby/3.4.0/net/http.rb", "ruby_core", "http.rb"),
+    ("config.ru", "ruby_core", "config.ru"),
+]
+
+
+def _frames(spark: SparkSession, d: str):
+    paths = F.array(*[F.lit(path) for path, *_ in PATHS])
+    line = F.concat(F.element_at(paths, (F.col("k") % len(PATHS) + 1).cast("int")), F.lit(":12:in `run'"))
+    return driver.error_logs(spark, d).select(F.regexp_extract(line, r"^(.+?):\d+", 1).alias("path"))
+
+
 ENTRIES["f20_frames_by_category"] = (
-    lambda spark, d: _traced(spark, d).select(F.explode(F.split("backtrace", "\n")).alias("line")).groupBy(text.frame_category(F.regexp_extract("line", r"^(.+?):\d+", 1)).alias("category"), text.short_path(F.regexp_extract("line", r"^(.+?):\d+", 1)).alias("path")).agg(F.count("*").alias("n")),
-    "with e0 as (select cast(json_extract_string(props, '$.k') as integer) as k from events), f as (select unnest(['app/models/m1_' || (k % 3) || '.rb', 'app/models/m2_' || (k % 4) || '.rb', 'app/models/m3_' || (k % 5) || '.rb']) as path from e0) select 'app' as category, path, count(*) as n from f group by 2",
+    lambda spark, d: _frames(spark, d).groupBy(text.frame_category(F.col("path")).alias("category"), text.frame_path(F.col("path")).alias("path")).agg(F.count("*").alias("n")),
+    "with p(place, category, path) as (values " + ", ".join(f"({i}, '{category}', '{short}')" for i, (_, category, short) in enumerate(PATHS)) + f") select category, path, count(*) as n from (select cast(json_extract_string(props, '$.k') as integer) % {len(PATHS)} as place from events) join p using (place) group by 1, 2",
+)
+
+
+def _requests(spark: SparkSession, d: str):
+    """Parameters and causes with sensitive values at several depths."""
+    k = (F.col("k") % 7).cast("string")
+    params = F.concat(F.lit('{"id":'), k, F.lit(',"user":{"name":"n'), k, F.lit('","API_Key":"a'), k, F.lit('","list":[{"pin":1},{"age":'), k, F.lit('}]},"password":{"old":"x"},"note":null}'))
+    causes = F.concat(F.lit('[{"class_name":"E","message":"token=t'), k, F.lit(' for card 4111 1111 1111 1111"},{"class_name":"F","message":"no '), k, F.lit('"}]'))
+    return driver.error_logs(spark, d).select(params.alias("params"), causes.alias("causes"))
+
+
+ENTRIES["f26_masked_json"] = (
+    lambda spark, d: _requests(spark, d).select(text.masked_json(F.col("params")).alias("params"), text.masked_causes(F.col("causes")).alias("causes")).groupBy("params", "causes").agg(F.count("*").alias("n")),
+    """with e0 as (select cast(cast(json_extract_string(props, '$.k') as integer) % 7 as varchar) as k from events)
+select '{"id":' || k || ',"user":{"name":"n' || k || '","API_Key":"[FILTERED]","list":[{"pin":"[FILTERED]"},{"age":' || k || '}]},"password":"[FILTERED]","note":null}' as params,
+  '[{"class_name":"E","message":"token=[FILTERED] for card [FILTERED]"},{"class_name":"F","message":"no ' || k || '"}]' as causes, count(*) as n from e0 group by k""",
 )

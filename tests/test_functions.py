@@ -104,6 +104,9 @@ def test_masks_and_agents(spark):
     assert value(spark, t.masked_url(F.lit("/a?x=1&token=zz&y=2"))) == "/a?x=1&token=%5BFILTERED%5D&y=2"
     assert value(spark, t.masked_json(F.lit('{"a":"1","password":"p"}'))) == '{"a":"1","password":"[FILTERED]"}'
     assert value(spark, t.masked_json(F.lit("no json"))) == "no json"
+    assert value(spark, t.masked_json(F.lit('{"a":[{"Token":{"x":1}}],"b":{"pin":null,"c":2.5}}'))) == '{"a":[{"Token":"[FILTERED]"}],"b":{"pin":"[FILTERED]","c":2.5}}'
+    assert value(spark, t.masked_json(F.lit("[1]"))) == "[1]" and value(spark, t.masked_json(F.lit(None).cast("string"))) is None
+    assert value(spark, t.masked_causes(F.lit('[{"message":"api_key=1 x"},3,{"message":null}]'))) == '[{"message":"api_key=[FILTERED] x"},3,{"message":null}]'
     assert [value(spark, t.platform_of(F.lit(u).cast("string"))) for u in (None, " ", "iPhone", "x Android", "Expo iOS", "Expo", "curl")] == ["API", "API", "iOS", "Android", "iOS", "Mobile", "API"]
 
 
