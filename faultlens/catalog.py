@@ -88,11 +88,6 @@ on_logs("d4_daily_trend", dashboard.daily_trend, f"""
 select cast(cast(d as date) as varchar) as day, count(id) as n from generate_series(date '2024-01-23', date '2024-01-30', interval 1 day) g(d)
 left join (select * from logs where {since(7)}) l on cast(l.occurred_at as date) = cast(d as date) group by 1""")
 on_logs("d5_severity_histogram", dashboard.severity_histogram, "select " + ", ".join(f"count(*) filter ({SEVERITY} = '{s}') as {s}" for s in ("critical", "high", "medium", "low")) + f" from logs where {since(7)}")
-on_logs("d6_spike", dashboard.spike, f"""
-, a as (select count(*) filter (occurred_at >= date_trunc('day', {AS_OF})) as today, count(*) / 7.0 as mean from logs where {since(7)}),
-b as (select *, case when mean > 0 then today / mean else 0.0 end as times from a)
-select today, {rnd('mean', 1)} as average, {rnd('times', 1)} as multiplier, mean > 0 and today >= 2 * mean as spike,
-  case when {rnd('times', 1)} >= 10 then 'critical' when {rnd('times', 1)} >= 5 then 'high' when {rnd('times', 1)} >= 2 then 'elevated' else 'normal' end as severity from b""")
 TRUNC = lambda c, n: f"case when length({c}) > {n} then substr({c}, 1, {n - 3}) || '...' else {c} end"
 on_logs("d11_top_by_impact", dashboard.top_by_impact, f"select id, error_type, {TRUNC('message', 80)} as message, case when user_id is not null then 1 else 0 end as users, cast(case when user_id is not null then occurrence_count else 0 end as bigint) as impact from logs where {since(7)} order by impact desc, id limit 6")
 on_logs("d13_statistics", dashboard.statistics, f"select cast(cast(occurred_at as date) as varchar) as day, count(*) as n, count(*) filter (not resolved) as unresolved from logs where {since(30)} group by 1")
@@ -194,7 +189,7 @@ def _priority(logs: DataFrame, as_of) -> DataFrame:
     users = logs.filter("not resolved").groupBy("error_type").agg(F.count_distinct("user_id").alias("u"))
     hours = numbers.seconds(F.col("occurred_at"), as_of) / 3600
     u = F.when(F.col("user_id").isNotNull(), F.col("u")).otherwise(0)
-    return logs.join(F.broadcast(users), "error_type", "left").select("id", numbers.priority_score(severity.severity(F.col("error_type")), F.col("occurrence_count"), hours, u).alias("score"))
+    return logs.join(users, "error_type", "left").select("id", numbers.priority_score(severity.severity(F.col("error_type")), F.col("occurrence_count"), hours, u).alias("score"))
 
 
 LOG = lambda x: rnd(f"least(greatest(10 + 30 * log10(greatest({x}, 1)), 0.0), 100.0)", 0)
@@ -217,7 +212,16 @@ PERIODS = {"hourly": (28, "cast(extract(hour from occurred_at) as varchar)"), "d
 SAMPLES = " union all ".join(f"select error_type, platform, '{k}' as baseline_type, cast(count(*) as double) as n from logs where {since(n)} group by error_type, platform, {p}" for k, (n, p) in PERIODS.items())
 BASE = f"bs as (select *, avg(n) over w as m, stddev_pop(n) over w as s, count(*) over w as c from ({SAMPLES}) window w as (partition by error_type, platform, baseline_type)), ba as (select error_type, platform, baseline_type, sum(n) as count, {rnd('avg(n)', 2)} as mean, {rnd('stddev_pop(n)', 2)} as std_dev, {rnd('quantile_cont(n, 0.95)', 2)} as percentile_95, {rnd('quantile_cont(n, 0.99)', 2)} as percentile_99, count(*) as sample_size from bs where c < 3 or abs(n - m) <= 3 * s group by 1, 2, 3)"
 on_logs("g8_baselines", sequences.baselines, f", {BASE} select * from ba")
-on_logs("g13_anomalies", lambda logs, as_of: sequences.anomalies(logs, sequences.baselines(logs, as_of), as_of), f", {BASE}, nb as (select * from (select *, row_number() over (partition by error_type, platform order by case baseline_type when 'hourly' then 0 when 'daily' then 1 else 2 end) as z from ba) where z = 1), td as (select error_type, platform, count(*) as today from logs where occurred_at >= date_trunc('day', {AS_OF}) group by 1, 2) select td.error_type, td.platform, today, baseline_type, mean, std_dev, case when today <= mean then null when std_dev = 0 then 'critical' when (today - mean) / std_dev < 2 then null when (today - mean) / std_dev <= 3 then 'elevated' when (today - mean) / std_dev <= 4 then 'high' else 'critical' end as level, case when std_dev <> 0 then {rnd('((today - mean) / std_dev)', 2)} end as deviations, today > mean + 2 * std_dev as exceeds from td join nb on td.error_type = nb.error_type and td.platform is not distinct from nb.platform")
+ANOMALIES = f", {BASE}, nb as (select * from (select *, row_number() over (partition by error_type, platform order by case baseline_type when 'hourly' then 0 when 'daily' then 1 else 2 end) as z from ba) where z = 1), td as (select error_type, platform, count(*) as today from logs where occurred_at >= date_trunc('day', {AS_OF}) group by 1, 2), an as (select td.error_type, td.platform, today, baseline_type, mean, std_dev, case when today <= mean then null when std_dev = 0 then 'critical' when (today - mean) / std_dev < 2 then null when (today - mean) / std_dev <= 3 then 'elevated' when (today - mean) / std_dev <= 4 then 'high' else 'critical' end as level, case when std_dev <> 0 then {rnd('((today - mean) / std_dev)', 2)} end as deviations, today > mean + 2 * std_dev as exceeds from td join nb on td.error_type = nb.error_type and td.platform is not distinct from nb.platform)"
+on_logs("g13_anomalies", lambda logs, as_of: sequences.anomalies(logs, sequences.baselines(logs, as_of), as_of), f"{ANOMALIES} select * from an")
+on_logs("d6_spike", lambda logs, as_of: dashboard.spike(logs, as_of, sequences.baselines(logs, as_of)), f"""
+{ANOMALIES}, a as (select count(*) filter (occurred_at >= date_trunc('day', {AS_OF})) as today, count(*) / 7.0 as mean from logs where {since(7)}),
+b as (select *, {rnd('mean', 1)} as average from a), c as (select *, case when average > 0 then today / average else 0.0 end as times from b),
+w as (select * from an where level is not null order by coalesce(deviations, 0) desc, error_type, platform nulls first limit 1)
+select c.today, average, {rnd('times', 1)} as multiplier, level is not null or (c.mean > 0 and c.today >= 2 * c.mean) as spike,
+  case when times >= 10 then 'critical' when times >= 5 then 'high' when times >= 2 then 'elevated' else 'normal' end as severity,
+  level is not null as baseline_detected, error_type as anomaly_error_type, platform as anomaly_platform, level as anomaly_level, {rnd('deviations', 1)} as std_devs_above
+from c left join w on true""")
 on_logs("d19_pattern_insights", sequences.pattern_insights, f", {SHAPE}, tp as (select error_type, count(*) as n from logs where {since(30)} group by 1 order by n desc, error_type limit 5), md as (select error_type, arg_min(platform, (-k2, platform)) as platform from (select error_type, platform, count(*) as k2 from logs where {since(30)} and platform is not null group by 1, 2) group by 1), {ISLANDS.format(key='error_type', gap=60, least=5).replace('from logs)', f'from logs where {since(7)})')}, bc as (select error_type, count(*) as c from bu group by 1) select tp.error_type, tp.n, coalesce(platform, 'API') as platform, pattern, strength, coalesce(c, 0) as bursts from tp join cy using (error_type) left join md using (error_type) left join bc using (error_type)")
 
 # time joins

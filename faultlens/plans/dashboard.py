@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.numbers import change, ladder, percent, round_half_up, seconds, spike_severity
 from faultlens.functions.severity import severity
 from faultlens.functions.text import truncate
+from faultlens.operators.sequences import anomalies
 from faultlens.operators.windows import day_spine, day_start, days, since
 
 
@@ -61,13 +62,25 @@ def severity_histogram(logs: DataFrame, as_of: Column, n: int = 7) -> DataFrame:
     return since(logs, as_of, n).agg(*[F.count_if(level == x).alias(x) for x in ("critical", "high", "medium", "low")])
 
 
-def spike(logs: DataFrame, as_of: Column) -> DataFrame:
-    """Today against the mean of the week's trend, which spans eight dates and is divided by seven."""
+def spike(logs: DataFrame, as_of: Column, baselines: DataFrame | None = None) -> DataFrame:
+    """Today against the mean of the week's trend, which spans eight dates and is divided by seven.
+
+    With ``baselines``, a type and platform that is anomalous today is a spike too, and the worst one is told.
+    """
     today = F.col("occurred_at") >= day_start(as_of)
     one = since(logs, as_of, 7).agg(F.count_if(today).alias("today"), F.count("*").alias("week"))
     mean = F.col("week") / 7.0
-    times = F.when(mean > 0, F.col("today") / F.when(mean > 0, mean).otherwise(1.0)).otherwise(0.0)
-    return one.select("today", round_half_up(mean, 1).alias("average"), round_half_up(times, 1).alias("multiplier"), ((mean > 0) & (F.col("today") >= 2 * mean)).alias("spike"), spike_severity(round_half_up(times, 1)).alias("severity"))
+    average = round_half_up(mean, 1)
+    times = F.when(average > 0, F.col("today") / F.when(average > 0, average).otherwise(1.0)).otherwise(0.0)
+    doubled = (mean > 0) & (F.col("today") >= 2 * mean)
+    columns = ["today", average.alias("average"), round_half_up(times, 1).alias("multiplier")]
+    if baselines is None:
+        return one.select(*columns, doubled.alias("spike"), spike_severity(times).alias("severity"))
+    odd = anomalies(logs, baselines, as_of).filter("level is not null")
+    worst = odd.agg(F.min(F.struct((-F.coalesce("deviations", F.lit(0.0))).alias("least"), "error_type", "platform", "level", "deviations")).alias("w"))
+    rows = one.crossJoin(worst)  # a row each
+    found = F.col("w").isNotNull()
+    return rows.select(*columns, (found | doubled).alias("spike"), spike_severity(times).alias("severity"), found.alias("baseline_detected"), F.col("w.error_type").alias("anomaly_error_type"), F.col("w.platform").alias("anomaly_platform"), F.col("w.level").alias("anomaly_level"), round_half_up(F.col("w.deviations"), 1).alias("std_devs_above"))
 
 
 def top_by_impact(logs: DataFrame, as_of: Column, n: int = 7, k: int = 6) -> DataFrame:
