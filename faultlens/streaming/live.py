@@ -30,8 +30,10 @@ def bursts(events: DataFrame, late: str = "10 minutes", gap: str = "60 seconds",
 def grouped(events: DataFrame, window: timedelta = timedelta(hours=24), late: str = "24 hours") -> DataFrame:
     """(application_id, error_hash, at) -> a change of a group for each batch that touches it: first_seen_at, last_seen_at, occurrence_count.
 
-    The state of a key is three values. A key that rests for the window, in event time, is forgotten;
-    rows later than ``late`` are dropped.
+    The state of a key is three values, and a key's rows of a batch are taken in the order of time, so that
+    a batch gives what ``operators.grouping.folded`` does. A key that rests for the window, in event time, is forgotten;
+    rows later than ``late`` are dropped. A row that comes in a later batch but is older than the open
+    group joins it, as its new start, if it is within the window of it, and else is a group by itself.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,15 +42,16 @@ def grouped(events: DataFrame, window: timedelta = timedelta(hours=24), late: st
             return
         first, last, count = state.get if state.exists else (None, None, 0)
         rows = []
-        for frame in frames:
-            for at in frame["at"].sort_values():
-                us = at.value // 1000
-                if first is not None and us - first <= window.total_seconds() * 1e6:
-                    last, count = max(last, us), count + 1
-                else:
-                    if first is not None:
-                        rows.append((*key, first, last, count))
-                    first, last, count = us, us, 1
+        span = window.total_seconds() * 1e6
+        for us in _in_order(frames):
+            if first is not None and us < first - span:
+                rows.append((*key, us, us, 1))
+            elif first is not None and us - first <= span:
+                first, last, count = min(first, us), max(last, us), count + 1
+            else:
+                if first is not None:
+                    rows.append((*key, first, last, count))
+                first, last, count = us, us, 1
         rows.append((*key, first, last, count))
         state.update((first, last, count))
         state.setTimeoutTimestamp(max(last // 1000 + int(window.total_seconds() * 1000), state.getCurrentWatermarkMs()) + 1)
@@ -58,20 +61,31 @@ def grouped(events: DataFrame, window: timedelta = timedelta(hours=24), late: st
     return events.withWatermark("at", late).groupBy("application_id", "error_hash").applyInPandasWithState(step, "application_id long, error_hash string, first_us long, last_us long, occurrence_count long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttled(alerts: DataFrame, keys: str = "error_hash", minutes: float = 5) -> DataFrame:
-    """(key, at) -> the alerts that are sent: later than ``minutes`` after the last one sent of the key."""
+def _in_order(frames: Iterator[pd.DataFrame]) -> list[int]:
+    """The microseconds of a key's rows in a batch, which come in several frames, by time."""
+    return sorted(at.value // 1000 for frame in frames for at in frame["at"])
+
+
+def throttled(alerts: DataFrame, keys: str = "error_hash", minutes: float = 5, late: str = "24 hours") -> DataFrame:
+    """(key, at) -> the alerts that are sent: later than ``minutes`` after the last one sent of the key.
+
+    The state of a key is the last time, and is forgotten once the watermark is ``minutes`` past it.
+    """
     pause = minutes * 60e6
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         sent = []
-        for frame in frames:
-            for us in sorted(at.value // 1000 for at in frame["at"]):
-                if last is None or us - last > pause:
-                    last = us
-                    sent.append((key[0], us))
+        for us in _in_order(frames):
+            if last is None or us - last > pause:
+                last = us
+                sent.append((key[0], us))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + pause) // 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(sent, columns=[keys, "at_us"])
 
-    return alerts.groupBy(keys).applyInPandasWithState(step, f"{keys} string, at_us long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return alerts.withWatermark("at", late).groupBy(keys).applyInPandasWithState(step, f"{keys} string, at_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
