@@ -12,7 +12,9 @@ from faultlens.functions.severity import severity_is
 from faultlens.functions.text import text_matches, token_matches
 from faultlens.operators.windows import day_start, days
 
+#: Fixed values.
 FREQUENCY = {"once": lambda n, _: n == 1, "few": lambda n, _: n.between(2, 9), "frequent": lambda n, _: n.between(10, 99), "very_frequent": lambda n, _: n >= 100, "recurring": lambda n, old: (n > 5) & old}
+#: Fixed values.
 SORTABLE = ("occurred_at", "first_seen_at", "last_seen_at", "created_at", "resolved_at", "error_type", "platform", "app_version", "occurrence_count", "priority_score", "status")
 #: Which status may follow which.
 TRANSITIONS = {"new": ["in_progress", "investigating", "wont_fix"], "in_progress": ["investigating", "resolved", "new"], "investigating": ["resolved", "in_progress", "wont_fix"], "resolved": ["new"], "wont_fix": ["new"]}
@@ -128,11 +130,11 @@ def can_transition(status: Column, to: str) -> Column:
 
 
 def ignored(error_type: Column, names: list[str] = (), patterns: list[str] = (), ancestors: Column | None = None) -> Column:
-    """Whether ingest drops a type: by name, by an ancestor class, or by pattern."""
+    """Whether ingest drops a type: by name, by an ancestor class, or by pattern. A null type isn't dropped."""
     out = error_type.isin(list(names)) if names else F.lit(False)
     if ancestors is not None and names:
         out = out | F.arrays_overlap(ancestors, F.array(*[F.lit(n) for n in names]))
-    return reduce(lambda a, p: a | error_type.rlike(p), patterns, out)
+    return F.coalesce(reduce(lambda a, p: a | error_type.rlike(p), patterns, F.coalesce(out, F.lit(False))), F.lit(False))
 
 
 def sampled(key: Column, severity: Column, rate: float) -> Column:

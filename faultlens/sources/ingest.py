@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.severity import severity
-from faultlens.functions.text import backtrace_signature, error_hash, masked_json, masked_message, masked_url, platform_of, truncated_backtrace
+from faultlens.functions.text import backtrace_signature, error_hash, masked_causes, masked_json, masked_message, masked_url, platform_of, truncated_backtrace
 from faultlens.operators.filters import ignored, sampled
 
 REPORT = "error_type string, message string, backtrace string, user_id long, request_url string, request_params string, user_agent string, ip_address string, controller_name string, action_name string, application_id long, app_version string, git_sha string, platform string, occurred_at timestamp_ntz, handled boolean, level string, request_id string"
@@ -34,12 +34,14 @@ def prepared(rows: DataFrame, ignore: list[str] = (), ignore_patterns: list[str]
     quiet = F.coalesce(F.col("handled") & (F.col("level") == "warning"), F.lit(False))
     kept = rows.filter(~quiet & ~ignored(F.col("error_type"), ignore, ignore_patterns) & sampled(F.concat_ws("|", "error_type", "message", F.col("occurred_at").cast("string")), level, rate))
     key = error_hash(F.col("error_type"), F.col("message"), F.col("backtrace"), F.col("controller_name"), F.col("action_name"), F.col("application_id"), custom_fingerprint)
+    if "exception_cause" in rows.columns:
+        kept = kept.withColumn("exception_cause", masked_causes(F.col("exception_cause")))
     return kept.withColumns({"error_hash": key, "backtrace_signature": backtrace_signature(F.col("backtrace")), "severity": level, "platform": F.coalesce("platform", platform_of(F.col("user_agent")))}).withColumns({"message": masked_message(F.col("message")), "request_url": masked_url(F.col("request_url")), "request_params": masked_json(F.col("request_params")), "backtrace": truncated_backtrace(F.col("backtrace"))})
 
 
 def once_per_request(rows: DataFrame) -> DataFrame:
-    """An error that several layers of one request report is taken once."""
-    return rows.dropDuplicates(["request_id", "error_hash"])
+    """An error that several layers of one request report is taken once; reports without a request all stay."""
+    return rows.filter("request_id is not null").dropDuplicates(["request_id", "error_hash"]).union(rows.filter("request_id is null"))
 
 
 def llm_crumbs(spans: DataFrame) -> DataFrame:

@@ -155,3 +155,13 @@ def test_rate_limit(spark):
     rows = spark.createDataFrame([(i, "ip", NOW + timedelta(seconds=i * 25)) for i in range(4)], "id long, ip string, at_time timestamp_ntz")
     out = sequences.rate_limited(rows, ["ip"], "at_time", F.lit(2), ["at_time", "id"])
     assert sorted(r.id for r in out.filter("limited").collect()) == [2]
+
+
+def test_reports_without_request_or_type_stay(spark):
+    from faultlens.operators.filters import ignored
+    from faultlens.sources.ingest import once_per_request
+
+    rows = spark.createDataFrame([("r", "h", "A"), ("r", "h", "A"), (None, "h", "B"), (None, "h", None)], "request_id string, error_hash string, error_type string")
+    assert once_per_request(rows).count() == 3
+    for given in ((["A"], []), ([], ["^A"]), (["A"], ["^X"])):
+        assert sorted(str(r.error_type) for r in rows.filter(~ignored(rows.error_type, *given)).collect()) == ["B", "None"]
