@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.operators.rangejoin import micros
+
 MILESTONES = (10, 50, 100, 500, 1000)
 
 
@@ -43,14 +45,36 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callabl
     return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
 
 
+def with_runs(rows: DataFrame, keys: list[str], span: timedelta) -> DataFrame:
+    """Adds ``_run``: a key's occurrences that have no pause longer than ``span`` between them have one number.
+
+    What is anchored at most ``span`` before an occurrence starts anew after such a pause, so that runs can be
+    scanned apart. Pauses are found between spans of a key's time, of which one row each is kept (a pause within
+    one can't be longer than it), so no task sees all rows of a key.
+    """
+    us = int(span / timedelta(microseconds=1))
+    span_of = F.floor(micros(F.col("occurred_at")) / us).cast("bigint")
+    ends = rows.groupBy(*keys, span_of.alias("_span")).agg(F.min("occurred_at").alias("_lo"), F.max("occurred_at").alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_span")
+    paused = F.coalesce(micros(F.col("_lo")) - micros(F.lag("_hi").over(w)) > us, F.lit(False))
+    runs = ends.withColumn("_paused", paused.cast("bigint")).select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_span", F.sum("_paused").over(w).alias("_run"))
+    spans = rows.withColumn("_at_span", span_of)
+    same = F.col("_at_span").eqNullSafe(F.col("_span"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return spans.join(runs, same).select(*rows.columns, "_run")
+
+
 def folded(occurrences: DataFrame, window: timedelta = timedelta(hours=24)) -> DataFrame:
     """(application_id, error_hash, occurred_at) -> one row per group: first_seen_at, last_seen_at, occurrence_count.
 
     A group takes what occurs within the window from its first occurrence; later ones open another.
-    Equal times of a key are counted before the shuffle, so a hot key is as long as its distinct times.
+    Equal times of a key are counted before the shuffle, and a key is cut at its pauses, so that a task is as
+    long as the distinct times of a key without a pause longer than the window.
     """
     keys = ["application_id", "error_hash"]
-    rows = occurrences.groupBy(*keys, "occurred_at").agg(F.count("*").alias("n"))
+    rows = with_runs(occurrences.filter("occurred_at is not null").groupBy(*keys, "occurred_at").agg(F.count("*").alias("n")), keys, window)
+    scanned = [*keys, "_run"]
 
     def make():
         first: datetime | None = None
@@ -59,19 +83,19 @@ def folded(occurrences: DataFrame, window: timedelta = timedelta(hours=24)) -> D
         def step(key: tuple, row: tuple) -> list[tuple]:
             nonlocal first, last, count
             if not row:
-                return [(*key, first, last, count)] if first else []
+                return [(*key[:-1], first, last, count)] if first else []
             at, n = row
             if first is not None and at - first <= window:
                 last, count = at, count + n
                 return []
-            done = [(*key, first, last, count)] if first else []
+            done = [(*key[:-1], first, last, count)] if first else []
             first, last, count = at, at, n
             return done
 
         return step
 
     schema = pa.schema([("application_id", pa.int64()), ("error_hash", pa.string()), ("first_seen_at", pa.timestamp("us")), ("last_seen_at", pa.timestamp("us")), ("occurrence_count", pa.int64())])
-    return ordered_scan(rows, keys, ["occurred_at"], make, schema, "application_id long, error_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, occurrence_count long")
+    return ordered_scan(rows, scanned, ["occurred_at"], make, schema, "application_id long, error_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, occurrence_count long")
 
 
 def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
@@ -97,7 +121,7 @@ def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFra
 def throttled(alerts: DataFrame, keys: list[str], minutes: float) -> DataFrame:
     """Alerts of each key that are sent: the first, and each that is later than ``minutes`` after the last one sent.
 
-    ``alerts``: key columns and occurred_at. Equal times are met before the shuffle.
+    ``alerts``: key columns and occurred_at. Equal times are met before the shuffle, and keys are cut at pauses longer than that.
     """
     pause = timedelta(minutes=minutes)
 
@@ -109,14 +133,15 @@ def throttled(alerts: DataFrame, keys: list[str], minutes: float) -> DataFrame:
             if not row or (last is not None and row[0] - last <= pause):
                 return []
             last = row[0]
-            return [(*key, last)]
+            return [(*key[:-1], last)]
 
         return step
 
     types = dict(alerts.dtypes)
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     schema = pa.schema([*((k, arrow[types[k]]) for k in keys), ("occurred_at", pa.timestamp("us"))])
-    return ordered_scan(alerts.select(*keys, "occurred_at").distinct(), keys, ["occurred_at"], make, schema, ", ".join([*(f"{k} {types[k]}" for k in keys), "occurred_at timestamp_ntz"]))
+    rows = with_runs(alerts.filter("occurred_at is not null").select(*keys, "occurred_at").distinct(), keys, pause)
+    return ordered_scan(rows, [*keys, "_run"], ["occurred_at"], make, schema, ", ".join([*(f"{k} {types[k]}" for k in keys), "occurred_at timestamp_ntz"]))
 
 
 def should_notify(count: Column, severity: Column, muted: Column, reopened: Column, cooled: Column, least: str = "low") -> Column:

@@ -12,37 +12,51 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
 
 
-def range_join(left: DataFrame, right: DataFrame, at_left: str, at_right: str, seconds: float, symmetric: bool) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, at_left: str, at_right: str, seconds: float, symmetric: bool, parts: int = 8) -> DataFrame:
     """Pairs with 0 <= right - left <= seconds, or either way round if symmetric; adds ``delay`` in seconds, signed.
 
-    A left row goes to each bucket its window touches, a right row to its own, so a pair meets once. The
-    work is that of the pairs in neighbouring buckets, on any number of tasks.
+    Time is cut into buckets of a ``parts``-th of the window. A left row goes to each bucket its window touches, a right row
+    to its own, so a pair meets once, few pairs meet that are too far apart, and a busy window is spread over ``parts`` keys.
+    Rows without a time have no pair.
     """
     width = int(seconds * 1_000_000)
-    bucket = lambda us, k: F.floor(us / width).cast("bigint") + k
-    reach = (-1, 0, 1) if symmetric else (0, 1)
-    a = left.withColumn("_us_a", micros(F.col(at_left))).withColumn("_b", F.explode(F.array(*[bucket(F.col("_us_a"), k) for k in reach])))
-    b = right.withColumn("_us_b", micros(F.col(at_right))).withColumn("_b", bucket(F.col("_us_b"), 0))
+    step = -(-width // parts)
+    bucket = lambda us: F.floor(us / step).cast("bigint")
+    us_a = micros(F.col(at_left))
+    a = left.withColumn("_us_a", us_a).filter("_us_a is not null").withColumn("_b", F.explode(F.sequence(bucket(F.col("_us_a") - (width if symmetric else 0)), bucket(F.col("_us_a") + width))))
+    b = right.withColumn("_us_b", micros(F.col(at_right))).withColumn("_b", bucket(F.col("_us_b")))
     apart = F.col("_us_b") - F.col("_us_a")
     within = apart.between(-width if symmetric else 0, width)
     return a.join(b, "_b").filter(within).withColumn("delay", apart / 1e6).drop("_us_a", "_us_b", "_b")
 
 
+def _counted(occurrences: DataFrame, error: str, at: str, n: str) -> DataFrame:
+    """Occurrences of an error at one time as one row, so that what is joined grows with distinct times only."""
+    return occurrences.groupBy(F.col("error_log_id").alias(error), F.col("occurred_at").alias(at)).agg(F.count("*").alias(n))
+
+
+def _mean_delay(pairs: Column) -> Column:
+    """Mean of the delays over all pairs, summed in whole microseconds."""
+    us = F.round(F.col("delay") * 1_000_000).cast("decimal(38,0)")
+    return F.sum(us * pairs.cast("decimal(18,0)")).cast("double") / F.sum(pairs) / 1e6
+
+
 def co_occurring(occurrences: DataFrame, error_id: int, minutes: float = 5, least: int = 2, limit: int = 10) -> DataFrame:
     """Other errors within so many minutes of one error's occurrences, either way and inclusive."""
-    own = occurrences.filter(F.col("error_log_id") == error_id).select(F.col("occurred_at").alias("at"))
-    others = occurrences.filter(F.col("error_log_id") != error_id).select("error_log_id", "occurred_at")
-    pairs = range_join(own, others, "at", "occurred_at", minutes * 60, True)
-    per = pairs.groupBy("error_log_id").agg(F.count("*").alias("n"), round_half_up(F.avg("delay"), 2).alias("avg_delay"))
+    own = _counted(occurrences.filter(F.col("error_log_id") == error_id), "_own", "at", "_n").drop("_own")
+    others = _counted(occurrences.filter(F.col("error_log_id") != error_id), "error_log_id", "occurred_at", "_k")
+    both = F.col("_n") * F.col("_k")
+    per = range_join(own, others, "at", "occurred_at", minutes * 60, True).groupBy("error_log_id").agg(F.sum(both).alias("n"), round_half_up(_mean_delay(both), 2).alias("avg_delay"))
     return per.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "error_log_id").limit(limit)
 
 
 def cascades(occurrences: DataFrame, seconds: float = 60, least: int = 3) -> DataFrame:
     """Edges from an error to one that follows it, later than it but within so many seconds, at least ``least`` times."""
-    a = occurrences.select(F.col("error_log_id").alias("parent_error_id"), F.col("occurred_at").alias("at"))
-    b = occurrences.select(F.col("error_log_id").alias("child_error_id"), F.col("occurred_at").alias("then"))
+    a = _counted(occurrences, "parent_error_id", "at", "_n")
+    b = _counted(occurrences, "child_error_id", "then", "_k")
     pairs = range_join(a, b, "at", "then", seconds, False).filter((F.col("delay") > 0) & (F.col("parent_error_id") != F.col("child_error_id")))
-    per = pairs.groupBy("parent_error_id", "child_error_id").agg(F.count("*").alias("frequency"), F.avg("delay").alias("avg_delay_seconds"))
+    both = F.col("_n") * F.col("_k")
+    per = pairs.groupBy("parent_error_id", "child_error_id").agg(F.sum(both).alias("frequency"), _mean_delay(both).alias("avg_delay_seconds"))
     return per.filter(F.col("frequency") >= least)
 
 

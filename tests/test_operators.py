@@ -165,3 +165,39 @@ def test_reports_without_request_or_type_stay(spark):
     assert once_per_request(rows).count() == 3
     for given in ((["A"], []), ([], ["^A"]), (["A"], ["^X"])):
         assert sorted(str(r.error_type) for r in rows.filter(~ignored(rows.error_type, *given)).collect()) == ["B", "None"]
+
+
+def test_runs_and_scans_of_a_hot_key(spark):
+    t = lambda *h: [NOW + timedelta(hours=x) for x in h]
+    times = t(*range(0, 60, 5), 83.9, 84, 108.5, 200, 224, 224.5)
+    rows = spark.createDataFrame([(a, h, x) for a, h in ((1, "x"), (None, "x"), (1, None)) for x in times for _ in range(2)] + [(1, "x", None)], "application_id long, error_hash string, occurred_at timestamp_ntz")
+
+    def plain(window):
+        out = []
+        for x in times:
+            if out and x - out[-1][0] <= window:
+                out[-1] = (out[-1][0], x, out[-1][2] + 2)
+            else:
+                out.append((x, x, 2))
+        return out
+
+    for hours in (24, 5, 1):
+        window = timedelta(hours=hours)
+        found = grouping.folded(rows, window).collect()
+        for key in ((1, "x"), (None, "x"), (1, None)):
+            assert sorted(tuple(r[2:]) for r in found if tuple(r[:2]) == key) == plain(window)
+    runs = grouping.with_runs(rows.filter("application_id = 1 and error_hash = 'x' and occurred_at is not null"), ["application_id", "error_hash"], timedelta(hours=24))
+    assert runs.select("_run").distinct().count() == 4 and runs.count() == 2 * len(times)
+
+
+def test_range_join_meets_each_pair_once(spark):
+    import random
+
+    r = random.Random(5)
+    at = [NOW + timedelta(microseconds=r.choice([0, 1, 10**6, r.randrange(3 * 10**8)])) for _ in range(150)] + [None]
+    rows = occ(spark, [(i % 7, x) for i, x in enumerate(at)])
+    left, right = rows.select(F.col("id").alias("a"), F.col("occurred_at").alias("x")), rows.select(F.col("id").alias("b"), F.col("occurred_at").alias("y"))
+    for seconds, both in ((60, True), (60, False), (1, True), (0.000001, False), (0.0005, True)):
+        got = sorted((p.a, p.b) for p in rangejoin.range_join(left, right, "x", "y", seconds, both).collect())
+        span = timedelta(seconds=seconds)
+        assert got == [(i, j) for i, x in enumerate(at) for j, y in enumerate(at) if x and y and (abs(y - x) if both else y - x) <= span and (both or y >= x)]
