@@ -305,12 +305,12 @@ on_logs("i12_status_backfill", lambda logs: workflow.backfilled_status(logs.with
 
 
 def queries() -> dict[str, Query]:
-    from faultlens import catalog_json
+    from faultlens import catalog_ingest, catalog_json
 
-    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES).items()}
+    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from faultlens import catalog_json
+    from faultlens import catalog_ingest, catalog_json
 
-    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES).items() if s}
+    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES).items() if s}

@@ -109,8 +109,9 @@ def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFra
     fresh = ~F.col("resolved") & (F.col("occurred_at") >= as_of - F.expr("interval 24 hours"))
     closed = F.col("status").isin("resolved", "wont_fix")
     rank = F.when(fresh, 0).when(closed, 1)
-    best = groups.filter(rank.isNotNull()).groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), (-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("at"), F.col("id").alias("hit"))).alias("_b")).select(*keys, F.col("_b.hit").alias("_hit"), F.col("_b.rank").alias("_rank"))
-    target = new.join(best, keys, "left")
+    best = groups.filter(rank.isNotNull()).groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), (-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("at"), F.col("id").alias("hit"))).alias("_b")).select(F.col("application_id").alias("_app"), F.col("error_hash").alias("_hash"), F.col("_b.hit").alias("_hit"), F.col("_b.rank").alias("_rank"))
+    same = F.col("application_id").eqNullSafe(F.col("_app")) & F.col("error_hash").eqNullSafe(F.col("_hash"))
+    target = new.join(best, same, "left").drop("_app", "_hash")
     kept = groups.join(target.filter("_hit is not null").select(F.col("_hit").alias("id"), "_n", "_last", "_rank"), "id", "left")
     reopened = F.col("_rank") == 1
     updated = kept.withColumn("occurrence_count", F.col("occurrence_count") + F.coalesce("_n", F.lit(0))).withColumn("last_seen_at", F.greatest("last_seen_at", "_last")).withColumn("reopened_at", F.when(reopened, as_of).otherwise(F.col("reopened_at"))).withColumn("resolved", F.col("resolved") & ~F.coalesce(reopened, F.lit(False))).withColumn("status", F.when(reopened, "new").otherwise(F.col("status"))).drop("_n", "_last", "_rank")
@@ -118,6 +119,18 @@ def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFra
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 
+def appended_occurrences(groups: DataFrame, batch: DataFrame) -> DataFrame:
+    """The occurrences to append for a batch that ``merged_groups`` has counted: each with the id of its key's group.
+
+    ``groups``: as stored after the merge, with the ids of new groups. The group that was last seen is the one that took the batch.
+    """
+    keys = ["application_id", "error_hash"]
+    own = groups.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct("last_seen_at", "id")).alias("_g"))
+    same = F.col("application_id").eqNullSafe(F.col("_application_id")) & F.col("error_hash").eqNullSafe(F.col("_error_hash"))
+    context = [c for c in ("occurred_at", "user_id", "request_id", "session_id") if c in batch.columns]
+    return batch.join(own, same).select(F.col("_g.id").alias("error_log_id"), *context)
+
+
 def throttled(alerts: DataFrame, keys: list[str], minutes: float) -> DataFrame:
     """Alerts of each key that are sent: the first, and each that is later than ``minutes`` after the last one sent.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ def bursts(logs: DataFrame, keys: list[str], gap: float = 60, least: int = 5) ->
     return found.select(*keys, "start", "end", "n", round_half_up(seconds(F.col("start"), F.col("end")), 1).alias("duration"), burst_intensity(F.col("n")).alias("intensity"))
 
 
+def of_error(logs: DataFrame, error_id: int, as_of: Column, n: int) -> DataFrame:
+    """Rows of the last n days with one error's type and platform, for ``cyclical`` and ``bursts``."""
+    one = logs.filter(F.col("id") == error_id).select(F.col("error_type").alias("_t"), F.col("platform").alias("_p"))
+    same = F.col("error_type").eqNullSafe(F.col("_t")) & F.col("platform").eqNullSafe(F.col("_p"))
+    return since(logs, as_of, n).join(one, same, "left_semi")
+
+
 def rate_limited(requests: DataFrame, keys: list[str], at: str, limit: Column, order: list[str]) -> DataFrame:
     """Requests with their number in the calendar minute of their key, and whether they exceed the limit."""
     minute = F.date_trunc("MINUTE", F.col(at)).cast("timestamp_ntz")
@@ -80,8 +89,10 @@ def anomalies(logs: DataFrame, base: DataFrame, as_of: Column, sensitivity: int
 
 
 def upserted_baselines(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows take the place of old ones with the same key."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """New rows take the place of old ones with the same key; a null is a value of a key."""
+    taken = new.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return old.join(taken, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def recurring_patterns(logs: DataFrame, as_of: Column, n: int = 30, k: int = 5, strength: float = 0.6) -> DataFrame:

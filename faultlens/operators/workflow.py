@@ -84,3 +84,24 @@ def backfilled_status(logs: DataFrame) -> DataFrame:
 def with_applications(apps: DataFrame, names: DataFrame) -> DataFrame:
     """Applications with those of ``names`` (name) that are missing; their ids are null until the sink gives them."""
     return apps.unionByName(names.select("name").distinct().join(apps, "name", "left_anti"), allowMissingColumns=True)
+
+
+def batch_counts(logs: DataFrame, wanted: list[int]) -> DataFrame:
+    """(asked, found, missing) of a batch action's ids; repeats count once."""
+    distinct = len(set(wanted))
+    return logs.filter(ids(wanted)).agg(F.lit(distinct).cast("long").alias("asked"), F.count_distinct("id").alias("found")).withColumn("missing", F.col("asked") - F.col("found"))
+
+
+def added_counters(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Hourly counts of swallowed exceptions after a flush: a known place's counts grow, an unknown one is added.
+
+    Both: exception_class, raise_location, rescue_location (null for raises), period_hour, application_id, raise_count,
+    rescue_count, last_seen_at. Names are cut to 250 characters; rows without a class or a place are left out.
+    """
+    names = ["exception_class", "raise_location", "rescue_location"]
+    keys = [*names, "period_hour", "application_id"]
+    columns = [*keys, "raise_count", "rescue_count", "last_seen_at"]
+    cut = new.select(columns).withColumns({c: F.substring(c, 1, 250) for c in names}).withColumn("rescue_location", F.nullif("rescue_location", F.lit("")))
+    named = cut.filter("trim(exception_class) <> '' and trim(raise_location) <> ''")
+    both = old.select(columns).unionByName(named)
+    return both.groupBy(*keys).agg(F.sum(F.coalesce("raise_count", F.lit(0))).alias("raise_count"), F.sum(F.coalesce("rescue_count", F.lit(0))).alias("rescue_count"), F.max("last_seen_at").alias("last_seen_at"))

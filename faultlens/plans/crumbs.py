@@ -61,11 +61,16 @@ def cache_health(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     return per.select("id", "reads", "writes", "hits", "misses", rate.alias("hit_rate"), "total_ms", F.col("x.m").alias("slowest"), F.col("x.d").alias("slowest_ms"))
 
 
+#: The events of a websocket.
+CABLE_EVENTS = {"actions": "perform_action", "transmissions": "transmit", "subscriptions": "transmit_subscription_confirmation", "rejections": "transmit_subscription_rejection"}
+
+
 def cable(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
+    """Per channel: its events of four kinds, and all of these."""
     kind = F.col("meta")["event_type"]
-    is_ = lambda *names: F.count_if(kind.isin(*names))
     rows = crumbs(logs, as_of, n, "action_cable")
-    return rows.groupBy(blank_to(F.col("meta")["channel"], "Unknown").alias("channel")).agg(F.count("*").alias("n"), is_("perform_action").alias("actions"), is_("transmit").alias("transmissions"), is_("subscription_confirmation").alias("subscriptions"), is_("subscription_rejection").alias("rejections"), *_seen())
+    counts = [F.count_if(kind == event).alias(name) for name, event in CABLE_EVENTS.items()]
+    return rows.groupBy(blank_to(F.col("meta")["channel"], "Unknown").alias("channel")).agg(F.count_if(kind.isin(*CABLE_EVENTS.values())).alias("n"), *counts, *_seen())
 
 
 def storage(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
@@ -79,7 +84,8 @@ def rate_limits(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     m = F.col("meta")
     first = F.min(F.struct("id", "pos", m["type"].alias("type"), m["path"].alias("path"))).alias("x")
     rows = crumbs(logs, as_of, n, "rack_attack")
-    return rows.groupBy(blank_to(m["rule"], "Unknown").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct(m["discriminator"]).alias("discriminators"), F.count_distinct(m["path"]).alias("paths"), first, *_seen()).select("rule", "n", "discriminators", "paths", F.col("x.type").alias("match_type"), F.col("x.path").alias("first_path"), "errors", "last_seen")
+    given = lambda k: F.when(F.trim(m[k]) != "", m[k])
+    return rows.groupBy(blank_to(m["rule"], "unknown").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct(given("discriminator")).alias("discriminators"), F.count_distinct(given("path")).alias("paths"), first, *_seen()).select("rule", "n", "discriminators", "paths", F.col("x.type").alias("match_type"), F.col("x.path").alias("first_path"), "errors", "last_seen")
 
 
 def _llm_rows(logs: DataFrame, as_of: Column, n: int) -> DataFrame:
@@ -142,3 +148,35 @@ def last_crumbs(crumb_rows: DataFrame, key: str, order: list[str], keep: int = 4
     newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     kept = crumb_rows.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= keep).drop("_back")
     return kept.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def page_totals(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
+    """(page, measure, value): the figures at the head of the health pages that read breadcrumbs, over all their rows."""
+    rows = crumbs(logs, as_of, n, "deprecation", "rack_attack", "action_cable", "active_storage")
+    m = F.col("meta")
+    deprecated = (F.col("c") == "deprecation") & F.col("m").isNotNull() & (F.trim("m") != "")
+    rule, channel, service = blank_to(m["rule"], "unknown"), blank_to(m["channel"], "Unknown"), blank_to(m["service"], "Unknown")
+    counted = (F.col("c") != "action_cable") | m["event_type"].isin(*CABLE_EVENTS.values())
+    group = F.when(deprecated, F.concat_ws("\n", "m", blank_to(m["caller"], "Unknown"))).when(F.col("c") == "rack_attack", rule).when(F.col("c") == "action_cable", channel).when(F.col("c") == "active_storage", service)
+    # one row a group, page and error, so that the distinct counts after it are over few rows
+    per = rows.filter(group.isNotNull()).groupBy("c", group.alias("g"), "id").agg(F.count_if(counted).alias("k"), F.count_if(m["event_type"] == CABLE_EVENTS["rejections"]).alias("rejected"))
+    pages = per.groupBy("c").agg(F.count_distinct("g").alias("unique"), F.sum("k").alias("total"), F.count_distinct("id").alias("affected"), F.sum("rejected").alias("rejections"), F.count("*").alias("group_errors"))
+    ips = rows.filter("c = 'rack_attack'").filter(F.trim(m["discriminator"]) != "").agg(F.lit("rack_attack").alias("page"), F.lit("unique_ips").alias("measure"), F.count_distinct(m["discriminator"]).cast("double").alias("value"))
+    wanted = {"deprecation": ("unique", "total", "affected"), "rack_attack": ("unique", "total"), "action_cable": ("unique", "total", "rejections"), "active_storage": ("unique", "total", "group_errors")}
+    value = F.explode(F.array(*[F.struct(F.lit(x).alias("measure"), F.col(x).cast("double").alias("value")) for x in ("unique", "total", "affected", "rejections", "group_errors")])).alias("x")
+    listed = pages.select(F.col("c").alias("page"), value).select("page", "x.*").filter(" or ".join(f"(page = '{k}' and measure in ({', '.join(repr(x) for x in v)}))" for k, v in wanted.items()))
+    queries = repeated_queries(logs, as_of, n).agg(F.count_distinct("fingerprint").alias("unique"), F.sum("n").alias("total"), F.count_distinct("id").alias("affected"))
+    cache = cache_health(logs, as_of, n).agg(F.count("*").alias("errors"), round_half_up(F.avg("hit_rate"), 1).alias("avg_hit_rate"), F.sum(F.col("reads") + F.col("writes")).alias("total"))
+    return listed.unionByName(ips).unionByName(_measures(queries, "repeated_queries")).unionByName(_measures(cache, "cache"))
+
+
+def health_totals(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
+    """(page, measure, value): the same for the pages that read the system's health."""
+    queues = job_queues(logs, as_of, n).agg(F.count("*").alias("errors"), F.sum(F.coalesce("failed", "errored", F.lit(0))).alias("failed"), F.count_distinct("adapter").alias("adapters"))
+    pool = pools(logs, as_of, n).agg(F.count("*").alias("errors"), F.coalesce(F.max("utilization"), F.lit(0.0)).alias("max_utilization"), F.sum("dead").alias("dead"), F.sum("waiting").alias("waiting"))
+    return _measures(queues, "job_queues").unionByName(_measures(pool, "pools"))
+
+
+def _measures(one: DataFrame, page: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("x")
+    return one.select(F.lit(page).alias("page"), each).select("page", "x.*")

@@ -94,7 +94,7 @@ def breadcrumb_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs(hit=F.when(q % 3 == 1, F.lit("true")).when(q % 3 == 2, F.lit("false"))),
         pairs(caller=F.when(q % 2 == 0, text("file", supp % 3, ".rb"))),
         pairs(rule=text("rule", supp % 4), type=F.when(q % 2 == 0, F.lit("throttle")).otherwise(F.lit("blocklist")), discriminator=text("ip", part % 9), path=text("/p", q % 4)),
-        pairs(channel=F.when(q % 5 != 0, text("Room", supp % 3)), event_type=F.element_at(F.array(*[F.lit(x) for x in ("perform_action", "transmit", "subscription_confirmation", "subscription_rejection")]), q % 4 + 1)),
+        pairs(channel=F.when(q % 5 != 0, text("Room", supp % 3)), event_type=F.element_at(F.array(*[F.lit(x) for x in ("perform_action", "transmit", "transmit_subscription_confirmation", "transmit_subscription_rejection")]), q % 4 + 1)),
         pairs(service=F.when(q % 6 != 0, text("S", supp % 2)), operation=F.element_at(F.array(*[F.lit(x) for x in ("upload", "download", "streaming_download", "delete", "delete_prefixed", "exist")]), q % 6 + 1)),
         pairs(provider=text("p", part % 2), model=F.element_at(F.array(F.lit("gpt-4o"), F.lit("o1-mini"), F.lit("none")), (part % 3).cast("int") + 1), status=F.element_at(F.array(F.lit("success"), F.lit("success"), F.lit("error"), F.lit("timeout")), q % 4 + 1), input_tokens=F.when(q % 7 != 0, part * 3), output_tokens=q * 5, duration_ms=q * 11, cost_usd=F.when(q % 2 == 0, text("0.00", q)), error_class=F.when(q % 4 >= 2, text("E", supp % 2))),
     )
