@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     share = min(1.0, 1.6 * (1 - num / den))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = staged(source.mapInArrow(_profile(words, threshold, share), "doc_id long, n long, counted long, key binary"), "profile")
-    classes = profile.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted"))
+    classes = profile.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted"), F.count("*").alias("docs"))
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
 
     candidates = staged(_candidates(source, reps, words, threshold, share), "candidates")
@@ -344,8 +344,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
         discard(passed)
     if more.take(1):
         found = components(links.union(more.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
-    of_class = classes.join(found, classes.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = profile.join(of_class, "key", "left")
+    of_class = staged(classes.join(found, classes.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"), "docs"), "classes")
+    # sets of over a LARGE-th of all rows, fewer than LARGE, are told to every task; the rows of any other are few enough for one
+    large = F.col("docs") * LARGE > profile.count()
+    hot = F.broadcast(of_class.filter(large).drop("docs"))
+    out = profile.join(hot, "key").unionByName(profile.join(hot.select("key"), "key", "left_anti").join(of_class.filter(~large).drop("docs"), "key", "left"))
     # a blank text links with nothing, a null id has no component
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
@@ -391,6 +394,8 @@ def _may_link(n: str, pos: str, m: str, m_pos: str, threshold: tuple[int, int]):
 
 #: What is known of a text under a shingle: it links with the hub, it is near enough to link with such, or it is neither.
 LINKED, NEAR, FAR = 0, 1, 2
+#: Copies of one set are joined by a broadcast where they are over this part of all rows.
+LARGE = 200
 
 
 def _rest(at_hub: DataFrame, known: DataFrame, found: DataFrame, threshold: tuple[int, int], chunk: int, most: int) -> DataFrame:

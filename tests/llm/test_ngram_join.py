@@ -115,3 +115,14 @@ def test_shingles_match_sets():
     texts = ["", " ", "a", "A b", "a b c d", "a b c d a b c d", "x " * 50, "ÄÖ ä ö ü " * 3]
     for t, s, alone in zip(texts, g.shingle_sets([t.encode() for t in texts], 4), (g.shingles(t.encode(), 4) for t in texts)):
         assert len(s) == len(gram_set(t, 4)) and (s == alone).all()
+
+
+def test_large_and_small_groups_of_copies_alike(spark, monkeypatch):
+    base = [" ".join(f"w{i}{k}" for k in range(40)) for i in range(6)]
+    rows = [(i, base[i % 6] if i < 40 else base[0] + " more") for i in range(60)] + [(60, None), (61, " "), (None, base[0]), (0, base[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for large in (1, 10, 200):  # none, some and all of the sets are large
+        monkeypatch.setattr(g, "LARGE", large)
+        found.append(sorted((tuple(r) for r in g.jaccard_components(docs).collect()), key=str))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
