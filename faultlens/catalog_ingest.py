@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.catalog import LOGS, OCCURRENCES, PAIRS, SHAPE, ISLANDS, rnd, since
+from faultlens.catalog import ISLANDS, LOGS, OCCURRENCES, PAIRS, SHAPE, rnd
 from faultlens.catalog_json import CLOCK, CRUMBS, DAYS, HEALTH, QUERIES
 from faultlens.functions import text
 from faultlens.operators import filters, grouping, rangejoin, sequences, workflow
@@ -20,7 +20,7 @@ NAMES = ["sql.active_record", "process_action.action_controller", "cache_read.ac
 EVENTS = "ev as (select event_id as i, ts, cast(json_extract_string(props, '$.k') as bigint) as k from events)"
 
 
-def _k() -> F.Column:
+def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
 
