@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, pieces, quality, topk, warc
+from faultlens.llm import chat_format, exact_dedup, fim, html_extract, language_id, ngram_join, packing, pieces, quality, topk, warc
 from faultlens.llm.common import shared_path
 
 
@@ -62,7 +62,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
+
+
+QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc, op12_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -119,6 +125,23 @@ with recursive w as (
   select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
 )
 select n.doc_id, n.n as n_shingles, r.component_id from n join (select a, min(b) as component_id from reach group by 1) r on n.doc_id = r.a""",
+        "op12_fill_in_middle": r"""
+with u as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as hex,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units from documents
+), h as (
+  select *, cast(len(units) as bigint) as n, list_transform(range(4), lambda i: ('0x' || substr(hex, 8 * i + 1, 8))::bigint) as h from u
+), c as (
+  select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 50 then 'plain'
+      when h[4] % 100 < 80 then 'spm' else 'psm' end as form from h
+), p as (
+  select *, array_to_string(units[1:a], '') as pre, array_to_string(units[a + 1:b], '') as mid, array_to_string(units[b + 1:], '') as suf from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256
+from p""",
         "op10_warc": """
 with p as (
   select page_id, coalesce(html, '') as body from pages
