@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat_format, exact_dedup, fim, html_extract, language_id, ngram_join, packing, pieces, quality, topk, warc
+from faultlens.llm import chat_format, decontaminate, exact_dedup, fim, html_extract, language_id, ngram_join, packing, pieces, quality, topk, warc
 from faultlens.llm.common import shared_path
 
 
@@ -62,13 +62,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = decontaminate.Benchmark(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), benchmark)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
 
 
-QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc, op12_fill_in_middle)
+QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc, op11_decontamination, op12_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -125,6 +131,26 @@ with recursive w as (
   select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
 )
 select n.doc_id, n.n as n_shingles, r.component_id from n join (select a, min(b) as component_id from reach group by 1) r on n.doc_id = r.a""",
+        "op11_decontamination": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+), bw as (
+  select distinct item_id, least(len(words), 10) as m, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') as span
+  from (select *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from b where len(words) > 0)
+), dw as (
+  select r, i, m, array_to_string(words[i:i + m - 1], ' ') as span
+  from (select r, words, m, unnest(range(1, len(words) - m + 2)) as i from d, (select distinct m from bw) where len(words) >= m)
+), hit as (
+  select r, i, dw.m, item_id from dw join bw on dw.m = bw.m and dw.span = bw.span
+), n as (
+  select r, count(distinct p) as n_hit from (select distinct r, unnest(range(i, i + m)) as p from hit) group by r
+), t as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from hit group by r
+)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join t using (r)""",
         "op12_fill_in_middle": r"""
 with u as (
   select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as hex,
