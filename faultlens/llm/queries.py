@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat_format, decontaminate, exact_dedup, fim, html_extract, language_id, ngram_join, packing, pieces, quality, topk, warc
+from faultlens.llm import chat_format, decontaminate, exact_dedup, fim, html_extract, language_id, ngram_join, packing, pieces, quality, topk, variants, warc
 from faultlens.llm.common import shared_path
 
 
@@ -74,7 +74,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
 
 
-QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc, op11_decontamination, op12_fill_in_middle)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (op1_html_extraction, op2_chat_formatting, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_exact_dedup, op7_quality_classifier, op8_best_fit_packing, op9_ngram_jaccard, op10_warc, op11_decontamination, op12_fill_in_middle, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -168,6 +172,40 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
   sha256(case form when 'plain' then text when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256,
   sha256(text) as restored_sha256
 from p""",
+        "op13_spelling_variants": r"""
+with recursive r as (
+  select coalesce(cast(doc_id as varchar), '') || ':' as head,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{5,}')) as run from documents
+), d as (
+  select head, run, count(*) as n, hex(encode(head || run)) as bytes from r group by all
+), one(b, v) as materialized (
+  select b, list_reduce([b::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) from range(256) r(b)
+), far(b, d, v) as (
+  select b, 0, v from one union all select far.b, d + 1, xor(one.v, far.v >> 8) from far join one on one.b = far.v & 255 where d < (select max(length(bytes)) // 2 from d)
+), e as (
+  select run, n, head, length(bytes) // 2 - 1 - i as d, xor(('0x' || substr(bytes, 2 * i + 1, 2))::bigint, case when i < 4 then 255 else 0 end) as b
+  from (select *, unnest(range(length(bytes) // 2)) as i from d)
+), h as (
+  select run, any_value(n) as n, xor(bit_xor(far.v), 4294967295) as crc from e join far on far.d = e.d and far.b = e.b group by head, run
+), w as (
+  select case when crc % 97 = 0 then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, n from h
+), v as materialized (
+  select word, cast(sum(n) as bigint) as n from w where length(word) >= 5 group by word having sum(n) >= 3
+), p as materialized (
+  select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from (select word, n, unnest(range(1, length(word) + 1)) as i from v)
+), near as (
+  select x.word, x.n, y.word as other, y.n as m from p x join p y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, x.n, y.word, y.n from v x join p y on x.word = y.a || y.b
+  union select y.word, y.n, x.word, x.n from v x join p y on x.word = y.a || y.b
+), best as (
+  select word, count(*) as n_near, min(struct_pack(m := -m, other := other)) as top from near group by word
+), f as materialized (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when -top.m >= 2 * v.n then top.other end as form, case when -top.m >= 2 * v.n then -top.m end as form_n
+  from v left join best using (word)
+), walk(word, here, step) as (
+  select word, word, 0 from f union all select walk.word, f.form, step + 1 from walk join f on f.word = walk.here where f.form is not null
+)
+select f.word, n, n_near, form, form_n, root from f join (select word, arg_max(here, step) as root from walk group by word) using (word)""",
         "op10_warc": """
 with p as (
   select page_id, coalesce(html, '') as body from pages
