@@ -159,8 +159,6 @@ t as (select b.*, p.id, p.r from b left join p using (application_id, error_hash
 select g.application_id, g.error_hash, g.id, cast(g.occurrence_count + coalesce(n, 0) as bigint) as occurrence_count, greatest(g.last_seen_at, coalesce(l, g.last_seen_at)) as last_seen_at, g.resolved and coalesce(r, 0) <> 1 as resolved,
   case when r = 1 then 'new' else status end as status, case when r = 1 then timestamp '{CUT}' else reopened_at end as reopened_at from g left join t on g.id = t.id
 union all select application_id, error_hash, null, n, l, false, 'new', null from t where id is null""")
-on_logs("i3_occurrence_append", lambda logs: grouping.appended_occurrences(*_halves(logs)), f""", g as (select application_id, error_hash, id, row_number() over (partition by application_id, error_hash order by last_seen_at desc, id desc) as z from logs where occurred_at < timestamp '{CUT}')
-select g.id as error_log_id, l.occurred_at, l.user_id from logs l join g on g.z = 1 and g.application_id = l.application_id and g.error_hash = l.error_hash where l.occurred_at >= timestamp '{CUT}'""")
 
 
 def _counters(logs: DataFrame) -> DataFrame:
