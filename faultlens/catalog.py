@@ -305,12 +305,12 @@ on_logs("i12_status_backfill", lambda logs: workflow.backfilled_status(logs.with
 
 
 def queries() -> dict[str, Query]:
-    from faultlens import catalog_ingest, catalog_json, catalog_upsert
+    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_text, catalog_upsert
 
-    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES).items()}
+    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from faultlens import catalog_ingest, catalog_json, catalog_upsert
+    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_text, catalog_upsert
 
-    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES).items() if s}
+    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES).items() if s}

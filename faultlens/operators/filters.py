@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.severity import severity_is
 from faultlens.functions.text import text_matches, token_matches
+from faultlens.operators import fulltext
 from faultlens.operators.windows import day_start, days
 
 #: Fixed values.
@@ -35,7 +36,10 @@ def predicates(filters: dict[str, Any], as_of: Column, columns: list[str]) -> li
         out.append(~F.col("resolved"))
     if value("search"):
         over = [F.col(c) for c in ("message", "backtrace", "error_type") if c in columns]
-        out.append((token_matches if filters.get("search_mode") == "tokens" else text_matches)(str(value("search")), *over))
+        if filters.get("search_mode") == "english":
+            out.append(fulltext.matches(str(value("search")), F.concat_ws(" ", *over)))
+        else:
+            out.append((token_matches if filters.get("search_mode") == "tokens" else text_matches)(str(value("search")), *over))
     if value("severity"):
         out.append(severity_is(F.col("error_type"), str(value("severity"))))
     at = F.col("occurred_at")
