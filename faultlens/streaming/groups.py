@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from faultlens.operators.upsert import EVENT_DDL, GROUP_DDL, KEYS, OUTCOME, OUTCOME_DDL, Group, KeyState, Rules
@@ -16,6 +16,12 @@ _FIELDS = [c.split()[0] for c in EVENT_DDL.split(", ")]
 _GROUP = [c.split()[0] for c in GROUP_DDL.split(", ")]
 
 
+def with_lists_and_timers(spark: SparkSession) -> None:
+    """Sets the state store to RocksDB where the session has the one that knows neither lists nor timers."""
+    if "HDFSBacked" in spark.conf.get(_PROVIDER):
+        spark.conf.set(_PROVIDER, _ROCKS)
+
+
 class Upsert(StatefulProcessor):
     """Holds a key's events until the watermark has passed them and then applies them by time.
 
@@ -89,9 +95,7 @@ def upserted(events: DataFrame, groups: DataFrame | None = None, rules: Rules =
     dropped. Groups that weren't seen for ``keep`` are forgotten, as retention deletes them. The state store is RocksDB, unless the
     session names another that has lists and timers.
     """
-    spark = events.sparkSession
-    if "HDFSBacked" in spark.conf.get(_PROVIDER):
-        spark.conf.set(_PROVIDER, _ROCKS)
+    with_lists_and_timers(events.sparkSession)
     initial = groups.select(*KEYS, *_GROUP).groupBy(*KEYS) if groups is not None else None
     rows = events.filter("at_us is not null").select(*KEYS, *_FIELDS, "at").withWatermark("at", late)
     return rows.groupBy(*KEYS).transformWithState(Upsert(rules, keep), OUTCOME_DDL, "Append", "EventTime", initialState=initial)
