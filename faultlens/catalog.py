@@ -305,12 +305,12 @@ on_logs("i12_status_backfill", lambda logs: workflow.backfilled_status(logs.with
 
 
 def queries() -> dict[str, Query]:
-    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_rollup, catalog_text, catalog_upsert, catalog_variables
+    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_more, catalog_rollup, catalog_text, catalog_upsert, catalog_variables
 
-    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES | catalog_rollup.ENTRIES | catalog_variables.ENTRIES).items()}
+    return {n: q for n, (q, _) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES | catalog_rollup.ENTRIES | catalog_variables.ENTRIES | catalog_more.ENTRIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_rollup, catalog_text, catalog_upsert, catalog_variables
+    from faultlens import catalog_ingest, catalog_json, catalog_layout, catalog_more, catalog_rollup, catalog_text, catalog_upsert, catalog_variables
 
-    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES | catalog_rollup.ENTRIES | catalog_variables.ENTRIES).items() if s}
+    return {n: s for n, (_, s) in (ENTRIES | catalog_json.ENTRIES | catalog_ingest.ENTRIES | catalog_upsert.ENTRIES | catalog_text.ENTRIES | catalog_layout.ENTRIES | catalog_rollup.ENTRIES | catalog_variables.ENTRIES | catalog_more.ENTRIES).items() if s}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import timedelta
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,35 +16,96 @@ from faultlens.operators.rangejoin import micros
 MILESTONES = (10, 50, 100, 500, 1000)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Callable[[tuple, tuple], list[tuple]]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Runs a state machine over each key's rows in order. Rows stream through; the state of one key is held at a time.
+class Jumps:
+    """What is known of a key while its sorted times stream by. ``take`` goes over many times at once, ``end`` comes at the key's end; both give output rows."""
 
-    ``make()`` gives a function of (key, row) for a new key, which returns output rows; it is called with
-    an empty row at the key's end.
-    """
-    rest = [c for c in df.columns if c not in keys]
+    def take(self, key: tuple, times: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self, key: tuple) -> list[tuple]:
+        return []
+
+
+def _cuts(columns: list[pa.Array], n: int) -> list[int]:
+    """Where a batch's rows begin another key than the row before, and its end."""
+    other = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        a, b = c.slice(0, n - 1), c.slice(1)
+        gone, come = pc.is_null(a), pc.is_null(b)
+        other |= pc.if_else(pc.or_(gone, come), pc.xor(gone, come), pc.not_equal(a, b)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(other) + 1).tolist(), n]
+
+
+def ordered_jumps(df: DataFrame, keys: list[str], make: Callable[[], Jumps], schema: pa.Schema, ddl: str) -> DataFrame:
+    """Jumps over each key's times (occurred_at, n), which stream by in order. The state of one key is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
-        step: Callable | None = None
-        out: list[tuple] = []
+        state: Jumps | None = None
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, row = values[: len(keys)], values[len(keys) :]
-                if k != key or step is None:
-                    if step is not None:
-                        out.extend(step(key, ()))
-                    key, step = k, make()
-                out.extend(step(k, row))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*out, strict=True), strict=True)], schema=schema)
-                out = []
-        if step is not None:
-            out.extend(step(key, ()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*out, strict=True), strict=True)], schema=schema)
-
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+            out: list[tuple] = []
+            columns = batch.columns
+            times = columns[len(keys)].cast(pa.int64()).to_numpy(zero_copy_only=False)
+            counts = columns[len(keys) + 1].to_numpy(zero_copy_only=False)
+            cuts = _cuts(columns[: len(keys)], batch.num_rows)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                k = tuple(c[a].as_py() for c in columns[: len(keys)])
+                if state is None or k != key:
+                    if state is not None:
+                        out.extend(state.end(key))
+                    key, state = k, make()
+                out.extend(state.take(k, times[a:b], counts[a:b]))
+            if out:
+                yield _batch(out, schema)
+        if state is not None and (out := state.end(key)):
+            yield _batch(out, schema)
+
+    return df.select(*keys, "occurred_at", "n").repartition(*keys).sortWithinPartitions(*keys, "occurred_at").mapInArrow(run, ddl)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
+
+
+class Folds(Jumps):
+    """Groups of what occurs within ``span`` microseconds of a first occurrence."""
+
+    def __init__(self, span: int):
+        self.span, self.open = span, None
+
+    def take(self, key: tuple, times: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        done, at = [], 0
+        while at < len(times):
+            if self.open is None:
+                self.open = (int(times[at]), int(times[at]), 0)
+            first, last, n = self.open
+            to = int(np.searchsorted(times, first + self.span, "right"))
+            if to > at:
+                self.open = (first, int(times[to - 1]), n + int(counts[at:to].sum()))
+            if to < len(times):
+                done += self.end(key)
+            at = to
+        return done
+
+    def end(self, key: tuple) -> list[tuple]:
+        row, self.open = (*key[:-1], *self.open), None
+        return [row]
+
+
+class Pauses(Jumps):
+    """The first time, and each that is later than ``pause`` microseconds after the last one taken."""
+
+    def __init__(self, pause: int):
+        self.pause, self.last = pause, None
+
+    def take(self, key: tuple, times: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        sent = []
+        at = 0 if self.last is None else int(np.searchsorted(times, self.last + self.pause, "right"))
+        while at < len(times):
+            self.last = int(times[at])
+            sent.append((*key[:-1], self.last))
+            at = int(np.searchsorted(times, self.last + self.pause, "right"))
+        return sent
 
 
 def with_runs(rows: DataFrame, keys: list[str], span: timedelta) -> DataFrame:
@@ -74,28 +137,20 @@ def folded(occurrences: DataFrame, window: timedelta = timedelta(hours=24)) -> D
     """
     keys = ["application_id", "error_hash"]
     rows = with_runs(occurrences.filter("occurred_at is not null").groupBy(*keys, "occurred_at").agg(F.count("*").alias("n")), keys, window)
-    scanned = [*keys, "_run"]
-
-    def make():
-        first: datetime | None = None
-        last, count = None, 0
-
-        def step(key: tuple, row: tuple) -> list[tuple]:
-            nonlocal first, last, count
-            if not row:
-                return [(*key[:-1], first, last, count)] if first else []
-            at, n = row
-            if first is not None and at - first <= window:
-                last, count = at, count + n
-                return []
-            done = [(*key[:-1], first, last, count)] if first else []
-            first, last, count = at, at, n
-            return done
-
-        return step
-
     schema = pa.schema([("application_id", pa.int64()), ("error_hash", pa.string()), ("first_seen_at", pa.timestamp("us")), ("last_seen_at", pa.timestamp("us")), ("occurrence_count", pa.int64())])
-    return ordered_scan(rows, scanned, ["occurred_at"], make, schema, "application_id long, error_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, occurrence_count long")
+    span = window // timedelta(microseconds=1)
+    return ordered_jumps(rows, [*keys, "_run"], lambda: Folds(span), schema, "application_id long, error_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, occurrence_count long")
+
+
+def chosen(groups: DataFrame, as_of: Column) -> DataFrame:
+    """(_app, _hash, _hit, _rank): the group that takes a key's new occurrences, 0 for one that counts them and 1 for one that reopens."""
+    keys = ["application_id", "error_hash"]
+    fresh = ~F.col("resolved") & (F.col("occurred_at") >= as_of - F.expr("interval 24 hours"))
+    closed = F.col("status").isin("resolved", "wont_fix")
+    rank = F.when(fresh, 0).when(closed, 1)
+    first = F.min(F.struct(rank.alias("rank"), (-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("at"), F.col("id").alias("hit"))).alias("_b")
+    best = groups.filter(rank.isNotNull()).groupBy(*keys).agg(first)
+    return best.select(F.col("application_id").alias("_app"), F.col("error_hash").alias("_hash"), F.col("_b.hit").alias("_hit"), F.col("_b.rank").alias("_rank"))
 
 
 def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
@@ -106,10 +161,7 @@ def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFra
     """
     keys = ["application_id", "error_hash"]
     new = batch.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("occurred_at").alias("_first"), F.max("occurred_at").alias("_last"), F.max(F.struct("occurred_at", "error_type", "message")).alias("_x"))
-    fresh = ~F.col("resolved") & (F.col("occurred_at") >= as_of - F.expr("interval 24 hours"))
-    closed = F.col("status").isin("resolved", "wont_fix")
-    rank = F.when(fresh, 0).when(closed, 1)
-    best = groups.filter(rank.isNotNull()).groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), (-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("at"), F.col("id").alias("hit"))).alias("_b")).select(F.col("application_id").alias("_app"), F.col("error_hash").alias("_hash"), F.col("_b.hit").alias("_hit"), F.col("_b.rank").alias("_rank"))
+    best = chosen(groups, as_of)
     same = F.col("application_id").eqNullSafe(F.col("_app")) & F.col("error_hash").eqNullSafe(F.col("_hash"))
     target = new.join(best, same, "left").drop("_app", "_hash")
     kept = groups.join(target.filter("_hit is not null").select(F.col("_hit").alias("id"), "_n", "_last", "_rank"), "id", "left")
@@ -119,16 +171,16 @@ def merged_groups(groups: DataFrame, batch: DataFrame, as_of: Column) -> DataFra
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 
-def appended_occurrences(groups: DataFrame, batch: DataFrame) -> DataFrame:
-    """The occurrences to append for a batch that ``merged_groups`` has counted: each with the id of its key's group.
+def appended_occurrences(groups: DataFrame, batch: DataFrame, as_of: Column, made: DataFrame) -> DataFrame:
+    """The occurrences to append for a batch: each with the id of the group that ``merged_groups`` chooses for it.
 
-    ``groups``: as stored after the merge, with the ids of new groups. The group that was last seen is the one that took the batch.
+    ``groups``: as stored before the merge; ``made``: (application_id, error_hash, id) of the groups that it opened.
     """
-    keys = ["application_id", "error_hash"]
-    own = groups.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct("last_seen_at", "id")).alias("_g"))
-    same = F.col("application_id").eqNullSafe(F.col("_application_id")) & F.col("error_hash").eqNullSafe(F.col("_error_hash"))
+    opened = made.select(F.col("application_id").alias("_app"), F.col("error_hash").alias("_hash"), F.col("id").alias("_hit"))
+    taking = chosen(groups, as_of).select("_app", "_hash", "_hit").unionByName(opened)
+    same = F.col("application_id").eqNullSafe(F.col("_app")) & F.col("error_hash").eqNullSafe(F.col("_hash"))
     context = [c for c in ("occurred_at", "user_id", "request_id", "session_id") if c in batch.columns]
-    return batch.join(own, same).select(F.col("_g.id").alias("error_log_id"), *context)
+    return batch.join(taking, same).select(F.col("_hit").alias("error_log_id"), *context)
 
 
 def throttled(alerts: DataFrame, keys: list[str], minutes: float) -> DataFrame:
@@ -138,23 +190,12 @@ def throttled(alerts: DataFrame, keys: list[str], minutes: float) -> DataFrame:
     """
     pause = timedelta(minutes=minutes)
 
-    def make():
-        last: datetime | None = None
-
-        def step(key: tuple, row: tuple) -> list[tuple]:
-            nonlocal last
-            if not row or (last is not None and row[0] - last <= pause):
-                return []
-            last = row[0]
-            return [(*key[:-1], last)]
-
-        return step
-
     types = dict(alerts.dtypes)
     arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     schema = pa.schema([*((k, arrow[types[k]]) for k in keys), ("occurred_at", pa.timestamp("us"))])
-    rows = with_runs(alerts.filter("occurred_at is not null").select(*keys, "occurred_at").distinct(), keys, pause)
-    return ordered_scan(rows, [*keys, "_run"], ["occurred_at"], make, schema, ", ".join([*(f"{k} {types[k]}" for k in keys), "occurred_at timestamp_ntz"]))
+    rows = with_runs(alerts.filter("occurred_at is not null").select(*keys, "occurred_at").distinct(), keys, pause).withColumn("n", F.lit(1).cast("long"))
+    us = pause // timedelta(microseconds=1)
+    return ordered_jumps(rows, [*keys, "_run"], lambda: Pauses(us), schema, ", ".join([*(f"{k} {types[k]}" for k in keys), "occurred_at timestamp_ntz"]))
 
 
 def should_notify(count: Column, severity: Column, muted: Column, reopened: Column, cooled: Column, least: str = "low") -> Column:

@@ -58,17 +58,22 @@ def platform_specific(logs: DataFrame, as_of: Column, n: int = 30, k: int = 5) -
     return top.join(everywhere, "error_type").select("platform", "error_type", "n", F.array_join(others, ",").alias("others"), (F.size(others) == 0).alias("platform_specific"))
 
 
-def time_correlated(logs: DataFrame, as_of: Column, n: int = 30, least: float = 0.5) -> DataFrame:
-    """Pairs of types whose counts by hour of day go together. The matrix has 24 cells a type."""
-    per = since(logs, as_of, n).groupBy("error_type", F.hour("occurred_at").alias("hour")).agg(F.count("*").cast("double").alias("n"))
-    sums = per.groupBy("error_type").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss"))
-    a, b = per.select(F.col("error_type").alias("type_a"), "hour", F.col("n").alias("x")), per.select(F.col("error_type").alias("type_b"), "hour", F.col("n").alias("y"))
-    # hours without errors are zero and add nothing to a product
-    both = a.join(b, "hour").filter("type_a < type_b").groupBy("type_a", "type_b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    with_a = both.join(sums.select(F.col("error_type").alias("type_a"), F.col("s").alias("sx"), F.col("ss").alias("sxx")), "type_a")
-    with_b = with_a.join(sums.select(F.col("error_type").alias("type_b"), F.col("s").alias("sy"), F.col("ss").alias("syy")), "type_b")
-    r = pearson(F.lit(24.0), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("xy"))
-    return with_b.select("type_a", "type_b", r.alias("correlation")).filter(F.col("correlation") > least).withColumn("strength", correlation_strength(F.col("correlation")))
+def time_correlated(logs: DataFrame, as_of: Column, n: int = 30, least: float = 0.5, blocks: int = 16) -> DataFrame:
+    """Pairs of types whose counts by hour of day go together.
+
+    A type is a vector of 24 counts. Types are dealt to ``blocks`` by hash, and pairs of blocks are the keys of the join, so that a task has the
+    types of two blocks, whatever hours they have.
+    """
+    hour = F.hour("occurred_at")
+    per = since(logs, as_of, n).groupBy("error_type").agg(F.array(*[F.count_if(hour == h).cast("double") for h in range(24)]).alias("v"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    types = per.select("error_type", "v", total(F.col("v")).alias("s"), total(F.transform("v", lambda x: x * x)).alias("ss"), F.pmod(F.xxhash64("error_type"), F.lit(blocks)).alias("own"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = types.select(F.col("error_type").alias("type_a"), F.col("v").alias("x"), F.col("s").alias("sx"), F.col("ss").alias("sxx"), F.col("own").alias("block_a"), each.alias("block_b"))
+    b = types.select(F.col("error_type").alias("type_b"), F.col("v").alias("y"), F.col("s").alias("sy"), F.col("ss").alias("syy"), F.col("own").alias("block_b"), each.alias("block_a"))
+    both = a.join(b, ["block_a", "block_b"]).filter("type_a < type_b")
+    r = pearson(F.lit(24.0), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), total(F.zip_with("x", "y", lambda x, y: x * y)))
+    return both.select("type_a", "type_b", r.alias("correlation")).filter(F.col("correlation") > least).withColumn("strength", correlation_strength(F.col("correlation")))
 
 
 def period_comparison(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:

@@ -61,6 +61,11 @@ def cache_health(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     return per.select("id", "reads", "writes", "hits", "misses", rate.alias("hit_rate"), "total_ms", F.col("x.m").alias("slowest"), F.col("x.d").alias("slowest_ms"))
 
 
+def cache_list(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
+    """The health list: worst hit rate first, errors without one last."""
+    return cache_health(logs, as_of, n).orderBy(F.col("hit_rate").asc_nulls_last(), "id")
+
+
 #: The events of a websocket.
 CABLE_EVENTS = {"actions": "perform_action", "transmissions": "transmit", "subscriptions": "transmit_subscription_confirmation", "rejections": "transmit_subscription_rejection"}
 

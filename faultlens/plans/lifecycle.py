@@ -90,6 +90,13 @@ def user_impact(logs: DataFrame, as_of: Column, n: int = 30, total_users: int |
     return per.select("error_type", "users", "n", F.col("x.id").alias("latest_id"), truncate(F.col("x.message"), 120).alias("message"), severity(F.col("error_type")).alias("severity"), share.alias("impact"))
 
 
+def user_impact_of_all(logs: DataFrame, accounts: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
+    """Each type's users and their share of all accounts, which are counted as no total is configured. Null without accounts."""
+    per = since(logs, as_of, n).groupBy("error_type").agg(F.count_distinct("user_id").alias("users")).filter("users > 0")
+    total = accounts.agg(F.count("*").alias("total_users"))
+    return per.join(F.broadcast(total)).withColumn("impact", F.when(F.col("total_users") > 0, round_half_up(F.col("users") * 100.0 / F.col("total_users"), 1)))
+
+
 def user_impact_summary(logs: DataFrame, as_of: Column, n: int = 30) -> DataFrame:
     """Users are counted once for each type."""
     per = user_impact(logs, as_of, n)
@@ -122,6 +129,17 @@ def digest_urgent(logs: DataFrame, as_of: Column, n: int = 1, k: int = 5) -> Dat
     return since(logs, as_of, n).filter(~F.col("resolved") & _urgent()).orderBy(F.col("occurred_at").desc(), "id").limit(k).select("id", "error_type", "occurred_at")
 
 
+def digest_lines(logs: DataFrame, as_of: Column, n: int = 1, k: int = 5) -> DataFrame:
+    """(section, place, line): the lists of a digest mail, with their lines as text."""
+    message = logs.select(F.col("id").alias("sample_id"), "message")
+    top = digest_top(logs, as_of, n, k).join(message, "sample_id")
+    urgent = since(logs, as_of, n).filter(~F.col("resolved") & _urgent()).orderBy(F.col("occurred_at").desc(), "id").limit(k)
+    place = lambda *order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long").alias("place")  # noqa: E731  # k rows
+    first = urgent.select(F.lit("urgent").alias("section"), place(F.col("occurred_at").desc(), "id"), F.concat(F.lit("["), F.upper(severity(F.col("error_type"))), F.lit("] "), "error_type", F.lit(": "), "message").alias("line"))
+    second = top.select(F.lit("top").alias("section"), place(F.col("n").desc(), "error_type"), F.concat("error_type", F.lit(" ("), F.col("n").cast("string"), F.lit("x): "), "message").alias("line"))
+    return first.unionByName(second)
+
+
 def filter_options(logs: DataFrame) -> DataFrame:
     """Distinct values that a list can be filtered by."""
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in ("error_type", "platform", "assigned_to")])).alias("v")

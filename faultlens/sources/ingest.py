@@ -53,12 +53,6 @@ def llm_crumbs(spans: DataFrame) -> DataFrame:
     return spans.select("request_id", F.unix_millis(F.col("started_at").cast("timestamp")).alias("t"), kind.alias("c"), F.coalesce(a["gen_ai.operation.name"], kind).alias("m"), F.col("duration_ms").cast("double").alias("d"), meta.alias("meta"))
 
 
-def verified_webhooks(events: DataFrame, digest: Column) -> DataFrame:
-    """Issue events whose signature is ``digest``, as changes of the workflow: (provider, number, action)."""
-    action = F.when(F.col("action").isin("closed", "close"), "resolve").when(F.col("action").isin("reopened", "reopen"), "reopen")
-    return events.filter(F.col("signature") == digest).select("provider", "number", action.alias("change")).filter("change is not null")
-
-
 def by_issue(logs: DataFrame, number: int, provider: str) -> DataFrame:
     return logs.filter((F.col("external_issue_number") == number) & (F.col("external_issue_provider") == provider))
 

@@ -74,12 +74,24 @@ def test_null_keys_are_keys(spark):
     batch = spark.createDataFrame([(None, "h", "E", "m", AT(1)), (None, "h", "E", "m", AT(2)), (2, "h", "E", "m", AT(2))], "application_id long, error_hash string, error_type string, message string, occurred_at timestamp_ntz")
     merged = grouping.merged_groups(groups, batch, F.lit(str(NOW)).cast("timestamp_ntz"))
     assert sorted((r.id or 0, r.application_id, r.occurrence_count) for r in merged.collect()) == [(0, 2, 1), (1, None, 5)]
-    stored = merged.withColumn("id", F.coalesce("id", F.lit(2)))
-    assert sorted((r.error_log_id, r.occurred_at) for r in grouping.appended_occurrences(stored, batch).collect()) == [(1, AT(1)), (1, AT(2)), (2, AT(2))]
+    made = merged.filter("id is null").withColumn("id", F.lit(2))
+    appended = grouping.appended_occurrences(groups, batch, F.lit(str(NOW)).cast("timestamp_ntz"), made)
+    assert sorted((r.error_log_id, r.occurred_at) for r in appended.collect()) == [(1, AT(1)), (1, AT(2)), (2, AT(2))]
     base = lambda p, v: spark.createDataFrame([("E", p, v)], "error_type string, platform string, mean double")
     assert [r.mean for r in sequences.upserted_baselines(base(None, 1.0), base(None, 2.0), ["error_type", "platform"]).collect()] == [2.0]
 
 
+def test_occurrences_go_where_the_merge_counts_them(spark):
+    """An older group that was seen after a late batch doesn't take it."""
+    groups = spark.createDataFrame([(1, 1, "h", "E", "m", AT(-30 * 60), AT(-60), 3, False, "new", None)], "id long, application_id long, error_hash string, error_type string, message string, occurred_at timestamp_ntz, last_seen_at timestamp_ntz, occurrence_count long, resolved boolean, status string, reopened_at timestamp_ntz")
+    batch = spark.createDataFrame([(1, "h", "E", "m", AT(-120))], "application_id long, error_hash string, error_type string, message string, occurred_at timestamp_ntz")
+    as_of = F.lit(str(NOW)).cast("timestamp_ntz")
+    merged = grouping.merged_groups(groups, batch, as_of)
+    assert sorted((r.id or 0, r.occurrence_count) for r in merged.collect()) == [(0, 1), (1, 3)]
+    made = merged.filter("id is null").withColumn("id", F.lit(2))
+    assert [r.error_log_id for r in grouping.appended_occurrences(groups, batch, as_of, made).collect()] == [2]
+
+
 def test_counts_of_batches_and_counters(spark):
     logs = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert tuple(workflow.batch_counts(logs, [1, 1, 2, 5]).first()) == (3, 2, 1)
