@@ -66,14 +66,16 @@ PROSE = 15
 
 
 class Outside:
-    """An element that speaks against its text, unless it turns out to wrap the page."""
+    """An element that speaks against its text, unless it turns out to wrap the page. It knows the one around it, so that a chain costs nothing more a level."""
 
-    __slots__ = ("leads", "spared", "tag")
+    __slots__ = ("above", "blocked", "held", "leads", "spared", "tag")
 
-    def __init__(self, tag: str) -> None:
-        self.tag = tag
+    def __init__(self, tag: str, above: Outside | None) -> None:
+        self.tag, self.above = tag, above
         self.leads = False  # it holds a <main> or <h1>
+        self.held = 0  # text that may be content
         self.spared = False
+        self.blocked = True  # it or one around it isn't spared
 
 
 @dataclass
@@ -85,12 +87,12 @@ class Block:
     depth: int
     gap: int  # depth of the lowest common ancestor with the block before
     parent: int
-    outside: tuple[Outside, ...]
+    outside: Outside | None  # the innermost
     never: bool  # it can be no content
 
     @property
     def excluded(self) -> bool:
-        return self.never or any(not x.spared for x in self.outside)
+        return self.never or self.outside is not None and self.outside.blocked
 
 
 @dataclass(frozen=True)
@@ -100,20 +102,24 @@ class Within:
     tag: str = ""
     prior: float = 0.0
     number: int = 0
-    outside: tuple[Outside, ...] = ()
+    outside: Outside | None = None
     never: bool = False
     header: bool = False  # of an article: only headings stay
     mute: bool = False  # an inline element that is no part of the block around it
+    block: int = 0  # where in the stack the innermost block-level element is
 
 
-def _words(attrs: str) -> tuple[float, bool, bool, bool]:
-    """(evidence for content, a word against it, a word for a header, hidden) of an element's attributes."""
+def _words(attrs: str, whole: bool) -> tuple[float, bool, bool, bool]:
+    """(evidence for content, a word against it, a word for a header, hidden) of an element's attributes.
+
+    With ``whole`` only a class, id or role as a whole speaks against the element, not a part of it (as in ``ad-free``).
+    """
     good, against, header, hidden = 0.0, False, False, False
     for m in _NAMED.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             words = {w for name in value.split() for w in _PART.findall(_LACKS.sub("", name))}
-            against |= not words.isdisjoint(WORDS_OUTSIDE)
+            against |= not (set(value.split()) if whole else words).isdisjoint(WORDS_OUTSIDE)
             header |= "header" in words
             good += sum(WORD_FOR.get(w, 0) for w in words)
         else:
@@ -121,8 +127,10 @@ def _words(attrs: str) -> tuple[float, bool, bool, bool]:
     return good, against, header, hidden
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[Outside]]:
+    """The page's blocks, and the elements that speak against theirs, each after the one around it."""
     out: list[Block] = []
+    against_: list[Outside] = []
     stack = [Within()]
     open_: dict[str, int] = {}
     text: list[str] = []
@@ -133,7 +141,7 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             depth = len(stack) - 1
-            k = next(k for k in range(depth, -1, -1) if stack[k].tag in BLOCK or not k)
+            k = stack[-1].block
             at, inner = stack[k], stack[-1]
             out.append(Block(joined, at.prior, min(linked, len(joined)), heading, depth, min(least, depth), stack[max(0, k - 1)].number, inner.outside, inner.never or inner.header and not heading))
             least = depth
@@ -181,12 +189,8 @@ def blocks(page: str) -> list[Block]:
             end_block()
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             closes = CLOSES.get(tag, ()) if tag in CLOSES else ("p",)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            if stack[stack[-1].block].tag in closes:
+                pop(stack[-1].block)
         elif tag == "br" or tag == "hr":
             text.append(" ")
         if tag in VOID or m[3].endswith("/"):
@@ -196,57 +200,84 @@ def blocks(page: str) -> list[Block]:
             pop(k)
         number += 1
         above = stack[-1]
-        good, against, of_header, hidden = _words(m[3]) if m[3] else (0.0, False, False, False)
-        if tag == "main" or tag == "h1":
-            for x in above.outside:
-                x.leads = True
+        good, against, of_header, hidden = _words(m[3], tag in ("article", "main")) if m[3] else (0.0, False, False, False)
+        if above.outside and (tag == "main" or tag == "h1"):
+            above.outside.leads = True
         inside = bool(open_.get("article") or open_.get("main"))
         header = above.header or (tag == "header" or of_header) and (inside or good > 0)
         never = above.never or hidden or tag in OUTSIDE and tag != "form" or tag == "header" and not header
         # words of html and body are about the page, not about a part of it
         named = tag == "form" or tag not in ("html", "body") and (against or of_header and not header)
         mute = above.mute or tag in INLINE and (named or hidden)
-        outside = (*above.outside, Outside(tag)) if named else above.outside
-        stack.append(Within(tag, min(MOST_FOR, above.prior + TAG_FOR.get(tag, 0.0) + good), number, outside, never, header, mute))
+        outside = above.outside
+        if named:
+            outside = Outside(tag, outside)
+            against_.append(outside)
+        stack.append(Within(tag, min(MOST_FOR, above.prior + TAG_FOR.get(tag, 0.0) + good), number, outside, never, header, mute, len(stack) if tag in BLOCK else above.block))
         open_[tag] = open_.get(tag, 0) + 1
         anchors += tag == "a"
     end_block()
-    return out
+    return out, against_
 
 
 def costs(b: Block, short: float = 1.0) -> tuple[float, float]:
     """(cost of labelling it boilerplate, cost of labelling it content); ``short`` is the cost of having no words."""
     if b.excluded:
         return (0.0, math.inf)
+    evidence = _evidence(b, short)
+    return (max(0.0, evidence), max(0.0, -evidence))
+
+
+def _evidence(b: Block, short: float = 1.0) -> float:
     words = b.text.count(" ") + 1
     evidence = b.prior
     evidence += min(2.5, math.log2(1 + words / 8)) - short
     evidence += 0.5 if b.text[-1] in ".!?…\"”" and words > 3 else 0.0
     evidence -= 3.0 * b.linked / len(b.text)
-    evidence += 1.0 if b.heading else 0.0
-    return (max(0.0, evidence), max(0.0, -evidence))
+    return evidence + (1.0 if b.heading else 0.0)
 
 
-def spare_wrappers(found: list[Block]) -> None:
+def spare_wrappers(found: list[Block], against: list[Outside]) -> None:
     """Spares elements that wrap the page.
 
     A wrapper holds most of the page's text, and also its <main> or <h1>, or all of its running text with no
     article beside it: a list of comments longer than the article is none. An <article> with an <h1>
-    needs no such share, a form without <main> or <h1> is none. From the outermost element on.
+    needs no such share, a form without <main> or <h1> is none. Elements with most of the text lie in each other; they
+    are decided from the outermost on. Linear in blocks and elements.
     """
     known = [b for b in found if not b.never]
     size = sum(len(b.text) for b in known)
-    held: dict[Outside, int] = {}
     for b in known:
-        for x in b.outside:
-            held[x] = held.get(x, 0) + len(b.text)
-    for x, n in held.items():  # they lie in each other, the outer ones first
-        if x.leads and (2 * n > size or x.tag in ("article", "main")):
-            x.spared = True
-        elif 2 * n > size and x.tag != "form":
-            others = [b for b in known if x not in b.outside]
-            prose = sum(b.text.count(" ") + 1 for b in others if not b.heading and costs(b)[0] > 0)
-            x.spared = prose < PROSE and not any(b.prior >= IN_ARTICLE for b in others)
+        if b.outside:
+            b.outside.held += len(b.text)
+    for x in reversed(against):
+        if x.above:
+            x.above.held += x.held
+            x.above.leads |= x.leads
+    chain = [x for x in against if x.held and 2 * x.held > size]
+    level = {x: i for i, x in enumerate(chain)}
+    for x in against:
+        x.spared = x.leads and x.held > 0 and (x in level or x.tag in ("article", "main"))
+    # how many of the chain an element lies in, and whether one apart from the chain is against it
+    inside: dict[Outside, tuple[int, bool]] = {}
+    for x in against:
+        n, apart = inside[x.above] if x.above else (0, False)
+        inside[x] = (n + 1, apart) if x in level else (n, apart or not x.spared)
+    prose, articles = [0] * (len(chain) + 1), [False] * (len(chain) + 1)
+    for b in known:
+        n, apart = inside[b.outside] if b.outside else (0, False)
+        articles[n] |= b.prior >= IN_ARTICLE
+        if not apart and not b.heading and _evidence(b) > 0:
+            prose[n] += b.text.count(" ") + 1
+    others, beside, open_ = 0, False, True
+    for i, x in enumerate(chain):  # beside it is what lies in fewer of the chain
+        others += prose[i] if open_ else 0
+        beside |= articles[i]
+        if not x.leads and x.tag != "form":
+            x.spared = others < PROSE and not beside
+        open_ &= x.spared
+    for x in against:
+        x.blocked = not x.spared or x.above is not None and x.above.blocked
 
 
 def min_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -316,10 +347,10 @@ def min_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, fl
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
+    found, against = blocks(page) if page else ([], [])
     if not found:
         return ""
-    spare_wrappers(found)
+    spare_wrappers(found, against)
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):

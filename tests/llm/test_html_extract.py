@@ -163,3 +163,22 @@ def test_query_against_a_plain_reading(spark):
             reading.feed(page.html)
             reading.close()
             assert got[page.page_id] == reading.text(), page.page_id
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    page = lambda n: "<body>" + "<div class=ad><p>some words here</p>" * n + "</div>" * n + "</body>"
+    began = time.perf_counter()
+    assert h.main_text(page(200)).startswith("some words here")  # the outermost wraps the page
+    h.main_text(page(20_000))
+    inline = "<body>" + "<span class=ad>" * 5000 + "<p>a b c</p>" * 5000
+    h.main_text(inline)
+    assert time.perf_counter() - began < 15
+
+
+def test_parts_of_an_articles_class_do_not_speak_against_it():
+    text, other = "One two three four five six seven eight nine ten.", "<article><p>Other words are here for the reader to see now.</p></article>"
+    for name in ("ad-free", "post category-x social-policy", "no-sidebar"):
+        assert text in h.main_text(f"<article class='{name}'><p>{text}</p></article>{other}")
+    assert text not in h.main_text(f"<article class='ad'><p>{text}</p></article>{other}")
