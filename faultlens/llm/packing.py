@@ -66,14 +66,14 @@ def _pack(capacity: int):
 def pack(docs: DataFrame, capacity: int = 8192, shard_items: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, bin_id for each piece of ``docs`` (doc_id, length, source, cluster).
 
-    ``shard_items`` is how many documents a shard has on average.
+    ``shard_items`` is how many pieces a shard has on average, so that documents of very many pieces are spread too.
     """
     items = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("whole"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    shards = max(1, -(-docs.count() // shard_items))
+    last = F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)).cast("int")
+    shards = max(1, -(-(items.agg(F.sum(last.cast("long") + 1)).first()[0] or 0) // shard_items))
     rows = items.groupBy("doc_id", "whole", "source", "cluster").agg(F.count("*").alias("n"))
     # copies of a row are dealt in lots, which are rows of their own only within a shard
     lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT)))).withColumn("copies", F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT))
-    last = F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)).cast("int")
     pieces = lots.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("length", F.least(F.col("whole") - F.col("start"), F.lit(capacity).cast("long")))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "whole", "source", "cluster", "lot"), F.lit(shards)).cast("long"))

@@ -69,3 +69,9 @@ def test_bins_do_not_depend_on_the_tables_partitions(spark):
     assert one == other
     bins = [b for i, *_, b in one if i == rows[5][0]]
     assert len(bins) == 301 * max(1, -(-rows[5][1] // 256)) and len(bins) == len(set(bins)) and len({b >> 32 for b in bins}) >= 3
+
+
+def test_documents_of_very_many_pieces_are_spread(spark):
+    docs = spark.createDataFrame([(i, 64 * 5000 + i, "s" if i else None, None, "x", "x") for i in range(3)], SCHEMA)
+    got = p.pack(docs, capacity=64, shard_items=500).groupBy((p.F.col("bin_id") / 2**32).cast("long").alias("shard")).agg(p.F.count("*").alias("n"), p.F.count_distinct("doc_id").alias("docs")).collect()
+    assert len(got) >= 25 and max(r.n for r in got) < 900 and all(r.docs == 3 for r in got) and sum(r.n for r in got) == 15002
