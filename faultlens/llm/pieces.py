@@ -278,10 +278,15 @@ class Pieces:
         return b"".join(map(self.spelling.__getitem__, ids))[1:]
 
 
-def encode(docs: DataFrame, model: str | Pieces = DEFAULT_MODEL, cache: int = 200_000) -> DataFrame:
+#: Bytes that an entry of the cache of words takes beside its word and ids.
+ENTRY = 200
+
+
+def encode(docs: DataFrame, model: str | Pieces = DEFAULT_MODEL, cache_bytes: int = 128 << 20) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, ids array<int>, n_pieces, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), text_sha256.
 
-    The pieces go to the tasks with the function; a task keeps at most ``cache`` segmented words.
+    The pieces go to the tasks with the function; a task keeps segmented words of ``cache_bytes`` at most, and none longer than ``LONG``,
+    as a text in a script without spaces is one word.
     """
     pieces = Pieces.load(model) if isinstance(model, str) else model
     is_byte = np.zeros(len(pieces.spelling), bool)
@@ -290,16 +295,22 @@ def encode(docs: DataFrame, model: str | Pieces = DEFAULT_MODEL, cache: int = 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 split = [pieces.words(t) for t in utf8(part.column(1))]
                 new = list({w for words in split for w in words if w not in known})
-                if len(known) + len(new) > cache:
-                    known = {}
+                if held > cache_bytes:
+                    known, held = {}, 0
                     new = list({w for words in split for w in words})
                 known.update(zip(new, (x.tobytes() for x in pieces.segment(new)), strict=True))
                 raw = [b"".join(map(known.__getitem__, words)) for words in split]
+                for w in new:
+                    if len(w) > LONG:
+                        del known[w]
+                    else:
+                        held += len(w) + len(known[w]) + ENTRY
                 ids = np.frombuffer(b"".join(raw), np.int32)
                 cuts = np.cumsum([0, *(len(r) // 4 for r in raw)])
                 spelt = np.concatenate([[0], np.cumsum(is_byte[ids])])

@@ -81,7 +81,7 @@ def test_table(spark):
     schema = "doc_id long, text string, ids int, decoded string"
     rows = [(1, "ab ab  c", 1, "x"), (1, "ab ab  c", 1, "x"), (2, None, 1, "x"), (3, "", 1, "x"), (None, " ▁ é\n日", 1, "x"), (4, "ba " * 40_000, 1, "x")]
     model = p.Pieces.of(vocabulary())
-    out = p.decode(p.encode(spark.createDataFrame(rows, schema), model, cache=5), model).collect()
+    out = p.decode(p.encode(spark.createDataFrame(rows, schema), model, cache_bytes=5), model).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.decoded) for r in out) == sorted((i is None, i, t or "") for i, t, *_ in rows)
     assert {r.doc_id: r.n_pieces for r in out}[2] == 0 and {r.doc_id: r.n_byte_pieces for r in out}[None] == 7
     assert p.decode(p.encode(spark.createDataFrame([], schema), model), model).count() == 0
