@@ -83,7 +83,10 @@ def parse_record(data: bytes) -> tuple | None:
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, level: int = 6) -> None:
-    """``pages``: page_id, url, html. Of equal payloads of ``min_payload`` bytes or more, all but the smallest page_id's become revisits."""
+    """``pages``: page_id, url, html. Of equal payloads of ``min_payload`` bytes or more, all but the smallest page_id's become revisits.
+
+    A row without an id is a revisit where one with an id has the same payload, and else a response.
+    """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.select("*", F.sha2("payload", 256).alias("key"), F.octet_length("payload").alias("size"))
     firsts = keyed.filter(F.col("size") >= min_payload).groupBy("key", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -125,3 +125,18 @@ def test_extra_columns_that_clash(spark, tmp_path):
     got = warc.read_warc(spark, str(tmp_path / "a"), payload=False)
     assert got.columns == ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     assert sorted((r.page_id, r.refers_to) for r in got.collect()) == [(1, None), (2, 1)]
+
+
+def test_query_against_sql_with_null_ids(spark, tmp_path):
+    import duckdb
+
+    from faultlens.llm import queries
+
+    rows = [(1, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "alone"), (None, "v", "twice"), (None, "w", "twice"), (4, None, None), (3, "x", ""), (2, "y", "<p>a</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op10_warc"])
+    names = [c[0] for c in want.description]
+    got = queries.op10_warc(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
