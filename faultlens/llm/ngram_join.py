@@ -24,7 +24,8 @@ none links with its hub, the tries of step 4 test each block against each block,
 
 Defined results: a text is lower-cased in A-Z and split at ASCII white space; one with fewer words than
 a shingle has its whole sequence as one; a null, empty or blank text has no shingles, links with
-nothing and is its own component; rows that repeat an id count as one document; a null id links with
+nothing and is its own component; rows that repeat an id are one document, with the least of its texts by
+code points (null only if all are), and each gets that one's result; a null id links with
 nothing and has a null component; extra columns are ignored; an empty table gives no rows.
 A text is read as a whole, however long; its set is one row. Words and shingles are compared by 64-bit
 hashes.
@@ -316,6 +317,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     share = min(1.0, 1.6 * (1 - num / den))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = staged(source.mapInArrow(_profile(words, threshold, share), "doc_id long, n long, counted long, key binary"), "profile")
+    source, profile = _one_text(source, profile, words, threshold, share)
     classes = profile.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted"), F.count("*").alias("docs"))
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
 
@@ -354,6 +356,19 @@ def jaccard_components(docs: DataFrame, words: int = 4, threshold: tuple[int, in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _one_text(source: DataFrame, profile: DataFrame, words: int, threshold: tuple[int, int], share: float) -> tuple[DataFrame, DataFrame]:
+    """Texts and profiles in which the rows of an id that has several sets have the least of its texts, whatever the order of rows."""
+    of_id = profile.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("key").alias("least"), F.max("key").alias("most"))
+    mixed = staged(of_id.filter("least <> most").select("doc_id", "rows"), "mixed-ids")
+    if not mixed.take(1):
+        discard(mixed)
+        return source, profile
+    one = staged(source.join(mixed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "least-texts")
+    own = one.mapInArrow(_profile(words, threshold, share), "doc_id long, n long, counted long, key binary").join(mixed, "doc_id")
+    rows = own.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(profile.columns)
+    return source.join(mixed, "doc_id", "left_anti").unionByName(one), staged(profile.join(mixed, "doc_id", "left_anti").unionByName(rows), "profile")
+
+
 def _candidates(source: DataFrame, reps: DataFrame, words: int, threshold: tuple[int, int], share: float) -> DataFrame:
     """(doc_id, n) of the representatives with a first shingle that another text has too."""
     num, den = threshold

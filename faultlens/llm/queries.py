@@ -122,7 +122,8 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from n window w as (partition by body order by chars desc, doc_id)""",
         "op9_ngram_jaccard": r"""
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+  select doc_id, list_filter(string_split_regex(translate(coalesce(min(text), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents group by doc_id
 ), g as (
   select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
     else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as gram from w
@@ -134,7 +135,7 @@ with recursive w as (
 ), reach(a, b) as (
   select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
 )
-select n.doc_id, n.n as n_shingles, r.component_id from n join (select a, min(b) as component_id from reach group by 1) r on n.doc_id = r.a""",
+select n.doc_id, n.n as n_shingles, r.component_id from documents join n using (doc_id) join (select a, min(b) as component_id from reach group by 1) r on n.doc_id = r.a""",
         "op11_decontamination": r"""
 with d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
@@ -215,7 +216,7 @@ with p as (
 select page_id, cast(payload_bytes as bigint) as payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + cast((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31 as integer), 1)), 'string_agg', '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type,
-  case when page_id <> first then first end as refers_to
+  case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
 from d""",
     }

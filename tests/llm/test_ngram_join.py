@@ -126,3 +126,23 @@ def test_large_and_small_groups_of_copies_alike(spark, monkeypatch):
         monkeypatch.setattr(g, "LARGE", large)
         found.append(sorted((tuple(r) for r in g.jaccard_components(docs).collect()), key=str))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+def test_ids_with_several_texts_whatever_the_order(spark):
+    """The least text counts, for links and for the number of shingles."""
+    base = [f"a{i}" for i in range(40)]
+    near = lambda k: " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, near(3)), (5, near(5)), (5, other), (7, other + " end"), (9, near(9)), (11, None), (11, near(11)), (12, None), (12, ""), (None, near(3)), (None, other), (5, near(5)), (20, near(4)), (20, near(4).upper())]
+    rows += [(30, f"{near(i % 5)} {i}") for i in range(60)]
+    least = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            least[i] = min(t, least.get(i, t))
+    single = [(i, t if i is None else least.get(i)) for i, t in rows]
+    want = sorted(((i, len(gram_set(t, 4)), c) for i, t, c in ((i, t, dict((x[0], x[2]) for x in brute([(j, u) for j, u in single if j is not None], 4, 85, 100)).get(i)) for i, t in single)), key=str)
+    for seed in range(4):
+        shuffled = list(rows)
+        random.Random(seed).shuffle(shuffled)
+        found = g.jaccard_components(spark.createDataFrame(shuffled, "doc_id long, text string").repartition(1 + seed)).collect()
+        assert sorted(map(tuple, found), key=str) == want
