@@ -67,20 +67,71 @@ class KernelModel:
     weights: np.ndarray
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of scores for each gram set: a product of the presence matrix and the folded weights."""
-        sizes = np.array([len(s) for s in sets])
-        presence = presence_matrix(sets, self.vocabulary)
-        return (presence @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
-
+        """One row of scores for each gram set: products of presence matrices and the folded weights.
 
-def presence_matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+        A product is over the n-grams of a few texts, not over all that the model knows, so that its size doesn't grow with the languages.
+        """
+        sizes = np.array([len(s) for s in sets])
+        out = np.zeros((len(sets), len(self.languages)), np.float32)
+        at = 0
+        while at < len(sets):
+            to = at + 1
+            while to < len(sets) and (to + 1 - at) * sizes[at : to + 1].sum() <= CELLS:
+                to += 1
+            rows, found = positions(sets[at:to], self.vocabulary)
+            if len(found):
+                columns, place_ = np.unique(found, return_inverse=True)
+                presence = np.zeros((to - at, len(columns)), np.float32)
+                presence[rows, place_] = 1
+                out[at:to] = presence @ self.weights[columns]
+            at = to
+        return out / np.sqrt(np.maximum(sizes, 1))[:, None]
+
+
+#: Cells of a presence matrix.
+CELLS = 1 << 23
+
+
+def positions(sets: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, place in the vocabulary) of each n-gram of the sets that the vocabulary has."""
     every = np.concatenate(sets) if sets else np.zeros(0, np.int32)
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     at = np.minimum(np.searchsorted(vocabulary, every), max(0, len(vocabulary) - 1))
     found = vocabulary[at] == every if len(vocabulary) else np.zeros(len(every), bool)
-    out = np.zeros((len(sets), len(vocabulary)), np.float32)
-    out[rows[found], at[found]] = 1
-    return out
+    return rows[found], at[found]
+
+
+class Landmarks:
+    """Which landmarks hold each n-gram of their vocabulary, in place of a matrix with a cell for each of both."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.vocabulary = np.unique(np.concatenate(marks))
+        self.sizes = np.array([len(g) for g in marks])
+        rows, at = positions(marks, self.vocabulary)
+        order = np.argsort(at, kind="stable")
+        self.who, self.starts = rows[order], np.searchsorted(at[order], np.arange(len(self.vocabulary) + 1))
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each set: its n-grams shared with each landmark over the geometric mean of their numbers."""
+        out = np.zeros((len(sets), len(self.sizes)))
+        for i, g in enumerate(sets):
+            _, at = positions([g], self.vocabulary)
+            many = self.starts[at + 1] - self.starts[at]
+            before = np.cumsum(many) - many
+            held = np.repeat(self.starts[at] - before, many) + np.arange(many.sum())
+            out[i] = np.bincount(self.who[held], minlength=len(self.sizes)) / np.sqrt(len(g))
+        return out / np.sqrt(self.sizes)
+
+    def folded(self, dual: np.ndarray, together: int = 1 << 17) -> np.ndarray:
+        """The weights of the n-grams from those of the landmarks, about ``together`` pairs of both at a time."""
+        scaled = dual / np.sqrt(self.sizes)[:, None]
+        out = np.empty((len(self.vocabulary), dual.shape[1]), np.float32)
+        a = 0
+        while a < len(self.vocabulary):
+            z = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + together, "right")) - 1)
+            out[a:z] = np.add.reduceat(scaled[self.who[self.starts[a] : self.starts[z]]], self.starts[a:z] - self.starts[a], axis=0)
+            a = z
+        return out
 
 
 def fit(examples: list[tuple[str, np.ndarray]], landmarks_per_language: int, ridge: float) -> KernelModel:
@@ -95,33 +146,37 @@ def fit(examples: list[tuple[str, np.ndarray]], landmarks_per_language: int, rid
         if taken.get(lang, 0) < landmarks_per_language:
             taken[lang] = taken.get(lang, 0) + 1
             marks.append(g)
-    vocabulary = np.unique(np.concatenate(marks))
-    mark = presence_matrix(marks, vocabulary).astype(np.float64) / np.sqrt([len(g) for g in marks])[:, None]
-    kernel = mark @ mark.T
-    values, vectors = np.linalg.eigh(kernel)
+    known = Landmarks(marks)
+    values, vectors = np.linalg.eigh(known.kernel(marks))
     keep = values > 1e-8 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    sets = [g for _, g in examples]
-    phi = (presence_matrix(sets, vocabulary) @ mark.T / np.sqrt([len(g) for g in sets])[:, None]) @ whiten
-    target = np.array([[float(lang == one) for one in languages] for lang, _ in examples])
-    beta = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ target)
-    return KernelModel(languages, vocabulary, (mark.T @ (whiten @ beta)).astype(np.float32))
+    square, cross = ridge * np.eye(whiten.shape[1]), np.zeros((whiten.shape[1], len(languages)))
+    for i in range(0, len(examples), 512):
+        part = examples[i : i + 512]
+        phi = known.kernel([g for _, g in part]) @ whiten
+        square += phi.T @ phi
+        cross += phi.T @ np.array([[float(lang == one) for one in languages] for lang, _ in part])
+    return KernelModel(languages, known.vocabulary, known.folded(whiten @ np.linalg.solve(square, cross)))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray]]:
-    """Gram sets of at most ``per_language`` texts of each language, picked by a hash of their ids."""
+def training_sample(docs: DataFrame, per_language: int, most_languages: int = 64) -> list[tuple[str, np.ndarray]]:
+    """Gram sets of at most ``per_language`` texts of each language, picked by a hash of their ids.
+
+    The ``most_languages`` with most ids (about; ties by name) are learned, so that a column with very many values can't outgrow the driver.
+    """
     known = docs.filter("text is not null and lang is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).filter(~held_out(F.col("doc_id")))
-    ids = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # one row a language, as the model has
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    ids = {r["lang"]: r["n"] for r in counted.orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     if not ids:
         return []
     # enough of each language by far, so that what is ranked doesn't grow with the table
     share = F.create_map(*(F.lit(x) for lang, n in ids.items() for x in (lang, 8.0 * per_language / max(1, n))))[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(place("doc_id"), "doc_id")
-    ranked = known.filter(place("doc_id") < share).distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
+    ranked = known.filter(F.col("lang").isin(list(ids))).filter(place("doc_id") < share).distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
     picked = staged(ranked, "picked").select("doc_id", "lang", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +203,20 @@ def predict(model: KernelModel, texts: list[str | None]) -> tuple[list[str], np.
     return pred, score
 
 
-def learn(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1) -> KernelModel:
-    """Learns only from rows with a language whose id isn't held out: at most ``per_language`` texts of each, ``landmarks_per_language`` of them as landmarks."""
-    return fit(training_sample(docs, per_language), landmarks_per_language, ridge)
+def learn(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, most_languages: int = 64) -> KernelModel:
+    """Learns only from rows with a language whose id isn't held out: at most ``per_language`` texts of each, ``landmarks_per_language`` of them as landmarks.
+
+    Texts of languages beyond the ``most_languages`` most frequent ones are given one of those; ``unlearned`` counts them.
+    """
+    return fit(training_sample(docs, per_language, most_languages), landmarks_per_language, ridge)
+
+
+def unlearned(docs: DataFrame, most_languages: int = 64) -> DataFrame:
+    """(languages, documents) that ``learn`` leaves out, for a report."""
+    rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.count("*").alias("rows"))
+    learned = counted.orderBy(F.col("n").desc(), "lang").limit(most_languages).select("lang")
+    return counted.join(learned, "lang", "left_anti").agg(F.count("*").alias("languages"), F.coalesce(F.sum("rows"), F.lit(0)).alias("documents"))
 
 
 def identify(docs: DataFrame, per_language: int = 200, landmarks_per_language: int = 24, ridge: float = 0.1, block: int = 128) -> DataFrame:

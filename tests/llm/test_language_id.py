@@ -1,8 +1,14 @@
+import os
 import random
 import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
 from faultlens.llm import language_id as lid
 
+SF = "/root/testdata/sf0.001"
 WORDS = {"aa": ["lorim", "dolas", "amet", "sita"], "bb": ["wkrz", "przy", "szcz", "trzc"], "cc": ["ouai", "eaux", "ieu", "oeil"]}
 SCHEMA = "doc_id long, text string, lang string, score double, held_out string"
 
@@ -75,3 +81,64 @@ def test_ties_go_to_the_language_that_sorts_first():
 def test_kernel_counts_shared_grams():
     a, b = lid.grams("abc"), lid.grams("xabc!!")
     assert set(a) <= set(b) and len(lid.grams("abab")) == 2 + 2 + 2
+
+
+def _made_up(n, seed, size=24, texts=30, length=400):
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèçñ"
+    out = []
+    for k in range(n):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(size * 5)]
+        out += [(f"l{k:03d}", " ".join(rng.choice(words) for _ in range(length))) for _ in range(texts)]
+    return out
+
+
+def test_many_languages_take_bounded_memory():
+    import tracemalloc
+
+    texts = _made_up(64, 3)
+    examples = [(lang, lid.grams(t)) for lang, t in texts]
+    tracemalloc.start()
+    model = lid.fit(examples, 24, 0.1)
+    held, most = tracemalloc.get_traced_memory()
+    assert most < 700 << 20
+    tracemalloc.reset_peak()
+    pred = lid.predict(model, [t for _, t in texts[::29]])[0]
+    assert tracemalloc.get_traced_memory()[1] - held < 150 << 20
+    tracemalloc.stop()
+    assert sum(p == lang for p, (lang, _) in zip(pred, texts[::29], strict=True)) >= 0.98 * len(pred)
+
+
+def test_kernel_and_weights_are_those_of_presence_matrices():
+    examples = [(lang, lid.grams(t)) for lang, t in _made_up(3, 5, 8, 6, 40)]
+    sets = [g for _, g in examples]
+    known = lid.Landmarks(sets[:7])
+    dense = lambda of: np.array([np.isin(known.vocabulary, g) for g in of], float) / np.sqrt([len(g) for g in of])[:, None]
+    assert np.allclose(known.kernel(sets), dense(sets) @ dense(sets[:7]).T)
+    dual = np.random.default_rng(1).normal(size=(7, 3))
+    assert np.allclose(known.folded(dual, together=5), dense(sets[:7]).T @ dual, atol=1e-5)
+
+
+def test_a_dirty_column_of_languages(spark):
+    data = rows(90) + [(1000 + i, "przy szcz", f"dirty{i}", 1.0, "x") for i in range(400)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    assert lid.learn(docs, most_languages=3).languages == ["aa", "bb", "cc"]
+    left = lid.unlearned(docs, 3).first()
+    assert left.languages == left.documents == sum(zlib.crc32(str(1000 + i).encode()) % 3 != 1 for i in range(400))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_recall_of_short_texts_at_the_pipelines_threshold():
+    """Few words of held-out texts of each language that was learned stay."""
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    docs = [(d["doc_id"], d["text"], d["lang"]) for d in docs if d["text"] and d["lang"]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = lid.fit([(lang, lid.grams(t)) for i, t, lang in docs if not held(i)], 24, 0.1)
+    for lang in model.languages:
+        for words in (1, 3, 10):
+            texts = [" ".join(w[k : k + words]) for w in (t.split() for i, t, x in docs if held(i) and x == lang) for k in range(0, min(len(w), 300), 30)]
+            texts = [t for t in texts if len(lid.grams(t))]
+            score = lid.predict(model, texts)[1]
+            recall = sum(s >= 0.05 for s in score) / max(1, len(texts))
+            print(f"{lang}, {words} words: {recall:.4f} of {len(texts)}")
+            assert recall >= (0.97 if words == 1 else 0.995)
