@@ -13,7 +13,7 @@ from faultlens.operators.windows import day_spine, day_start, days, since
 
 
 def counts(logs: DataFrame, as_of: Column) -> DataFrame:
-    """All scalar figures in one scan."""
+    """All scalar figures; the users of two days in a scan of these days only, as counting them among all rows would expand each row."""
     at, today, yesterday = F.col("occurred_at"), day_start(as_of), day_start(as_of, 1)
     is_today, is_yesterday = at >= today, (at >= yesterday) & (at < today)
     took = F.when(F.col("resolved") & (F.col("resolved_at") >= as_of - days(30)), seconds(F.col("occurred_at"), F.col("resolved_at")) / 3600)
@@ -25,10 +25,10 @@ def counts(logs: DataFrame, as_of: Column) -> DataFrame:
         F.count_if(~F.col("resolved")).alias("unresolved"),
         F.count_if(F.col("resolved")).alias("resolved"),
         F.count_if(F.col("reopened_at").isNotNull()).alias("reopened"),
-        F.count_distinct(F.when(is_today, F.col("user_id"))).alias("users_today"),
-        F.count_distinct(F.when(is_yesterday, F.col("user_id"))).alias("users_yesterday"),
         F.avg(took).alias("hours"),
     )
+    recent = logs.filter(at >= yesterday).groupBy("user_id").agg(F.bool_or(is_today).alias("today"), F.bool_or(is_yesterday).alias("yesterday")).filter("user_id is not null")
+    one = one.join(F.broadcast(recent.agg(F.count_if("today").alias("users_today"), F.count_if("yesterday").alias("users_yesterday"))))
     hours_today = F.greatest(round_half_up(seconds(today, as_of) / 3600, 1), F.lit(1.0))
     trend = change(F.col("total_today"), F.col("total_yesterday"))
     return one.select(
