@@ -134,10 +134,19 @@ on_logs(
     lambda logs: logs.select("id", text.truncated_backtrace(F.array_join(F.transform(F.sequence(F.lit(1), F.col("k") + 1), lambda i: F.concat(F.lit("/r/gems/g/l.rb:"), i.cast("string"))), "\n"), 30).alias("backtrace")),
     "select id, array_to_string(list_transform(range(1, least(k + 1, 30) + 1), lambda i: 'gems/g/l.rb:' || i), chr(10)) || case when k + 1 > 30 then chr(10) || '... (' || (k - 29) || ' more lines truncated)' else '' end as backtrace from logs",
 )
-CAUSES = F.transform(F.sequence(F.lit(1), F.col("k") % 8 + 1), lambda i: F.struct(F.concat(F.lit("E"), i.cast("string")).alias("class_name"), F.repeat(F.lit("m"), i * 300).alias("message"), F.transform(F.sequence(F.lit(1), i * 7), lambda j: F.concat(F.lit("f.rb:"), j.cast("string"))).alias("backtrace")))
+
+
+def _causes(logs: DataFrame) -> DataFrame:
+    """Digests of the chains of errors with up to 8 causes, of which each is longer than the one before."""
+    t = lambda name, i: F.concat(F.lit(name), i.cast("string"))
+    one = lambda i: F.struct(t("E", i).alias("class_name"), F.repeat(F.lit("m"), i * 300).alias("message"), F.transform(F.sequence(F.lit(1), i * 7), lambda j: t("f.rb:", j)).alias("backtrace"))
+    causes = F.transform(F.sequence(F.lit(1), F.col("k") % 8 + 1), one)
+    return logs.select("id", F.sha2(text.cause_chain(F.when(F.col("k") % 9 > 0, causes).otherwise(F.slice(causes, 1, 0))), 256).alias("digest"))
+
+
 on_logs(
     "f36_cause_chains",
-    lambda logs: logs.select("id", F.sha2(text.cause_chain(F.when(F.col("k") % 9 > 0, CAUSES).otherwise(F.slice(CAUSES, 1, 0))), 256).alias("digest")),
+    _causes,
     """select id, case when k % 9 > 0 then sha256('[' || array_to_string(list_transform(range(1, least(k % 8 + 1, 5) + 1), lambda i: '{"class_name":"E' || i || '","message":"' || repeat('m', least(i * 300, 1000)) || '","backtrace":["'
   || array_to_string(list_transform(range(1, least(i * 7, 20) + 1), lambda j: 'f.rb:' || j), '","') || '"]}'), ',') || ']') end as digest from logs""",
 )
