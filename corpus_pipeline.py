@@ -28,7 +28,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by shingles of five words and a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents that hang together by shingles of five words and a similarity of 0.8 or more, the one with the smallest id stays.
+
+    A document is an id: where several rows have one, the least of their texts is compared, and all of them stay or go.
+    """
     found = ngram_join.jaccard_components(docs, words=5, threshold=(80, 100))
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null"))
