@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultlens.catalog import AS_OF, LOGS, SEVERITY, rnd, since
 from faultlens.catalog_json import CLOCK, CRUMBS, DAYS
 from faultlens.functions import text
+from faultlens.functions.severity import severity
 from faultlens.operators import filters
 from faultlens.plans import crumbs, dashboard, lifecycle
 from faultlens.sources import driver, ingest
@@ -166,3 +167,43 @@ def _agents(logs: DataFrame) -> DataFrame:
 
 
 on_logs("f38_user_agents", _agents, f"select {[b for b, _ in AGENTS.values()]!r}[k % {len(AGENTS)} + 1] as browser, {[o for _, o in AGENTS.values()]!r}[k % {len(AGENTS)} + 1] as os, count(*) as n from logs group by 1, 2")
+
+
+# spans, issues, dumps, configuration
+def _spans(logs: DataFrame) -> DataFrame:
+    """Spans of two conventions, tools among them, as crumbs with their meta as text."""
+    k, text_of = F.col("k"), lambda c: c.cast("string")
+    gen = {"gen_ai.system": F.lit("openai"), "gen_ai.request.model": F.when(k % 3 == 0, "gpt-4o").otherwise("o1"), "gen_ai.response.model": F.when(k % 7 == 0, "gpt-4o-mini"), "gen_ai.usage.input_tokens": text_of(k), "gen_ai.usage.completion_tokens": text_of(k * 2), "gen_ai.operation.name": F.when(k % 4 > 0, "chat"), "error.type": F.when(k % 5 == 0, "Timeout"), "gen_ai.tool.name": F.when(k % 6 == 0, "search")}
+    old = {"llm.provider": F.lit("local"), "llm.model": F.lit("m"), "llm.usage.prompt_tokens": text_of(k)}
+    pairs = lambda names: F.map_filter(F.create_map(*[x for n, v in names.items() for x in (F.lit(n), v)]), lambda n, v: v.isNotNull())
+    attributes = F.when(F.col("id") % 2 == 0, pairs(gen)).otherwise(pairs(old))
+    spans = logs.select(F.col("id").cast("string").alias("request_id"), F.col("occurred_at").alias("started_at"), (k * 3).alias("duration_ms"), attributes.alias("attributes"))
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return ingest.llm_crumbs(spans).select("request_id", "t", "c", "m", "d", meta.alias("meta"))
+
+
+on_logs(
+    "a12_span_crumbs",
+    _spans,
+    """select cast(id as varchar) as request_id, cast(floor(epoch_us(occurred_at) / 1000) as bigint) as t, case when id % 2 = 0 and k % 6 = 0 then 'llm_tool' else 'llm' end as c,
+  case when id % 2 = 0 and k % 4 > 0 then 'chat' when id % 2 = 0 and k % 6 = 0 then 'llm_tool' else 'llm' end as m, cast(k * 3 as double) as d,
+  case when id % 2 = 0 then concat_ws(',', 'duration_ms=' || (k * 3), case when k % 5 = 0 then 'error_class=Timeout' end, 'input_tokens=' || k, 'model=' || case when k % 7 = 0 then 'gpt-4o-mini' when k % 3 = 0 then 'gpt-4o' else 'o1' end, 'output_tokens=' || (k * 2), 'provider=openai', 'status=' || case when k % 5 = 0 then 'error' else 'success' end)
+    else 'duration_ms=' || (k * 3) || ',input_tokens=' || k || ',model=m,provider=local,status=success' end as meta from logs""",
+)
+on_logs(
+    "c15_by_issue",
+    lambda logs: ingest.by_issue(logs.withColumn("external_issue_number", F.col("k")).withColumn("external_issue_provider", F.when(F.col("id") % 2 == 0, "github").otherwise("gitlab")), 42, "github").select("id", "error_type"),
+    "select id, error_type from logs where k = 42 and id % 2 = 0",
+)
+on_logs("a20_recent_dumps", lambda logs: ingest.recent_dumps(logs.filter("k % 9 = 0").select("id", F.col("occurred_at").alias("captured_at")), 25), "select id, occurred_at as captured_at from logs where k % 9 = 0 order by captured_at desc, id limit 25")
+CUSTOM = {"TypeError": "critical", "CustomClickError": "high", "SecurityError": "low"}
+on_logs(
+    "j2_custom_severities",
+    lambda logs: logs.groupBy(severity(F.col("error_type"), CUSTOM).alias("severity")).agg(F.count("*").alias("n")),
+    "select case " + " ".join(f"when error_type = '{t}' then '{v}'" for t, v in CUSTOM.items()) + f" else {SEVERITY} end as severity, count(*) as n from logs group by 1",
+)
+on_logs(
+    "j3_price_overrides",
+    lambda logs: logs.select("id", text.llm_cost(F.when(F.col("k") % 2 == 0, "Own-Model").otherwise("gpt-4o"), F.col("k"), F.when(F.col("k") % 3 > 0, F.col("k") * 2), {"own-model": (1.5, 2.0), "gpt-4o": (1.0, 4.0)}).alias("cost")),
+    f"select id, {rnd('((k * case when k % 2 = 0 then 1.5 else 1.0 end + case when k % 3 > 0 then k * 2 else 0 end * case when k % 2 = 0 then 2.0 else 4.0 end) / 1000000.0)', 6)} as cost from logs",
+)
