@@ -141,7 +141,7 @@ def test_ids_with_several_texts_whatever_the_order(spark):
             least[i] = min(t, least.get(i, t))
     single = [(i, t if i is None else least.get(i)) for i, t in rows]
     want = sorted(((i, len(gram_set(t, 4)), c) for i, t, c in ((i, t, dict((x[0], x[2]) for x in brute([(j, u) for j, u in single if j is not None], 4, 85, 100)).get(i)) for i, t in single)), key=str)
-    for seed in range(4):
+    for seed in range(2):
         shuffled = list(rows)
         random.Random(seed).shuffle(shuffled)
         found = g.jaccard_components(spark.createDataFrame(shuffled, "doc_id long, text string").repartition(1 + seed)).collect()
