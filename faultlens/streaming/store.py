@@ -79,7 +79,7 @@ class Store:
 
     def groups(self, base: DataFrame | None = None) -> DataFrame:
         """Each group (keys, ``GROUP_DDL``) as the last batch that touched it left it; ``base``: groups from before the first batch."""
-        names = SCHEMAS["groups"].replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
+        names = [c.split()[0] for c in SCHEMAS["groups"].split(", ")]
         rows = self.table("groups").select(*names, "batch_id")
         if base is not None:
             rows = rows.unionByName(base.select(*names, F.lit(-1).cast("long").alias("batch_id")))
