@@ -20,7 +20,7 @@ there are fewer than ``HOT``, are joined by a broadcast and the others by a shuf
 Defined results: words are runs of ASCII letters, lower-cased, digits and signs beyond ASCII; null has no words; every
 row is a document of its own, rows that are the same get the same result each; a null item_id marks words but isn't listed;
 rows of one item_id are one item; other columns are ignored; empty tables give no rows, or rows without hits.
-Texts are read as a whole, however long: a task holds one text, 16 bytes a word and about 40 MB of work space.
+Texts are read as a whole, however long: a task holds one text with about 80 bytes a word, and some 40 MB of work space.
 Words, grams and windows are compared by 64-bit hashes.
 """
 
