@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,29 @@ def test_range_join_meets_each_pair_once(spark):
         got = sorted((p.a, p.b) for p in rangejoin.range_join(left, right, "x", "y", seconds, both).collect())
         span = timedelta(seconds=seconds)
         assert got == [(i, j) for i, x in enumerate(at) for j, y in enumerate(at) if x and y and (abs(y - x) if both else y - x) <= span and (both or y >= x)]
+
+
+@pytest.mark.parametrize("huge", [False, True])
+def test_pair_sums_are_those_of_all_pairs_without_enumerating_them(huge):
+    rng = np.random.default_rng(7)
+    n, least, most = 3000, 1, 60_000_000
+    rows = {"right": rng.random(n) < 0.5, "error": np.where(rng.random(n) < 0.7, 1, rng.integers(2, 400, n)), "us": rng.integers(0, 4 * most, n) // 1_000_000 * 1_000_000, "n": rng.integers(1, 4, n) * (10**5 if huge else 1)}
+    want = {}
+    a, b = np.flatnonzero(~rows["right"]), np.flatnonzero(rows["right"])
+    delay = rows["us"][b][None, :] - rows["us"][a][:, None]
+    for i, j in zip(*np.nonzero((delay >= least) & (delay <= most)), strict=True):
+        key = (int(rows["error"][a[i]]), int(rows["error"][b[j]]))
+        if key[0] != key[1]:
+            k = int(rows["n"][a[i]]) * int(rows["n"][b[j]])
+            x, y = want.get(key, (0, 0))
+            want[key] = (x + k, y + k * int(delay[i, j]))
+    got = rangejoin._chunk_sums(least, most)(pa.table(rows)).to_pylist()
+    assert {(r["a"], r["b"]): (r["pairs"], int(r["us"])) for r in got} == want
+
+
+def test_cascades_of_a_dense_minute_take_no_pairs(spark):
+    # 160 000 occurrences in a minute: 10 ** 10 pairs
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 375).cast("timestamp_ntz")
+    found = rangejoin.cascades(spark.range(160_000).select((F.col("id") % 4).alias("error_log_id"), at.alias("occurred_at"))).collect()
+    m = 40_000
+    assert {(r.parent_error_id, r.child_error_id): r.frequency for r in found} == {(a, b): m * (m + 1) // 2 if a < b else m * (m - 1) // 2 for a in range(4) for b in range(4) if a != b}
