@@ -10,12 +10,13 @@ replay gives the same ones.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import timedelta
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.severity import severity
@@ -24,6 +25,8 @@ from faultlens.operators.grouping import MILESTONES
 #: What an event can be; any other kind is ignored.
 KINDS = ("occurrence", "resolve", "wont_fix", "mute", "unmute")
 KEYS = ["application_id", "error_hash"]
+#: Statuses of which a group is opened again.
+CLOSED = ("resolved", "wont_fix")
 RANKS = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 OUTCOME_DDL = "application_id long, error_hash string, error_log_id long, outcome string, at_us long, first_us long, last_us long, occurrence_count long, resolved boolean, status string, muted boolean, reopened_us long, notify boolean, seq long, context string"
 OUTCOME = pa.schema([("application_id", pa.int64()), ("error_hash", pa.string()), ("error_log_id", pa.int64()), ("outcome", pa.string()), ("at_us", pa.int64()), ("first_us", pa.int64()), ("last_us", pa.int64()), ("occurrence_count", pa.int64()), ("resolved", pa.bool_()), ("status", pa.string()), ("muted", pa.bool_()), ("reopened_us", pa.int64()), ("notify", pa.bool_()), ("seq", pa.int64()), ("context", pa.string())])
@@ -60,44 +63,82 @@ def new_id(key: tuple, first: int) -> int:
 
 
 class KeyState:
-    """The groups of one key, when it last notified, and how many outcomes it has had."""
+    """The groups of one key, when it last notified, and how many outcomes it has had.
+
+    Groups lie in heaps by when they were seen last: all, those within their window and those that are closed. What no longer holds of an
+    entry shows when it comes to the top, so that an event costs little however many groups there are. Times should ascend; one that
+    doesn't has the heaps made anew.
+    """
 
     def __init__(self, key: tuple, rules: Rules, groups: list[Group] | None = None, notified: int | None = None, seq: int = 0):
         self.key, self.rules, self.groups, self.notified, self.seq = key, rules, groups or [], notified, seq
         self.span = rules.window // timedelta(microseconds=1)
+        self.now: int | None = None
 
     def apply(self, at: int, kind: str, target: int | None, rank: int | None, context: str | None) -> tuple | None:
         """The outcome of one event, in ``OUTCOME``'s order; none for a change without a group."""
+        if self.now is None or at < self.now:
+            self._index(at)
+        self.now = at
         if kind == "occurrence":
-            outcome, g = self._occurred(at)
+            outcome, i = self._occurred(at)
+            g = self.groups[i]
             notify = self._notifies(outcome, g, at, rank or 0)
             if notify:
                 self.notified = at
         else:
-            g = max((g for g in self.groups if target in (None, g.id)), key=lambda g: (g.last, g.id), default=None)
-            if g is None or kind not in KINDS:
+            i = self._top(self.seen, lambda g: True) if target is None else max(self.of_id.get(target, ()), key=lambda i: self.groups[i].last, default=None)
+            if i is None or kind not in KINDS:
                 return None
-            outcome, notify = kind, False
+            g, outcome, notify = self.groups[i], kind, False
             if kind in ("resolve", "wont_fix"):
                 g.resolved, g.status = kind == "resolve" or g.resolved, "resolved" if kind == "resolve" else "wont_fix"
+                heappush(self.closed, (-g.last, -g.id, i))
             else:
                 g.muted = kind == "mute"
         self.seq += 1
         return (*self.key, g.id, outcome, at, g.first, g.last, g.count, g.resolved, g.status, g.muted, g.reopened, notify, self.seq, context)
 
-    def _occurred(self, at: int) -> tuple[str, Group]:
-        seen_last = lambda g: (g.last, g.id)
-        g = max((g for g in self.groups if not g.resolved and g.first >= at - self.span), key=seen_last, default=None)
-        if g is not None:
-            g.count, g.last = g.count + 1, max(g.last, at)
-            return "recurred", g
-        g = max((g for g in self.groups if g.status in ("resolved", "wont_fix")), key=seen_last, default=None)
-        if g is not None:
-            g.count, g.last, g.resolved, g.status, g.reopened = g.count + 1, max(g.last, at), False, "new", at
-            return "reopened", g
-        g = Group(new_id(self.key, at), at, at, 1)
-        self.groups.append(g)
-        return "created", g
+    def _index(self, at: int) -> None:
+        entries = [(-g.last, -g.id, i) for i, g in enumerate(self.groups)]
+        self.seen, self.fresh, self.closed, self.of_id = entries, [], [], {}
+        for entry, g in zip(entries, self.groups, strict=True):
+            if not g.resolved and g.first >= at - self.span:
+                self.fresh.append(entry)
+            if g.status in CLOSED:
+                self.closed.append(entry)
+            self.of_id.setdefault(g.id, []).append(entry[2])
+        for heap in (self.seen, self.fresh, self.closed):
+            heapify(heap)
+
+    def _top(self, heap: list[tuple[int, int, int]], holds: Callable[[Group], bool]) -> int | None:
+        """The place of the group seen last of those for which an entry still says when, and ``holds``."""
+        while heap:
+            last, _, i = heap[0]
+            if -last == self.groups[i].last and holds(self.groups[i]):
+                return i
+            heappop(heap)
+        return None
+
+    def _occurred(self, at: int) -> tuple[str, int]:
+        outcome, i = "recurred", self._top(self.fresh, lambda g: not g.resolved and g.first >= at - self.span)
+        if i is None:
+            outcome, i = "reopened", self._top(self.closed, lambda g: g.status in CLOSED)
+        if i is None:
+            outcome, i = "created", len(self.groups)
+            self.groups.append(Group(new_id(self.key, at), at, at, 0))
+            self.of_id.setdefault(self.groups[i].id, []).append(i)
+        g = self.groups[i]
+        g.count, g.last = g.count + 1, max(g.last, at)
+        if outcome == "reopened":
+            g.resolved, g.status, g.reopened = False, "new", at
+        entry = (-g.last, -g.id, i)
+        heappush(self.seen, entry)
+        if g.first >= at - self.span:
+            heappush(self.fresh, entry)
+        if g.status in CLOSED:
+            heappush(self.closed, entry)
+        return outcome, i
 
     def _notifies(self, outcome: str, g: Group, at: int, rank: int) -> bool:
         if g.muted:
@@ -157,17 +198,30 @@ def _steps(rules: Rules):
     return run
 
 
+def _needed(groups: DataFrame, events: DataFrame, rules: Rules) -> DataFrame:
+    """Those of ``groups`` that ``events`` can find: of a key with m events its group seen last, the m closed ones seen last and those within their
+    window at the first event; all of a key with an event that names a group."""
+    of_key = events.groupBy(*KEYS).agg(F.min("at_us").alias("_from"), F.count("*").alias("_m"), F.max(F.col("target").isNotNull()).alias("_named"))
+    same = (groups.application_id.eqNullSafe(of_key.application_id)) & (groups.error_hash.eqNullSafe(of_key.error_hash))
+    rows = groups.join(of_key, same).select(*[groups[c] for c in groups.columns], "_from", "_m", "_named")
+    seen_last = Window.partitionBy(*KEYS).orderBy(F.desc("last_us"), F.desc("id"))
+    closed = F.col("status").isin(*CLOSED)
+    rows = rows.withColumn("_at", F.row_number().over(seen_last)).withColumn("_closed", F.sum(closed.cast("long")).over(seen_last.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fresh = ~F.col("resolved") & (F.col("first_us") >= F.col("_from") - rules.window // timedelta(microseconds=1))
+    return rows.filter(F.col("_named") | (F.col("_at") == 1) | fresh | closed & (F.col("_closed") <= F.col("_m"))).select(groups.columns)
+
+
 def outcomes(groups: DataFrame, events: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """What each of ``events`` (keys, ``EVENT_DDL``) does to ``groups`` (keys, ``GROUP_DDL``), as ``OUTCOME_DDL``.
 
     Events of the same time are taken by kind, context and target; one without a time does nothing. Rows of a key stream through one
-    task, which holds the key's groups only; keys without events are left out before the shuffle's rows are sorted.
+    task, which holds those of the key's groups that its events can find; others are left out before the shuffle.
     """
     names = [c.split()[0] for c in GROUP_DDL.split(", ")]
-    touched = events.select(*KEYS).distinct()
-    same = (groups.application_id.eqNullSafe(touched.application_id)) & (groups.error_hash.eqNullSafe(touched.error_hash))
-    stored = groups.join(touched, same, "left_semi").select(*KEYS, F.lit(None).cast("long").alias("at_us"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("target"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("context"), F.struct(*names).alias("group"))
-    coming = events.filter("at_us is not null").select(*KEYS, "at_us", "kind", "target", "rank", "context", F.lit(None).cast(stored.schema["group"].dataType).alias("group"))
+    events = events.filter("at_us is not null")
+    needed = _needed(groups.select(*KEYS, *names), events, rules)
+    stored = needed.select(*KEYS, F.lit(None).cast("long").alias("at_us"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("target"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("context"), F.struct(*names).alias("group"))
+    coming = events.select(*KEYS, "at_us", "kind", "target", "rank", "context", F.lit(None).cast(stored.schema["group"].dataType).alias("group"))
     rows = stored.unionByName(coming).repartition(*KEYS).sortWithinPartitions(*KEYS, F.asc_nulls_first("at_us"), "kind", "context", "target")
     return rows.mapInArrow(_steps(rules), OUTCOME_DDL)
 

@@ -80,12 +80,13 @@ class Store:
     def groups(self, base: DataFrame | None = None) -> DataFrame:
         """Each group (keys, ``GROUP_DDL``) as the last batch that touched it left it; ``base``: groups from before the first batch."""
         names = [c.split()[0] for c in SCHEMAS["groups"].split(", ")]
-        rows = self.table("groups").select(*names, "batch_id")
-        if base is not None:
-            rows = rows.unionByName(base.select(*names, F.lit(-1).cast("long").alias("batch_id")))
         fields = [n for n in names if n not in (*KEYS, "id")]
-        last = rows.groupBy(*KEYS, "id").agg(F.max(F.struct("batch_id", *fields)).alias("x"))
-        return last.select(*KEYS, "id", *(f"x.{n}" for n in fields))
+        last = self.table("groups").groupBy(*KEYS, "id").agg(F.max(F.struct("batch_id", *fields)).alias("x"))
+        touched = last.select(*KEYS, "id", *(f"x.{n}" for n in fields))
+        if base is None:
+            return touched
+        same = (base.application_id.eqNullSafe(touched.application_id)) & (base.error_hash.eqNullSafe(touched.error_hash)) & (base.id == touched.id)
+        return base.join(touched, same, "left_anti").select(touched.columns).unionByName(touched)
 
     def sink(self, outcome: DataFrame, checkpoint: str, then: Callable[[int], None] | None = None) -> DataStreamWriter:
         """The writer of a stream of outcomes; ``then`` is called with the number of each batch that is there."""

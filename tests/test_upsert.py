@@ -54,6 +54,50 @@ def test_changes_of_unknown_groups_do_nothing():
     assert [o and o[3] for o in out] == [None, "created", None, None]
 
 
+class Scanned(u.KeyState):
+    """The same by a look at every group for every event."""
+
+    def _index(self, at):
+        self.seen = self.fresh = self.closed = []
+        self.of_id = {g.id: [i] for i, g in enumerate(self.groups)}
+
+    def _top(self, heap, holds):
+        return max((i for i, g in enumerate(self.groups) if holds(g)), key=lambda i: (self.groups[i].last, self.groups[i].id), default=None)
+
+    def _occurred(self, at):
+        self.seen, self.fresh, self.closed = [], [], []
+        return super()._occurred(at)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_heaps_find_what_a_look_at_every_group_finds(seed):
+    groups, events = traffic(seed, 500)
+    own = [x for x in groups if x[1] == "h0"]
+    mine = sorted((e[2:] for e in events), key=g._order)
+    mine += mine[100:200]  # and times that don't ascend
+    a, b = (kind((1, "h0"), u.Rules(), [u.Group(*x[2:]) for x in own]) for kind in (u.KeyState, Scanned))
+    assert [a.apply(*e) for e in mine] == [b.apply(*e) for e in mine]
+
+
+def test_an_event_costs_little_however_many_groups_there_are():
+    n = 20_000
+    groups = [u.Group(i, T0 - 1000 * HOUR, T0 - 500 * HOUR + i, 1, i % 2 == 0, "resolved" if i % 2 == 0 else "new") for i in range(n)]
+    state, began = u.KeyState((1, "h"), u.Rules(), groups), time.process_time()
+    out = [state.apply(T0 + i, "occurrence", None, 2, None) for i in range(n)]
+    assert [o[3] for o in out] == ["reopened"] * (n // 2) + ["created"] + ["recurred"] * (n // 2 - 1)
+    assert time.process_time() - began < 20  # a look at every group takes minutes
+
+
+def test_groups_that_no_event_can_find_stay_behind(spark):
+    old = T0 - 900 * HOUR
+    rows = [(1, "h", i, old, old + i, 1, i % 2 == 0, "resolved" if i % 2 == 0 else "new", False, None) for i in range(100)]
+    rows += [(1, "h", 200, T0 - HOUR, old, 1, False, "new", False, None), (2, "h", 300, T0, T0, 1, False, "new", False, None)]
+    events = [(1, "h", T0 + i, "occurrence", None, 2, "c") for i in range(3)]
+    needed = lambda more: {r.id for r in u._needed(spark.createDataFrame(rows, GROUPS), spark.createDataFrame(events + more, EVENTS), u.Rules()).collect()}
+    assert needed([]) == {200, 99, 98, 96, 94}  # within its window, seen last, closed
+    assert needed([(1, "h", T0, "mute", 7, 2, "c")]) == {*range(100), 200}
+
+
 def traffic(seed, n=400):
     rng = random.Random(seed)
     groups, events = [], []
