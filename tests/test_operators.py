@@ -116,6 +116,17 @@ def test_workflow(spark, as_of):
     assert sorted(r.name for r in workflow.with_applications(apps, spark.createDataFrame([("x",), ("y",), ("y",)], "name string")).collect()) == ["x", "y"]
 
 
+def test_page_totals_read_crumbs_once(spark, as_of):
+    text = '[{"c":"sql","m":"SELECT 1"},{"c":"sql","m":"SELECT 2"},{"c":"sql","m":"SELECT 3"},{"c":"cache","m":"cache read: a","meta":{"hit":"true"}},{"c":"rack_attack","m":"t","meta":{"rule":"r","discriminator":"i"}}]'
+    rows = spark.createDataFrame([(1, NOW, text), (2, NOW, "[]")], "id long, occurred_at timestamp_ntz, breadcrumbs string")
+    total = crumbs.page_totals(rows, as_of)
+    want = {("rack_attack", "unique"): 1, ("rack_attack", "total"): 1, ("rack_attack", "unique_ips"): 1, ("repeated_queries", "unique"): 1, ("repeated_queries", "total"): 3, ("repeated_queries", "affected"): 1, ("cache", "errors"): 1, ("cache", "avg_hit_rate"): 100, ("cache", "total"): 1}
+    assert {(r.page, r.measure): r.value for r in total.collect()} == want
+    assert total._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    none = {(r.page, r.measure): r.value for r in crumbs.page_totals(rows.filter("id = 2"), as_of).collect()}
+    assert none == {("rack_attack", "unique_ips"): 0, ("repeated_queries", "unique"): 0, ("repeated_queries", "total"): None, ("repeated_queries", "affected"): 0, ("cache", "errors"): 0, ("cache", "avg_hit_rate"): None, ("cache", "total"): None}
+
+
 def test_crumbs_tolerate_what_is_malformed(spark, as_of):
     rows = spark.createDataFrame([(1, NOW, '[{"c":"sql","m":"SELECT 1","d":"2.5"},{"c":"sql","m":"SELECT 2","d":1},{"c":"sql","m":"SELECT 3"}]'), (2, NOW, "{nope"), (3, NOW, None), (4, NOW, '{"c":"sql","m":"x"}'), (5, NOW, "[1, 2]")], "id long, occurred_at timestamp_ntz, breadcrumbs string")
     assert [(r.id, r.n, r.total_ms, r.sample) for r in crumbs.repeated_queries(rows, as_of, 30).collect()] == [(1, 3, 3.5, "SELECT 1")]
