@@ -1,6 +1,6 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again.
 
-Every stage but the last returns the columns of documents. Rows without a doc_id pass near dedup, which
+Every stage but the last returns the columns of documents. Stages share their executors, so that each bounds its Arrow batches. Rows without a doc_id pass near dedup, which
 tells rows apart by it.
 """
 
@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.llm import exact_dedup, language_id, ngram_join, packing, quality
-from faultlens.llm.common import discard, staged
+from faultlens.llm.common import discard, small_batches, staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the languages that were learned, and those without letters, go."""
+    small_batches(spark)
     return language_id.keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of the documents with equal texts stays."""
+    small_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
@@ -32,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document is an id: where several rows have one, the least of their texts is compared, and all of them stay or go.
     """
+    small_batches(spark)
     found = ngram_join.jaccard_components(docs, words=5, threshold=(80, 100))
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null"))
@@ -39,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in bins of 8192 code points."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -147,9 +147,11 @@ def _profile(words: int, threshold: tuple[int, int], share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(utf8(batch.column(1)), words)
-            counted = [_first_of_order(s, threshold, share)[0] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary())], schema=schema)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = shingle_sets(utf8(part.column(1)), words)
+                counted = [_first_of_order(s, threshold, share)[0] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary())], schema=schema)
 
     return run
 

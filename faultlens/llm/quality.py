@@ -269,8 +269,10 @@ def learn(docs: DataFrame, dims: int = 2048, sample: int = 4000) -> Scorer:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = ["".join(map(str, votes(measure(t or "")[0]))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v)], ["doc_id", "votes"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                v = ["".join(map(str, votes(measure(t or "")[0]))) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v)], ["doc_id", "votes"])
 
     voted = staged(rows.mapInArrow(vote, "doc_id long, votes string"), "votes")
     counted = voted.groupBy("votes").count().collect()  # 3 to the number of labellers at most

@@ -73,3 +73,22 @@ def test_defined_cases(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_stages_bound_arrow_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline.quality, "keep_good", lambda docs: docs)
+    monkeypatch.setattr(corpus_pipeline.language_id, "keep_known", lambda docs: docs)
+    monkeypatch.setattr(corpus_pipeline.exact_dedup, "keep_one", lambda docs: docs)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda docs: docs)
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "jaccard_components", lambda docs, **kw: docs.withColumn("component_id", docs.doc_id))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    try:
+        for given, want in (("10000", "1024"), ("100", "100")):  # a smaller one is the session's own
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(key, given)
+                stage(spark, docs, "")
+                assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
